@@ -53,6 +53,8 @@ SPACES = " \t\n\x0b\x0c\r"
 
 
 def words(text: Column) -> Column:
-    """Words of `[^\\x20\\x09-\\x0D]+` as an array."""
-    flat = F.translate(text, SPACES, " " * len(SPACES))
-    return F.filter(F.split(flat, " "), lambda w: w != "")
+    """Words of `[^\\x20\\x09-\\x0D]+` as an array. Plain replacements and a one-character split run several times
+    faster in the JVM than a regular expression or translate()."""
+    for c in SPACES[1:]:
+        text = F.replace(text, F.lit(c), F.lit(" "))
+    return F.array_remove(F.split(text, " "), "")
