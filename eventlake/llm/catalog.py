@@ -6,11 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .chat import OP2_SQL, op2_chat_format
 from .quality import op4_quality_rules
+from .secrets import op5_secret_scan
 from .sharding import op7_sharding
+from .substrings import OP3_SQL, op3_substring_dedup
 from .url_filter import op6_url_filter
 
-QUERIES = [op4_quality_rules, op6_url_filter, op7_sharding]
+QUERIES = [op2_chat_format, op3_substring_dedup, op4_quality_rules, op5_secret_scan, op6_url_filter, op7_sharding]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -18,4 +21,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_chat_format": OP2_SQL, "op3_substring_dedup": OP3_SQL}

@@ -10,7 +10,6 @@ A null url, or one without `://`, has an empty host and path; its verdict is the
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import reduce
 
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import CountVectorizerModel, Normalizer
@@ -76,18 +75,13 @@ def rule_of(host: Column, path: Column, rules: list[tuple[str, str]]) -> tuple[C
 def grams(host: Column, path: Column) -> Column:
     """Hash buckets of the character n-grams of `^host$path`, path digits as 0."""
     text = F.concat(F.lit("^"), host, F.lit("$"), F.translate(path, "123456789", "000000000"))
-    return reduce(
-        F.concat,
-        (
-            F.transform(
-                F.when(F.length(text) >= n, F.sequence(F.lit(1), F.length(text) - (n - 1))).otherwise(
-                    F.array().cast("array<int>")
-                ),
-                lambda i, n=n: F.pmod(F.xxhash64(F.substr(text, i, F.lit(n))), F.lit(BUCKETS)).cast("int"),
-            )
-            for n in NGRAMS
-        ),
-    )
+
+    def of_length(n: int) -> Column:
+        starts = F.when(F.length(text) >= n, F.sequence(F.lit(1), F.length(text) - (n - 1)))
+        starts = F.coalesce(starts, F.array().cast("array<int>"))
+        return F.transform(starts, lambda i: F.pmod(F.xxhash64(F.substr(text, i, F.lit(n))), F.lit(BUCKETS)).cast("int"))
+
+    return F.concat(*map(of_length, NGRAMS))
 
 
 @dataclass
