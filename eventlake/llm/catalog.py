@@ -10,10 +10,11 @@ from .chat import OP2_SQL, op2_chat_format
 from .quality import op4_quality_rules
 from .secrets import op5_secret_scan
 from .sharding import op7_sharding
+from .suffixes import op1_suffix_dedup
 from .substrings import OP3_SQL, op3_substring_dedup
 from .url_filter import op6_url_filter
 
-QUERIES = [op2_chat_format, op3_substring_dedup, op4_quality_rules, op5_secret_scan, op6_url_filter, op7_sharding]
+QUERIES = [op1_suffix_dedup, op2_chat_format, op3_substring_dedup, op4_quality_rules, op5_secret_scan, op6_url_filter, op7_sharding]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
