@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .chat import OP2_SQL, op2_chat_format
 from .decontaminate import OP8_SQL, op8_decontaminate
 from .near_dedup import OP9_SQL, op9_near_dedup
+from .pieces import op10_sentencepiece
 from .quality import op4_quality_rules
 from .secrets import op5_secret_scan
 from .sharding import op7_sharding
@@ -16,7 +17,7 @@ from .suffixes import op1_suffix_dedup
 from .substrings import OP3_SQL, op3_substring_dedup
 from .url_filter import op6_url_filter
 
-QUERIES = [op1_suffix_dedup, op2_chat_format, op3_substring_dedup, op4_quality_rules, op5_secret_scan, op6_url_filter, op7_sharding, op8_decontaminate, op9_near_dedup]
+QUERIES = [op1_suffix_dedup, op2_chat_format, op3_substring_dedup, op4_quality_rules, op5_secret_scan, op6_url_filter, op7_sharding, op8_decontaminate, op9_near_dedup, op10_sentencepiece]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
