@@ -32,15 +32,15 @@ class Runs:
         return max(0, math.ceil(math.log2(self.n_runs)))
 
 
-def deal(docs: DataFrame, id_col: str, text_col: str) -> Runs:
+def deal(docs: DataFrame, id_col: str, text_col: str, run_bytes: int = RUN_BYTES) -> Runs:
     df = doc_text(docs, id_col, text_col).withColumn("th", F.xxhash64("text"))
     sizes = write_table(
         df.groupBy("th").agg(F.sum(F.octet_length("text").cast("long")).alias("bytes")), "text-sizes"
     )
     total = sizes.agg(F.coalesce(F.sum("bytes"), F.lit(0)).alias("b")).first().b
-    n = max(8, math.ceil(total / RUN_BYTES))
-    hot = sizes.filter(F.col("bytes") > RUN_BYTES // 2).select(
-        "th", F.ceil(F.col("bytes") / (RUN_BYTES // 2)).cast("int").alias("salts")
+    n = max(8, math.ceil(total / run_bytes))
+    hot = sizes.filter(F.col("bytes") > run_bytes // 2).select(
+        "th", F.ceil(F.col("bytes") / (run_bytes // 2)).cast("int").alias("salts")
     )
     dealt = df.join(maybe_broadcast(hot), "th", "left").select(
         F.pmod(

@@ -50,6 +50,8 @@ BEFORE = PLACES - 1
 #: A sorted row: LENGTH bytes of suffix, BEFORE bytes before it (nearest first), both lengths plus one.
 ROW = LENGTH + BEFORE + 2
 DEPTH, CELLS_PER_KEY, HOT_RUNS = 1, 16, 256
+#: Half the usual: the byte masks of a run take several times its size.
+RUN_BYTES = 8 << 20
 _LOW = U((1 << 18) - 1)
 
 
@@ -85,13 +87,13 @@ def sliding_least(values: np.ndarray, n: int) -> np.ndarray:
 def anchors(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Positions of the anchors of all strings that lie within a text, ascending, and their hashes."""
     positions, hashes = [], []
-    ends = np.repeat(at[1:], np.diff(at))
+    ends = np.repeat(at[1:].astype(np.int32), np.diff(at))
     for lo in range(0, len(data) - LENGTH + 1, BLOCK):
         hi = min(len(data), lo + BLOCK + LENGTH - 1)
         grams = rolling(data[lo:hi], GRAM)
         # The position in the low bits makes the leftmost of equals the least.
         least = sliding_least((grams & ~_LOW) | np.arange(len(grams), dtype=np.uint64), PLACES)
-        least = least[ends[lo : lo + len(least)] - np.arange(lo, lo + len(least)) >= LENGTH]
+        least = least[ends[lo : lo + len(least)] - np.arange(lo, lo + len(least), dtype=np.int32) >= LENGTH]
         if len(least):
             pos = (least & _LOW).astype(np.int64)
             pos = pos[np.concatenate([[True], pos[1:] != pos[:-1]])]
@@ -288,7 +290,7 @@ def places_with_smaller(rows: np.ndarray, shared: np.ndarray, first: np.ndarray)
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans (maximal removed stretches) and kept (the remaining bytes) of every row."""
-    runs = deal(docs, id_col, text_col)
+    runs = deal(docs, id_col, text_col, RUN_BYTES)
     bits = runs.slice_bits
     sketch = Sketch.sized(runs.n_bytes // 12, DEPTH, CELLS_PER_KEY, bits)
 
@@ -348,12 +350,14 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             start = found.start[ok] - o
             np.add.at(edge, start, 1)
             np.add.at(edge, start + LENGTH, -1)
-        gone = np.cumsum(edge[:-1]) > 0
+        gone = np.cumsum(edge[:-1], out=edge[:-1]) > 0
+        del edge
         begins = gone.copy()
         begins[1:] &= ~gone[:-1]
         starts = t.at[:-1][np.diff(t.at) > 0]
         begins[starts] = gone[starts]
-        n_gone, n_begins = (np.concatenate([[0], np.cumsum(x)]) for x in (gone, begins))
+        # Sums up to each text's begin.
+        n_gone, n_begins = (np.concatenate([[0], np.cumsum(x, dtype=np.int32)])[t.at] for x in (gone, begins))
         whole = t.data.tobytes()
         raw, raw_at = column_bytes(docs.column("text"))
         rows = []
@@ -367,9 +371,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             if doc > t.first[k] and b - a >= LENGTH:  # a copy of a text with a smaller id
                 rows.append((doc, b - a, b - a, 1, b""))
             else:
-                n = int(n_gone[b] - n_gone[a])
+                n = int(n_gone[k + 1] - n_gone[k])
                 kept = t.data[a:b][~gone[a:b]].tobytes() if n else whole[a:b]
-                rows.append((doc, b - a, n, int(n_begins[b] - n_begins[a]), kept))
+                rows.append((doc, b - a, n, int(n_begins[k + 1] - n_begins[k]), kept))
         return pa.table([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
 
     def by_run(df: DataFrame):
