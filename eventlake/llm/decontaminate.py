@@ -53,7 +53,8 @@ def windows_of(items: DataFrame) -> DataFrame:
 
 
 def find(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_words, n_hit, items (ids as sorted strings) and contaminated of every row. items: item_id, text."""
+    """doc_id, th (hash of the text), n_words, n_hit, items (ids as sorted strings) and contaminated of every row.
+    items: item_id, text."""
     df = _keyed(doc_text(docs, id_col, text_col))
     windows = write_table(windows_of(items.select("item_id", "text")), "item-windows")
     wins = windows.select("win", "n").distinct()
@@ -125,9 +126,14 @@ def find(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: st
     )
     return (
         df.select("doc_id", "th", F.size(F.array_remove(F.split("text", _BREAKS), "")).cast("long").alias("n_words"))
-        .join(covered.join(named, ["doc_id", "th"]), ["doc_id", "th"], "left")
+        .join(
+            covered.join(named, ["doc_id", "th"]).withColumnsRenamed({"doc_id": "hit_id", "th": "hit_th"}),
+            F.col("doc_id").eqNullSafe(F.col("hit_id")) & (F.col("th") == F.col("hit_th")),
+            "left",
+        )
         .select(
             "doc_id",
+            "th",
             "n_words",
             F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
             F.coalesce("items", F.array().cast("array<string>")).alias("items"),
@@ -136,6 +142,15 @@ def find(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: st
     )
 
 
+def keep_clean(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs, columns unchanged, in which no window of an item occurs."""
+    bad = write_table(find(docs, items, id_col, text_col).filter("contaminated").select("th").distinct(), "contaminated")
+    own = docs.select(
+        F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("th")
+    )
+    return own.join(maybe_broadcast(bad), "th", "left_anti").select("row.*")
+
+
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")).select(
         "doc_id",

@@ -190,6 +190,16 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     )
 
 
+def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs, columns unchanged, whose document is the first of its component; of repeated ids one row, the
+    first by text. Rows without an id stay."""
+    kept = link(docs, id_col, text_col).filter("kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("kept_id")).distinct()
+    own = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(id_col).alias("own_id"), F.col(text_col).alias("own"))
+    nth = F.row_number().over(Window.partitionBy("own_id").orderBy("own"))
+    named = own.join(kept, own.own_id == kept.kept_id, "left_semi").withColumn("nth", nth).filter("nth = 1")
+    return named.select("row.*").unionByName(own.filter("own_id IS NULL").select("row.*"))
+
+
 def _confirmed(pairs: DataFrame, sketches: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs u, v that pass the estimate and then the comparison of full sets."""
     x = sketches.select(F.col("id").alias("u"), F.col("n").alias("n"), F.col("bands").alias("x"))
