@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import registry, sources  # noqa: F401
+from . import filters, registry, reports, sources  # noqa: F401
 
 
 def queries() -> dict[str, registry.Query]:
