@@ -1,9 +1,10 @@
 """MinHash near-dedup with HyperMinHash registers.
 
 A document's set holds its distinct SHINGLE-word shingles of `[^\\x20\\x09-\\x0D]+` words, A-Z lower-cased (a shorter
-text: its whole sequence; no words: the empty set, linked with nothing). Each of 128 buckets keeps, of the least hash
-under its own permutation, the leading zeros (6 bits) and the 10 bits after the leading one. Four registers make a
-band key; of documents with one key, all are first paired with the smallest id alone. Pairs pass a collision-corrected
+text: its whole sequence; no words: the empty set, linked with nothing). Each of 324 buckets keeps, of the least hash
+under its own permutation, the leading zeros (6 bits) and the 10 bits after the leading one. Six registers make a
+band key (of two documents at the threshold, one pair in ten million shares none of the 54); of documents with one key,
+all are first paired with the smallest id alone. Pairs pass a collision-corrected
 Jaccard estimate with a wide margin and are then confirmed on their full sets. Where a key's documents are still in
 several components, further rounds pair the next ranks with those of other components, until every two documents of a
 key are linked, compared or in one component: no cap, and no pairs within groups that are already one.
@@ -28,8 +29,10 @@ from .common import doc_text, maybe_broadcast, read, write_table
 from .components import components
 
 SHINGLE, PERCENT = 4, 80
-BANDS, ROWS, MANTISSA = 32, 4, 10
+BANDS, ROWS, MANTISSA = 54, 6, 10
 REGISTERS = BANDS * ROWS
+#: Registers that the estimate uses, four to a long.
+ESTIMATED, LANES = 128, 4
 #: An estimate so far below the threshold (over five standard deviations) rules a pair out.
 MARGIN = 0.2
 #: Ranks within a band key that the rounds after the first pair with the rest.
@@ -77,23 +80,30 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seq = np.zeros((2, batch.num_rows), U)
         for k in range(2):
             seq[k, full] = span_hashes(words, before[:-1][full], before[1:][full], BASES[k])
-        bands = np.zeros((batch.num_rows, REGISTERS), np.uint16)
+        found = np.zeros((batch.num_rows, REGISTERS), np.uint16)
         size = np.zeros(batch.num_rows, np.int64)
         for i, s in enumerate(_sets(words, before, SHINGLE)):
             size[i] = len(s)
             if len(s):
-                bands[i] = registers(s)
+                found[i] = registers(s)
+        keys = np.zeros((batch.num_rows, BANDS), U)
+        for j in range(ROWS):
+            keys = mix(keys * U(BASES[0]) + found[:, j::ROWS].astype(U) + np.arange(1, BANDS + 1, dtype=np.uint64))
+
+        def lists(values: np.ndarray, width: int) -> pa.Array:
+            at = pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * width)
+            return pa.ListArray.from_arrays(at, pa.array(np.ascontiguousarray(values).view(np.int64).ravel()))
+
         yield pa.record_batch(
             [
                 batch.column("doc_id"),
                 pa.array(mix(seq[0]).view(np.int64)),
                 pa.array((seq[1] + np.diff(before).astype(U)).view(np.int64)),
                 pa.array(size),
-                pa.ListArray.from_arrays(
-                    pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * BANDS), pa.array(bands.view(np.int64).ravel())
-                ),
+                lists(found[:, :ESTIMATED], ESTIMATED // LANES),
+                lists(keys, BANDS),
             ],
-            names=["doc_id", "a", "b", "n", "bands"],
+            names=["doc_id", "a", "b", "n", "registers", "keys"],
         )
 
 
@@ -102,10 +112,10 @@ def estimate(x: Column, y: Column, n: Column, m: Column) -> Column:
 
     def equal(p: Column, q: Column) -> Column:
         d = p.bitwiseXOR(q)
-        lanes = [F.when(F.shiftrightunsigned(d, 16 * k).bitwiseAND(0xFFFF) == 0, 1).otherwise(0) for k in range(ROWS)]
+        lanes = [F.when(F.shiftrightunsigned(d, 16 * k).bitwiseAND(0xFFFF) == 0, 1).otherwise(0) for k in range(LANES)]
         return sum(lanes[1:], lanes[0])
 
-    share = F.aggregate(F.zip_with(x, y, equal), F.lit(0), lambda a, v: a + v) / REGISTERS
+    share = F.aggregate(F.zip_with(x, y, equal), F.lit(0), lambda a, v: a + v) / ESTIMATED
     chance = F.lit(0.7213 / (1 << MANTISSA)) * n * m / ((n + m) * (n + m))
     return (share - chance) / (1 - chance)
 
@@ -129,20 +139,18 @@ def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id and kept (its document is its component's first) of every row."""
     df = doc_text(docs, id_col, text_col)
-    signed = write_table(df.mapInArrow(_sign, "doc_id long, a long, b long, n long, bands array<long>"), "signatures")
+    signed = write_table(df.mapInArrow(_sign, "doc_id long, a long, b long, n long, registers array<long>, keys array<long>"), "signatures")
     known = signed.filter("n > 0 AND doc_id IS NOT NULL")
     copies = known.groupBy("a", "b").agg(F.min("doc_id").alias("rep"), F.count("*").alias("c")).filter("c > 1").drop("c")
     rows = write_table(
-        known.join(copies, ["a", "b"], "left").select("doc_id", F.coalesce("rep", "doc_id").alias("rep"), "n", "bands"), "nodes"
+        known.join(copies, ["a", "b"], "left").select("doc_id", F.coalesce("rep", "doc_id").alias("rep"), "n", "registers", "keys"), "nodes"
     )
-    nodes = rows.filter("doc_id = rep").select(F.col("rep").alias("id"), "n", "bands").distinct()
+    nodes = rows.filter("doc_id = rep").select(F.col("rep").alias("id"), "n", "registers", "keys")
     # A shared id may stand for several texts: each of its representatives is linked to the smallest.
     spread = rows.groupBy("doc_id").agg(F.min("rep").alias("u"), F.max("rep").alias("top")).filter("u <> top")
     links = rows.select("doc_id", F.col("rep").alias("v")).join(spread, "doc_id").select("u", "v")
 
-    keys = nodes.select("id", F.posexplode("bands").alias("band", "value")).select(
-        F.xxhash64("band", "value").alias("key"), "id"
-    )
+    keys = nodes.select("id", "n", F.explode("keys").alias("key"))
     leaders = keys.groupBy("key").agg(F.min("id").alias("u"), F.count("*").alias("c")).filter("c > 1").drop("c")
     members = write_table(keys.join(leaders, "key"), "members")
     pairs = members.filter("u <> id").select("u", F.col("id").alias("v")).distinct()
@@ -150,7 +158,7 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     texts = write_table(
         df.join(maybe_broadcast(candidates), df.doc_id == candidates.id).select("id", "text"), "candidate-texts"
     )
-    sketches = nodes.join(candidates, "id")
+    sketches = nodes.select("id", "n", "registers").join(candidates, "id").distinct()
     tried = None
     for low, high in zip((0, *RANKS), RANKS):
         if tried is not None:
@@ -159,8 +167,8 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
         found = _confirmed(pairs, sketches, texts)
         links = write_table(links.unionByName(found), "links")
         labels = components(links)
-        placed = members.select("key", "id").join(labels, members.id == labels.node, "left").select(
-            "key", "id", F.coalesce("comp", "id").alias("comp")
+        placed = members.select("key", "id", "n").join(labels, members.id == labels.node, "left").select(
+            "key", "id", "n", F.coalesce("comp", "id").alias("comp")
         )
         mixed = placed.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x <> y").select("key")
         open_ = write_table(
@@ -171,11 +179,11 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
         tried = pairs if tried is None else write_table(tried.unionByName(pairs), "tried")
         following = RANKS[RANKS.index(high) + 1]
         first = open_.filter((F.col("rank") > high) & (F.col("rank") <= following)).select(
-            "key", F.col("id").alias("p"), F.col("comp").alias("cp"), F.col("rank").alias("rp")
+            "key", F.col("id").alias("p"), F.col("n").alias("m"), F.col("comp").alias("cp"), F.col("rank").alias("rp")
         )
         pairs = (
             open_.join(first, "key")
-            .filter("comp <> cp AND rank > rp")
+            .filter(f"comp <> cp AND rank > rp AND 100 * least(n, m) >= {PERCENT} * greatest(n, m)")
             .select(F.least("p", "id").alias("u"), F.greatest("p", "id").alias("v"))
             .distinct()
         )
@@ -202,8 +210,8 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 def _confirmed(pairs: DataFrame, sketches: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs u, v that pass the estimate and then the comparison of full sets."""
-    x = sketches.select(F.col("id").alias("u"), F.col("n").alias("n"), F.col("bands").alias("x"))
-    y = sketches.select(F.col("id").alias("v"), F.col("n").alias("m"), F.col("bands").alias("y"))
+    x = sketches.select(F.col("id").alias("u"), F.col("n").alias("n"), F.col("registers").alias("x"))
+    y = sketches.select(F.col("id").alias("v"), F.col("n").alias("m"), F.col("registers").alias("y"))
     likely = (
         pairs.join(x, "u")
         .join(y, "v")
