@@ -9,15 +9,16 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def match_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """Matching-blocks similarity, 0 to 100; null counts as empty. Give it distinct pairs only."""
     return pd.Series([100 * difflib.SequenceMatcher(None, x or "", y or "").ratio() for x, y in zip(a, b)], dtype="float64")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def html_unescape(c: pd.Series) -> pd.Series:
     """All HTML entities decoded."""
     return c.map(lambda x: None if x is None else html.unescape(x))

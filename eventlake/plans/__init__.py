@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import filters, joins, registry, reports, sources  # noqa: F401
+from . import extract, filters, joins, registry, reports, sources  # noqa: F401
 
 
 def queries() -> dict[str, registry.Query]:

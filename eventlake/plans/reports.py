@@ -69,7 +69,7 @@ def e9_coverage(spark: SparkSession, d: str) -> DataFrame:
     return a.coverage(j, F.coalesce("in", F.lit(False)).cast("int"), F.col("n_chars")).withColumn("share", F.round("share", 6))
 
 
-@query("""SELECT count_if(p_partkey IS NOT NULL) AS cached, count_if(p_partkey IS NULL) AS uncached, round(count_if(p_partkey IS NULL) * 0.005, 4) AS price
+@query("""SELECT count_if(p_partkey IS NOT NULL) AS cached, count_if(p_partkey IS NULL) AS uncached, CAST(round(count_if(p_partkey IS NULL) * 0.005, 4) AS DOUBLE) AS price
  FROM (SELECT DISTINCT l_partkey FROM lineitem) l LEFT JOIN (SELECT p_partkey FROM part WHERE p_partkey % 3 = 0) p ON l_partkey = p_partkey""")
 def e10_cost_preview(spark: SparkSession, d: str) -> DataFrame:
     need = table(spark, d, "lineitem").select(F.col("l_partkey").alias("k")).distinct()
@@ -94,7 +94,7 @@ def f1_keep_first(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""SELECT md5(text) AS key, doc_id, n_score FROM (SELECT *, row_number() OVER (PARTITION BY text ORDER BY n_score DESC, doc_id) AS r FROM
- (SELECT *, CASE WHEN source IN ('src1', 'src2') THEN 3.0 ELSE 0.0 END + CASE WHEN doc_id % 2 = 0 THEN 1.0 ELSE 0.0 END AS n_score FROM documents WHERE text IS NOT NULL)) WHERE r = 1""")
+ (SELECT *, CAST(CASE WHEN source IN ('src1', 'src2') THEN 3.0 ELSE 0.0 END + CASE WHEN doc_id % 2 = 0 THEN 1.0 ELSE 0.0 END AS DOUBLE) AS n_score FROM documents WHERE text IS NOT NULL)) WHERE r = 1""")
 def f2_best_quality(spark: SparkSession, d: str) -> DataFrame:
     score = dd.completeness([(F.when(F.col("source").isin("src1", "src2"), "x"), 3.0), (F.when(F.col("doc_id") % 2 == 0, "x"), 1.0)])
     docs = table(spark, d, "documents").filter("text IS NOT NULL").withColumn("key", F.md5("text")).withColumn("n_score", score)
