@@ -19,25 +19,25 @@ def e1_counts(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""WITH l AS (SELECT c_custkey, c_mktsegment, max(o_orderdate) AS t FROM customer LEFT JOIN orders ON o_custkey = c_custkey AND o_orderkey % 10 = 0 GROUP BY ALL)
- SELECT c_mktsegment, count_if(t >= TIMESTAMP '2000-01-01') AS fresh, count_if(t < TIMESTAMP '2000-01-01') AS stale, count_if(t IS NULL) AS never, count(*) AS total FROM l GROUP BY 1""")
+ SELECT c_mktsegment, count(*) FILTER (WHERE t >= TIMESTAMP '2000-01-01') AS fresh, count(*) FILTER (WHERE t < TIMESTAMP '2000-01-01') AS stale, count(*) FILTER (WHERE t IS NULL) AS never, count(*) AS total FROM l GROUP BY 1""")
 def e2_freshness(spark: SparkSession, d: str) -> DataFrame:
     last = table(spark, d, "orders").filter("o_orderkey % 10 = 0").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.max("o_orderdate").alias("t"))
     j = table(spark, d, "customer").join(last, "c_custkey", "left")
     return a.freshness_rollup(j, "c_mktsegment", F.col("t"), F.lit("2000-01-01").cast("timestamp_ntz"))
 
 
-@query("""SELECT p_type, count(*) AS n, count_if(p_size > 25) AS n_known FROM part GROUP BY 1""")
+@query("""SELECT p_type, count(*) AS n, count(*) FILTER (WHERE p_size > 25) AS n_known FROM part GROUP BY 1""")
 def e3_facets(spark: SparkSession, d: str) -> DataFrame:
     return a.facets(table(spark, d, "part"), "p_type", F.col("p_size") > 25)
 
 
-@query("""SELECT o_orderstatus, count(*) AS n, count_if(o_orderkey % 3 = 0) AS n_known FROM orders GROUP BY 1""")
+@query("""SELECT o_orderstatus, count(*) AS n, count(*) FILTER (WHERE o_orderkey % 3 = 0) AS n_known FROM orders GROUP BY 1""")
 def e4_status(spark: SparkSession, d: str) -> DataFrame:
     return a.facets(table(spark, d, "orders"), "o_orderstatus", F.col("o_orderkey") % 3 == 0)
 
 
 @query("""WITH r AS (SELECT o_orderkey, o_orderstatus, count(l_orderkey) AS n FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey AND l_linenumber > 2 GROUP BY ALL)
- SELECT o_orderstatus, count_if(n > 0) AS non_empty, count_if(n = 0) AS empty, CAST(sum(n) AS BIGINT) AS total FROM r GROUP BY 1""")
+ SELECT o_orderstatus, count(*) FILTER (WHERE n > 0) AS non_empty, count(*) FILTER (WHERE n = 0) AS empty, CAST(sum(n) AS BIGINT) AS total FROM r GROUP BY 1""")
 def e5_run_summary(spark: SparkSession, d: str) -> DataFrame:
     n = table(spark, d, "lineitem").filter("l_linenumber > 2").groupBy(F.col("l_orderkey").alias("o_orderkey")).count()
     j = table(spark, d, "orders").join(n, "o_orderkey", "left").withColumn("n", F.coalesce("count", F.lit(0)))
@@ -69,7 +69,7 @@ def e9_coverage(spark: SparkSession, d: str) -> DataFrame:
     return a.coverage(j, F.coalesce("in", F.lit(False)).cast("int"), F.col("n_chars")).withColumn("share", F.round("share", 6))
 
 
-@query("""SELECT count_if(p_partkey IS NOT NULL) AS cached, count_if(p_partkey IS NULL) AS uncached, CAST(round(count_if(p_partkey IS NULL) * 0.005, 4) AS DOUBLE) AS price
+@query("""SELECT count(*) FILTER (WHERE p_partkey IS NOT NULL) AS cached, count(*) FILTER (WHERE p_partkey IS NULL) AS uncached, CAST(round(count(*) FILTER (WHERE p_partkey IS NULL) * 0.005, 4) AS DOUBLE) AS price
  FROM (SELECT DISTINCT l_partkey FROM lineitem) l LEFT JOIN (SELECT p_partkey FROM part WHERE p_partkey % 3 = 0) p ON l_partkey = p_partkey""")
 def e10_cost_preview(spark: SparkSession, d: str) -> DataFrame:
     need = table(spark, d, "lineitem").select(F.col("l_partkey").alias("k")).distinct()
