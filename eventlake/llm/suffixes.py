@@ -98,7 +98,8 @@ def anchors(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             pos = (least & _LOW).astype(np.int64)
             pos = pos[np.concatenate([[True], pos[1:] != pos[:-1]])]
             positions.append(pos + lo)
-            hashes.append(grams[pos])
+            # Least hashes are small ones; scrambled again they spread evenly over slices and cells.
+            hashes.append(mix(grams[pos]))
     if not positions:
         return np.zeros(0, np.int64), np.zeros(0, U)
     pos, value = np.concatenate(positions), np.concatenate(hashes)
