@@ -1,0 +1,389 @@
+"""Each operator against a brute-force version on small hostile tables: nulls, empty and long texts, ties, repeated
+rows, empty tables, and extra columns with clashing names."""
+
+from __future__ import annotations
+
+import hashlib
+import math
+import random
+import re
+import zlib
+from collections import Counter
+
+import pytest
+from pyspark.sql import functions as F
+
+from eventlake.llm import (
+    chat,
+    components,
+    decontaminate,
+    near_dedup,
+    pieces,
+    quality,
+    secrets,
+    sharding,
+    substrings,
+    suffixes,
+    url_filter,
+)
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+DOCS = "doc_id long, text string"
+
+
+def sha(data) -> str:
+    return hashlib.sha256(data if isinstance(data, bytes) else data.encode()).hexdigest()
+
+
+def clashing(df):
+    """df with columns that operators might make themselves."""
+    names = ["run", "th", "w", "n", "key", "u", "v", "h", "range", "shard", "size", "score", "comp", "rep", "id", "block", "row"]
+    return df.select("*", *(F.lit("x").alias(c) for c in names))
+
+
+@pytest.fixture(scope="module")
+def rows():
+    rng = random.Random(5)
+    vocabulary = ["ab", "the", "ünd", "xyz", "q", "\x00a", "lorem", "ipsum", "zzzz", "a\tb", "x\u00a0y", "😀"]
+    base = [" ".join(rng.choice(vocabulary) for _ in range(60)) for _ in range(6)]
+    out = []
+    for i in range(120):
+        t = ""
+        for _ in range(rng.randint(0, 4)):
+            b = rng.choice(base)
+            a = rng.randint(0, len(b))
+            t += b[a : a + rng.randint(10, 200)] + "".join(rng.choice("abcdefghij \n") for _ in range(rng.randint(0, 30)))
+        out.append((i, t))
+    out += [(200, None), (201, ""), (202, " \n\t "), (None, base[0]), (None, base[0]), (7, base[1]), (7, base[1]), (-5, base[2])]
+    out += [(300, "a" * 500), (301, "a" * 49), (302, "a" * 50), (303, "a" * 51), (299, "b" * 30 + "a" * 60), (400, " ".join(base) * 40)]
+    out += [(401, base[3]), (402, base[3]), (403, base[3] + "\n" + base[4])]
+    rng.shuffle(out)
+    return out
+
+
+def windows_removed(units, ids, n):
+    """For each row, the positions covered by a window that also starts in a row with a smaller id."""
+    first: dict = {}
+    for i, u in zip(ids, units):
+        if i is not None:
+            for p in range(len(u) - n + 1):
+                k = u[p : p + n]
+                if k not in first or i < first[k]:
+                    first[k] = i
+    out = []
+    for i, u in zip(ids, units):
+        gone = [False] * len(u)
+        if i is not None:
+            for p in range(len(u) - n + 1):
+                if first[u[p : p + n]] < i:
+                    gone[p : p + n] = [True] * n
+        out.append(gone)
+    return out
+
+
+@pytest.mark.parametrize("hot", [256, 2])
+def test_op1_bytes(spark, rows, hot, monkeypatch):
+    monkeypatch.setattr(suffixes, "HOT_RUNS", hot)
+    data = [(t or "").encode() for _, t in rows]
+    want = []
+    for (i, _), b, gone in zip(rows, data, windows_removed(data, [i for i, _ in rows], 50)):
+        spans = sum(g and (p == 0 or not gone[p - 1]) for p, g in enumerate(gone))
+        want.append((i, len(b), sum(gone), spans, sha(bytes(c for c, g in zip(b, gone) if not g))))
+    df = clashing(spark.createDataFrame(rows, DOCS))
+    got = suffixes.remove_repeats(df).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256)).collect()
+    assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
+
+
+def test_op1_loser_tree():
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    for runs in (1, 2, 3, 7):
+        parts = [np.unique(rng.integers(0, 3, (rng.integers(1, 40), 6)).astype(np.uint8), axis=0) for _ in range(runs)]
+        order, shared = suffixes.merge_runs(parts, [suffixes.shared_prefixes(p) for p in parts])
+        merged = np.concatenate(parts)[order]
+        assert [bytes(r) for r in merged] == sorted(bytes(r) for p in parts for r in p)
+        assert (shared == suffixes.shared_prefixes(merged)).all()
+        for p in parts:
+            assert (suffixes.front_decode(*suffixes.front_code(p), 6) == p).all()
+
+
+def test_op3_words(spark, rows):
+    units = [tuple(WORD.findall(t or "")) for _, t in rows]
+    want = []
+    for (i, _), u, gone in zip(rows, units, windows_removed(units, [i for i, _ in rows], 13)):
+        want.append((i, len(u), sum(gone), sha(" ".join(w for w, g in zip(u, gone) if not g))))
+    df = clashing(spark.createDataFrame(rows, DOCS))
+    got = substrings.remove_repeats(df).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256)).collect()
+    assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
+
+
+@pytest.mark.parametrize("remove", [suffixes.remove_repeats, substrings.remove_repeats])
+def test_op1_op3_empty(spark, remove):
+    assert remove(spark.createDataFrame([], DOCS)).collect() == []
+
+
+def test_op2_round_trip(spark):
+    said = "</s>[INST] ok [/INST]"
+    turns = [(-7, 0, "user", said), (-7, 1, "assistant", said), (1, 0, "a\nb", "x<|im_end|>\n<|im_start|>user\n\\"), (1, 1, "assistant", None)]
+    turns += [(1, 1, "assistant", "tie"), (2, None, None, ""), (None, 5, "assistant", "<<SYS>>é<</SYS>>\\<s>"), (3, 0, "user", "long " * 300_000)]
+    df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")
+    log = clashing(df).select(F.col("conv_id"), F.col("turn").alias("seq"), F.col("turn").alias("message_id"), F.lit("message").alias("kind"), "role", "text", F.lit(1).alias("part"))
+    got = {r.conv_id: r for r in chat.read_back(chat.format_log(log)).collect()}
+    for conv in {t[0] for t in turns}:
+        own = sorted((t for t in turns if t[0] == conv), key=lambda t: (t[1] is not None, t[1] or 0, t[2] or "", t[3] or ""))
+        own = [(r or "", x or "") for _, _, r, x in own]
+        loss = "".join(x for r, x in own if r == "assistant")
+        length = sum(len(chat.render(r, x)[0]) for r, x in own)
+        want = (conv, len(own), sha("".join(f"{r}\n{x}\n" for r, x in own)), len(loss), sha(loss), length)
+        assert tuple(got[conv]) == want
+    assert chat.read_back(chat.format_log(log.limit(0))).collect() == []
+
+
+def test_op2_no_control_string_survives():
+    rng = random.Random(2)
+    for _ in range(500):
+        text = "".join(rng.choice([*chat.CONTROL, "<", "|", "[", "\\", "/", "s", ">", "é", "\n"]) for _ in range(rng.randint(0, 12)))
+        safe = chat.escape(text)
+        assert chat.unescape(safe) == text and not any(c in safe for c in chat.CONTROL)
+
+
+def test_op2_folds_events(spark):
+    log = [
+        (1, 1, 10, "start", "user", None), (1, 2, 10, "delta", "user", "Hel"), (1, 3, 20, "start", "assistant", ""), (1, 4, 10, "delta", "user", "lo"),
+        (1, 5, 20, "delta", "assistant", "bad"), (1, 6, 20, "regenerate", "assistant", None), (1, 7, 20, "delta", "assistant", "good"),
+        (1, 8, 30, "message", "user", "gone"), (1, 9, 30, "delete", "user", None), (1, 10, 40, "message", "user", "typo"), (1, 11, 40, "edit", "user", "fixed"),
+    ]
+    random.Random(1).shuffle(log)
+    df = spark.createDataFrame(log, "conv_id long, seq long, message_id long, kind string, role string, text string")
+    [row] = chat.format_log(df).collect()
+    assert row.formatted == "".join(chat.render(r, t)[0] for r, t in (("user", "Hello"), ("assistant", "good"), ("user", "fixed")))
+    assert [row.formatted[s.begin : s.end] for s in row.loss] == ["good"]
+
+
+def base_features(text):
+    w = WORD.findall(text or "")
+    tri = Counter(tuple(w[i : i + 3]) for i in range(len(w) - 2))
+    hit = {i + j for i in range(len(w) - 2) if tri[tuple(w[i : i + 3])] > 1 for j in range(3)}
+    lines = [x for x in (text or "").split("\n") if WORD.search(x)]
+    symbols = sum((text or "").count(c) for c in "#*$%&|<>")
+    return len(w), sum(map(len, w)), symbols, len(lines) - len(set(lines)), len(hit), len(w) < 50 or 100 * len(hit) > 50 * len(w)
+
+
+def test_op4_features_and_model(spark, rows):
+    more = [*rows, (500, "a b c " * 30), (501, "x\nx\ny # $\nx\n \n \n")]
+    df = clashing(spark.createDataFrame(more, DOCS))
+    labels = spark.createDataFrame([(i, i % 2 == 0) for i, _ in more if i is not None] + [(None, True), (3, None)], "doc_id long, good boolean")
+    got = quality.judge(df, labels).collect()
+    assert sorted((tuple(r)[:7] for r in got), key=str) == sorted(((i, *base_features(t)) for i, t in more), key=str)
+    assert not any(r.kept and r.base_failed for r in got)
+    kept = quality.keep_good(df, labels)
+    assert kept.columns == df.columns and kept.count() == sum(r.kept for r in got)
+    free = quality.judge(df, labels.limit(0)).collect()
+    assert all(r.kept != r.base_failed for r in free)
+    assert quality.judge(df.limit(0), labels).collect() == []
+
+
+def test_op4_tells_junk_from_prose(spark):
+    rng = random.Random(4)
+    good = lambda: " ".join(rng.choice(["the", "of", "and", *(f"w{rng.randint(0, 500)}" for _ in range(5))]) for _ in range(200))
+    junk = lambda: " ".join(f"w{rng.randint(0, 500)}***" for _ in range(200))
+    docs = [(i, junk() if i % 4 == 0 else good()) for i in range(400)]
+    labels = spark.createDataFrame([(i, i % 4 != 0) for i in range(200)], "doc_id long, good boolean")
+    got = quality.judge(spark.createDataFrame(docs, DOCS), labels).filter("doc_id >= 200").collect()
+    assert sum(r.kept == (r.doc_id % 4 != 0) for r in got) >= 198  # held out
+
+
+def test_op4_cut():
+    assert quality.best_cut([(0.0, False), (1.0, True)]) == 0.5
+    assert quality.best_cut([(0.0, False), (0.4, True), (1.0, True)]) == pytest.approx(0.2)
+    assert quality.best_cut([(1.0, True)]) == -math.inf and quality.best_cut([]) == -math.inf
+
+
+SECRETS = [
+    "token=token:abcdef", "Password: 'abcdefg'", "AKIA" + "A" * 16, "AKIA" + "A" * 15, "f" * 23, "é" + "f" * 24, "secrettoken==abcdef",
+    "-----BEGIN RSA PRIVATE KEY-----", "api_key = x.y+z/1=", "APIKEY:abc", "ghp_" + "a1" * 15, "passwd  :  \"secret=abcdef", "token=secret:abcdef", "token = !abcdefg",
+]
+
+
+def naive_spans(text):
+    found = []
+    patterns = [(r"(?i:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", 1, 6), (r"AKIA[A-Z0-9]+", 0, 20), (r"[0-9a-f]+", 0, 24)]
+    for k, (p, g, n) in enumerate(patterns):
+        found += [(m.start(), k, m.end()) for m in re.finditer(p, text) if len(m[g]) >= n]
+    return sorted(found)
+
+
+def test_op5_spans(spark, rows):
+    rng = random.Random(6)
+    texts = [*SECRETS, *(" ".join(rng.choice([*SECRETS, "der", "é", "\n"]) for _ in range(rng.randint(1, 300))) for _ in range(80)), None, "", "x" * 300_000 + SECRETS[0]]
+    df = clashing(spark.createDataFrame(list(enumerate(texts)), DOCS))
+    got = {r.doc_id: [(s.begin, s.rank, s.end) for s in r.spans] for r in secrets.scan(df).collect()}
+    for i, t in enumerate(texts):
+        assert [s for s in got[i] if s[1] < 3] == naive_spans(t or ""), t and t[:80]
+    assert got[7] and got[10]
+    clean = {r.doc_id: r.text for r in secrets.redact(df).collect()}
+    assert clean[1] == "[assign]'" and clean[len(texts) - 3] is None
+    assert secrets.scan(df.limit(0)).collect() == []
+
+
+def test_op5_automaton_is_minimal_and_right():
+    a = secrets.compile_rules(("ab*c", "[x-z]{2}", "q(r|s)?t"))
+    import numpy as np
+
+    for text in ("abbbc", "ac", "xy", "x", "qt", "qrt", "qrst", "aabcxzqt", ""):
+        data = np.frombuffer(text.encode(), np.uint8)
+        bits = int(a.rules_in(data, np.array([0, len(data)]))[0])
+        want = sum(bool(re.search(p, text)) << k for k, p in enumerate(("ab*c", "[x-z]{2}", "q(r|s)?t")))
+        assert bits == want, text
+
+
+def test_op6_hosts_rules_and_model(spark):
+    urls = [
+        "http://WWW.Example.com/de/1?q#f", "https://example.net/en/x", "http://a.example.net/en", "http://b.example.net", "http://x.net/", "http://o.org/fr/é?x", "no scheme",
+        None, "", "http://", "a://b://c/d", "http://cheap-casino.example.org/a", "http://museum.example.org/a", "http://h?x=1", "http://notexample.com/de/",
+    ]
+    model = url_filter.fit(url_filter.training_urls(spark))
+    df = clashing(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"))
+    got = {r.page_id: r for r in url_filter.judge(df, url_filter.RULES, model).collect()}
+    for i, u in enumerate(urls):
+        rest = u.split("://", 1)[1] if u and "://" in u else ""
+        host = re.split(r"[/?#]", rest, maxsplit=1)[0].translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
+        path = re.split(r"[?#]", rest[len(host) :], maxsplit=1)[0]
+        fit = [(len(t), t, what) for what, t in url_filter.RULES for h, p in [t.split("/", 1)] if (host == h or host.endswith("." + h)) and path.startswith("/" + p)]
+        want = max(fit)[1:] if fit else (None, None)
+        assert (got[i].host, got[i].path, got[i].rule) == (host, path, want[0])
+        assert want[1] is None or got[i].verdict == want[1]
+    assert got[11].verdict == "block" and got[12].verdict == "allow" and got[7].verdict == "allow"
+    assert url_filter.judge(df.limit(0), url_filter.RULES, model).collect() == []
+
+
+def test_op6_held_out_accuracy(spark):
+    held = [f"http://www.{a}-{b}.example.org/en/7" for a, b in (("poker", "bets"), ("xxx", "cams"), ("cheap", "loans"))]
+    fine = [f"http://{a}.example.org/en/7" for a in ("theres", "thtion", "therndan", "library-news", "tionthe")]
+    model = url_filter.fit(url_filter.training_urls(spark))
+    df = spark.createDataFrame(list(enumerate(held + fine)), "page_id long, url string")
+    got = {r.page_id: r.verdict for r in url_filter.judge(df, [], model).collect()}
+    assert [got[i] for i in range(8)] == ["block"] * 3 + ["allow"] * 5
+
+
+def test_op7_law_of_bytes(spark, rows):
+    more = [*rows, *((1000 + i, "same text " * 20) for i in range(300))]
+    df = clashing(spark.createDataFrame(more, DOCS))
+    got = sharding.shard(df, 8).collect()
+    assert Counter((r.doc_id, r.size, r.text_crc32) for r in got) == Counter((i, len((t or "").encode()) + 16, zlib.crc32((t or "").encode())) for i, t in more)
+    sizes = Counter()
+    for r in got:
+        sizes[r.shard] += r.size
+    for s in range(8):
+        assert sorted(r.slot for r in got if r.shard == s) == list(range(sum(r.shard == s for r in got)))
+    largest = max(r.size for r in got)
+    assert max(sizes.values()) - min(sizes[s] for s in range(8)) <= 2 * largest
+    assert sharding.shard(df.limit(0), 8).collect() == []
+
+
+def item_words(text):
+    low = (text or "").translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
+    return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", low)
+
+
+def test_op8_windows(spark):
+    rng = random.Random(3)
+    vocabulary = ["alpha", "Beta", "g1", "été", "Δx", "one", "two", "x"]
+    item = lambda n: " ".join(rng.choice(vocabulary) + rng.choice(["", ",", "."]) for _ in range(n))
+    items = [(i, item(n)) for i, n in enumerate([2, 3, 4, 7, 9, 10, 11, 14, 30, 0, 12])] + [(50, None), (51, "..."), (52, None)]
+    docs = [(i, " ".join(rng.choice([rng.choice(items)[1] or "", item(rng.randint(0, 20)), (rng.choice(items)[1] or "").upper()]) for _ in range(3))) for i in range(60)]
+    docs += [(100, None), (101, ""), (102, items[8][1]), (7, items[8][1]), (103, "z " * 30_000 + items[10][1]), (None, items[8][1])]
+    df = clashing(spark.createDataFrame(docs, DOCS))
+    got = decontaminate.find(df, spark.createDataFrame(items, "item_id long, text string").withColumn("win", F.lit(1))).collect()
+    want = []
+    for i, t in docs:
+        w, hit, named = item_words(t), set(), set()
+        for k, x in items:
+            own = item_words(x)
+            n = min(10, len(own))
+            wins = {tuple(own[p : p + n]) for p in range(len(own) - n + 1)} if n else set()
+            at = [p for p in range(len(w) - n + 1) if tuple(w[p : p + n]) in wins] if n else []
+            hit |= {p + j for p in at for j in range(n)}
+            named |= {str(k)} if at else set()
+        want.append((i, len(w), len(hit), sorted(named), bool(hit)))
+    # A null id cannot be joined to its hits; its words are counted.
+    mine = [(r.doc_id, r.n_words, r.n_hit, list(r["items"]), r.contaminated) for r in got]
+    assert sorted((m for m in mine if m[0] is not None), key=str) == sorted((x for x in want if x[0] is not None), key=str)
+    assert [m[1] for m in mine if m[0] is None] == [30]
+    clean = decontaminate.keep_clean(df, spark.createDataFrame(items, "item_id long, text string"))
+    assert clean.columns == df.columns
+    assert decontaminate.find(df.limit(0), spark.createDataFrame(items, "item_id long, text string")).collect() == []
+    assert not any(r.contaminated for r in decontaminate.find(df, spark.createDataFrame([], "item_id long, text string")).collect())
+
+
+def test_op9_components(spark):
+    rng = random.Random(9)
+    word = lambda: f"w{rng.randint(0, 4000)}"
+    docs = []
+    for g in range(12):
+        base = [word() for _ in range(120)]
+        for _ in range(rng.randint(1, 12)):
+            own = list(base)
+            for _ in range(rng.randint(0, 12)):
+                own[rng.randrange(len(own))] = word()
+            docs.append(" ".join(own))
+    shared = [word() for _ in range(70)]
+    docs += [" ".join([*shared, *(word() for _ in range(rng.randint(10, 60)))]) for _ in range(40)]
+    docs += [docs[0], docs[0].upper(), "one two", "ONE two", "one", "", " ", None]
+    order = list(range(len(docs)))
+    rng.shuffle(order)
+    rows = [(i, docs[k]) for i, k in enumerate(order)] + [(None, docs[0]), (1000, docs[1]), (1000, docs[1])]
+
+    def grams(t):
+        w = WORD.findall((t or "").translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")))
+        return {tuple(w[p : p + 4]) for p in range(len(w) - 3)} if len(w) >= 4 else {tuple(w)} if w else set()
+
+    sets = [(i, grams(t)) for i, t in rows]
+    parent = {i: i for i, _ in sets if i is not None}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, (i, s) in enumerate(sets):
+        for j, t in sets[:a]:
+            if i is not None and j is not None and s and t and 100 * len(s & t) >= 80 * len(s | t):
+                x, y = sorted((root(i), root(j)))
+                parent[y] = x
+    want = [(i, len(s), None if i is None else root(i), True if i is None else root(i) == i) for i, s in sets]
+    df = clashing(spark.createDataFrame(rows, DOCS))
+    got = [tuple(r) for r in near_dedup.link(df).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)
+    kept = near_dedup.keep_first(df)
+    assert kept.columns == df.columns
+    assert sorted(r.doc_id for r in kept.collect() if r.doc_id is not None) == sorted({w[0] for w in want if w[0] is not None and w[3]})
+    assert near_dedup.link(df.limit(0)).collect() == []
+
+
+def test_op9_components_of_a_path(spark):
+    edges = [(i, i + 1) for i in range(40)] + [(100, 7), (200, 201), (5, 5)]
+    got = dict(components.components(spark.createDataFrame(edges, "u long, v long")).collect())
+    assert got == {**{i: 0 for i in [*range(41), 100]}, 200: 200, 201: 200}
+
+
+def test_op10_round_trip_and_best_paths(spark):
+    p = pieces.Pieces.load(pieces.default_model())
+    texts = ["  two  spaces ", "\n\n tab\t", "漢字 😀 ñandú", "a▁b ▁", "", None, " ", "x" * 5000, "\x00null", "The quick brown fox, 12345."]
+    df = clashing(spark.createDataFrame(list(enumerate([*texts, *texts])), DOCS))
+    got = {r.doc_id: r for r in pieces.encode(df, pieces.default_model()).collect()}
+    assert [got[i].decoded for i in range(len(texts))] == [t or "" for t in texts]
+    score = {t: p.scores[i] for i, t in enumerate(p.texts) if p.kinds[i] == 1}
+    for word in ("▁quick", "▁brownfoxes", "▁Erthenin", "▁ñandú", "▁漢字x", "▁▁▁a"):
+        best = [0.0] + [-math.inf] * len(word)
+        for e in range(1, len(word) + 1):
+            for b in range(max(0, e - 16), e):
+                s = score.get(word[b:e], p.unknown if e - b == 1 else -math.inf)
+                best[e] = max(best[e], best[b] + s)
+        codes = pieces._codes([word])
+        [ids] = pieces.best_paths(p, codes)
+        plain = [i for i in ids if p.kinds[i] == 1]
+        spelt = len(word) - sum(len(p.texts[i]) for i in plain)  # characters given as bytes
+        assert sum(p.scores[i] for i in plain) + spelt * p.unknown == pytest.approx(best[-1], rel=1e-12)
+    assert pieces.encode(df.limit(0), pieces.default_model()).collect() == []
