@@ -93,11 +93,16 @@ def relevance(tokens: DataFrame, hay: DataFrame, group: str, item: str, named: C
 def relevant(scored: DataFrame, group: str, item: str, least: int, shared: bool) -> DataFrame:
     """Items at or above least. A group without any: none if the feed is shared, all if it has at most two, else its top
     five if the best reaches 12."""
-    w = Window.partitionBy(group)
-    s = scored.withColumn("best", F.max("score").over(w)).withColumn("n", F.count("*").over(w))
-    s = s.withColumn("rank", F.row_number().over(w.orderBy(F.desc("score"), item)))
-    fallback = F.lit(False) if shared else (F.col("n") <= 2) | ((F.col("best") >= 12) & (F.col("rank") <= 5))
-    return s.filter(F.when(F.col("best") >= least, F.col("score") >= least).otherwise(fallback)).select(group, item, "score")
+    # Group figures are combined before the shuffle and the top five pruned within tasks: a group of any size is fine.
+    figures = scored.groupBy(group).agg(F.max("score").alias("best"), F.count("*").alias("n"))
+    s = scored.join(figures, group)
+    few = F.lit(not shared) & (F.col("n") <= 2)
+    kept = s.filter(F.when(F.col("best") >= least, F.col("score") >= least).otherwise(few)).select(group, item, "score")
+    if shared:
+        return kept
+    rank = F.row_number().over(Window.partitionBy(group).orderBy(F.desc("score"), item))
+    rest = s.filter((F.col("best") < least) & (F.col("n") > 2) & (F.col("best") >= 12))
+    return kept.unionByName(rest.withColumn("rank", rank).filter("rank <= 5").select(group, item, "score"))
 
 
 def overlaps(left: DataFrame, right: DataFrame, by: str, key: str, other: str, bucket_s: int = 21600) -> DataFrame:
