@@ -35,8 +35,9 @@ REGISTERS = BANDS * ROWS
 ESTIMATED, LANES = 128, 4
 #: An estimate so far below the threshold (over five standard deviations) rules a pair out.
 MARGIN = 0.2
-#: Ranks within a band key that the rounds after the first pair with the rest.
-RANKS = (1, 4, 32, 1 << 62)
+#: How many documents of a band key each round pairs with those of other components; the last round takes all. Ranks go
+#: by component first (its smallest id, then its second ...), so that early rounds join components with each other.
+RANKS = (1, 4, 16, 1 << 62)
 _RNG = np.random.default_rng(77)
 _FACTOR = _RNG.integers(1, 2**63, REGISTERS, dtype=np.uint64) * U(2) + U(1)
 _SHIFT = _RNG.integers(0, 2**63, REGISTERS, dtype=np.uint64)
@@ -160,7 +161,7 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     )
     sketches = nodes.select("id", "n", "registers").join(candidates, "id").distinct()
     tried = None
-    for low, high in zip((0, *RANKS), RANKS):
+    for high in RANKS:
         if tried is not None:
             pairs = pairs.join(tried, ["u", "v"], "left_anti")
         pairs = write_table(pairs, "pairs")
@@ -171,14 +172,14 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
             "key", "id", "n", F.coalesce("comp", "id").alias("comp")
         )
         mixed = placed.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x <> y").select("key")
-        open_ = write_table(
-            placed.join(mixed, "key").withColumn("rank", F.row_number().over(Window.partitionBy("key").orderBy("id"))), "open"
-        )
+        nth = F.row_number().over(Window.partitionBy("key", "comp").orderBy("id"))
+        rank = F.row_number().over(Window.partitionBy("key").orderBy("nth", "id"))
+        open_ = write_table(placed.join(mixed, "key").withColumn("nth", nth).withColumn("rank", rank), "open")
         if high == RANKS[-1] or open_.isEmpty():
             break
         tried = pairs if tried is None else write_table(tried.unionByName(pairs), "tried")
         following = RANKS[RANKS.index(high) + 1]
-        first = open_.filter((F.col("rank") > high) & (F.col("rank") <= following)).select(
+        first = open_.filter(F.col("rank") <= following).select(
             "key", F.col("id").alias("p"), F.col("n").alias("m"), F.col("comp").alias("cp"), F.col("rank").alias("rp")
         )
         pairs = (
