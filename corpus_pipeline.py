@@ -8,29 +8,55 @@ the piece ids of every remaining text.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from eventlake.llm import decontaminate, near_dedup, pieces, quality, secrets
-from eventlake.llm.common import read, write_table
+from eventlake.llm.common import WRITTEN, delete_tables, read, write_table
+
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+_finished: list[str] = []
+
+
+def freeing(stage: Stage) -> Stage:
+    """A stage that first deletes the tables that the stage before it wrote on its way: by the time a stage is called,
+    the result of the one before is written and read again."""
+
+    @wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        delete_tables(spark, _finished)
+        since = len(WRITTEN)
+        out = stage(spark, docs, sf_dir)
+        _finished[:] = WRITTEN[since:]
+        return out
+
+    return run
 
 
+@freeing
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality.keep_good(docs, quality.quality_labels(spark, sf_dir))
 
 
+@freeing
 def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return near_dedup.keep_first(docs)
 
 
+@freeing
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return decontaminate.keep_clean(docs, read(spark, sf_dir, "benchmark"))
 
 
+@freeing
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return secrets.redact(docs, length_col="n_chars" if "n_chars" in docs.columns else None)
 
 
+@freeing
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return pieces.encode(docs, pieces.default_model()).select("doc_id", F.size("ids").cast("long").alias("n_ids"), "ids")
 
