@@ -1,14 +1,18 @@
-"""SentencePiece encoding and decoding by a batched numpy Viterbi.
+"""SentencePiece encoding and decoding: merges in rank order for BPE files, a batched numpy Viterbi for unigram files.
 
 The piece file is the caller's; nothing is trained. Text is normalised as the file says for identity normalisers (a
 space before the text, spaces as U+2581) and cut into words, each a run of U+2581 and what follows up to the next:
-no piece of two or more characters crosses such a border, so the words' best paths make up the text's. The distinct
-words of a batch are grouped by length, and the words of one length advance together: at every position all candidate
-substrings are looked up by hash among the sorted piece keys, and the best sum of scores and its piece length are
-kept with vector operations. Characters without a piece become byte pieces.
+no piece of two or more characters crosses such a border, so the words' ids make up the text's. The distinct words of
+a batch are grouped by length, and the words of one length advance together. Characters without a piece become byte
+pieces.
 
-The scores are used as unigram scores: the path has the largest sum. For a file whose pieces were ranked by merges,
-this is the library's unigram decoding of the same pieces, not its order of merges; see the README.
+BPE file (the file says which it is): in every round each word merges the one neighbouring pair whose piece has the
+highest score, of equals the leftmost, until no pair makes a piece; of each word only the two pairs at the merge are
+looked up again. Words of more than LONG characters keep their pairs in a heap instead. Such a file with user-defined
+or unused pieces is refused, as those follow other rules.
+
+Other files: at every position all candidate substrings are looked up by hash among the sorted piece keys, and the best
+sum of scores and its piece length are kept with vector operations.
 
 Decoding restores every text exactly: a literal U+2581 is coded as bytes, not as a space. Null text is empty and gives
 no ids, as does an empty text. Repeated rows are coded alike. Other columns are not read.
@@ -16,6 +20,7 @@ no ids, as does an empty text. Repeated rows are coded alike. Other columns are
 
 from __future__ import annotations
 
+import heapq
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -36,7 +41,14 @@ _LITERAL = "\ud800"
 #: Score of a character without a piece, below the lowest.
 UNKNOWN_PENALTY = 10.0
 #: Distinct words remembered by a task, and characters of words coded at once.
-MEMORY, AT_ONCE = 1 << 18, 1 << 20
+MEMORY, AT_ONCE = 1 << 17, 1 << 18
+#: Rows coded at once.
+ROWS = 500
+#: Longer words are merged one by one with a heap.
+LONG = 64
+
+
+_BPE = 2  # the trainer's model type
 
 
 def _varint(data: bytes, at: int) -> tuple[int, int]:
@@ -82,16 +94,19 @@ class Pieces:
     longest: int
     unknown: float
     most: int
+    merges: "Merges | None"
 
     @classmethod
     def parse(cls, model: bytes) -> "Pieces":
-        texts, scores, kinds = [], [], []
+        texts, scores, kinds, model_type = [], [], [], 1
         for number, value in _fields(model):
             if number == 1:  # a piece: text, score, kind (1 ordinary, 6 a byte)
                 piece = dict(_fields(value))
                 texts.append(piece[1].decode())
                 scores.append(float(np.frombuffer(piece.get(2, bytes(4)), np.float32)[0]))
                 kinds.append(int(piece.get(3, 1)))
+            elif number == 2:  # how it was trained
+                model_type = dict(_fields(value)).get(3, 1)
         plain = [i for i, k in enumerate(kinds) if k == 1]
         # Every beginning of a piece has a key, so that a search stops where no piece goes on; -1: no piece itself.
         number = {texts[i][:k]: -1 for i in plain for k in range(1, len(texts[i]))} | {texts[i]: i for i in plain}
@@ -119,6 +134,7 @@ class Pieces:
             max(len(texts[i]) for i in plain),
             least - UNKNOWN_PENALTY,
             int(np.bincount((keys >> U(64 - _LEAD)).astype(np.int64)).max()),
+            Merges.of(texts, scores, kinds) if model_type == _BPE else None,
         )
 
     def find(self, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -138,6 +154,69 @@ class Pieces:
             return cls.parse(f.read())
 
 
+#: Rank of a pair that makes no piece.
+_NEVER = np.int32(2**31 - 1)
+
+
+@dataclass
+class Merges:
+    """Symbols are piece ids, then numbers for characters that only occur within pieces, then `n_symbols - 1` for any
+    other. pairs: left * n_symbols + right to the piece that they make; keys, ids: the same sorted by hash, first: where
+    each value of the leading bits begins; rank: order of merging by piece id, _NEVER for id -1."""
+
+    n_symbols: int
+    chars: np.ndarray
+    pairs: dict[int, int]
+    keys: np.ndarray
+    ids: np.ndarray
+    first: np.ndarray
+    most: int
+    rank: np.ndarray
+
+    @classmethod
+    def of(cls, texts: list[str], scores: list[float], kinds: list[int]) -> "Merges":
+        if {4, 5} & set(kinds):
+            raise ValueError("user-defined or unused pieces in a BPE file")
+        symbols = {t: i for i, (t, k) in enumerate(zip(texts, kinds)) if k == 1}
+        for c in sorted({c for t in symbols for c in t} - symbols.keys()):
+            symbols[c] = len(texts) + sum(v >= len(texts) for v in symbols.values())
+        n = len(texts) + sum(v >= len(texts) for v in symbols.values()) + 1
+        chars = np.full(0x110000, n - 1, np.int32)
+        pairs = {}
+        for text, i in symbols.items():
+            if len(text) == 1:
+                chars[ord(text)] = i
+            for k in range(1, len(text)):
+                left, right = symbols.get(text[:k]), symbols.get(text[k:])
+                if left is not None and right is not None:
+                    pairs[left * n + right] = i
+        keys, ids = np.fromiter(pairs, np.uint64, len(pairs)), np.fromiter(pairs.values(), np.int32, len(pairs))
+        lead = mix(keys) >> U(64 - _LEAD)
+        order = np.argsort(lead, kind="stable")
+        most = int(np.bincount(lead.astype(np.int64), minlength=1).max())
+        rank = np.append(np.unique(-np.array(scores), return_inverse=True)[1].astype(np.int32), _NEVER)
+        return cls(
+            n,
+            chars,
+            pairs,
+            np.append(keys[order], np.full(most + 1, 2**64 - 1, np.uint64)),
+            np.append(ids[order], np.full(most + 1, -1, np.int32)),
+            np.searchsorted(lead[order], np.arange(1 << _LEAD, dtype=np.uint64)),
+            most,
+            rank,
+        )
+
+    def find(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The piece that each pair of symbols makes, or -1."""
+        key = left.astype(U) * U(self.n_symbols) + right.astype(U)
+        at = self.first[mix(key) >> U(64 - _LEAD)]
+        out = np.full(len(key), -1, np.int32)
+        for step in range(self.most):
+            hit = np.flatnonzero(self.keys[at + step] == key)
+            out[hit] = self.ids[at[hit] + step]
+        return out
+
+
 _BASE = 0x9E3779B97F4A7C15
 _LEAD = 18
 
@@ -206,6 +285,87 @@ def best_paths(pieces: Pieces, codes: np.ndarray) -> list[list[int]]:
     return out
 
 
+def _as_ids(pieces: Pieces, symbols: list[int], codes: list[int]) -> list[int]:
+    """Ids of the symbols of a word; codes: the first code point of each. Characters without a piece become bytes."""
+    n, byte_ids, out = len(pieces.texts), pieces.byte_ids, []
+    for s, code in zip(symbols, codes):
+        if s < n:
+            out.append(s)
+        else:
+            c = chr(code)
+            out += [int(byte_ids[x]) for x in (SPACE if c == _LITERAL else c).encode()]
+    return out
+
+
+def merged(pieces: Pieces, codes: np.ndarray) -> list[list[int]]:
+    """Piece ids of words of one length, given as rows of code points, by merging pairs in the order of their rank."""
+    m = pieces.merges
+    n, length = codes.shape
+    if length > LONG:
+        return [_merged_long(pieces, row) for row in codes]
+    # Two more columns stand for what is after the last and, as column -1, before the first character.
+    final = np.full((n, length + 2), m.n_symbols - 1, np.int32)
+    final[:, :length] = m.chars[codes]
+    sym, every = final.copy(), np.arange(n)
+    into = np.full((n, length + 2), -1, np.int32)
+    into[:, : length - 1] = m.find(sym[:, : length - 1].ravel(), sym[:, 1:length].ravel()).reshape(n, -1)
+    rank = m.rank[into]
+    after = np.tile(np.arange(1, length + 3, dtype=np.int32), (n, 1))
+    before = np.tile(np.arange(-1, length + 1, dtype=np.int32), (n, 1))
+    while len(every):
+        at = rank.argmin(1)
+        on = np.flatnonzero(rank[np.arange(len(every)), at] != _NEVER)
+        if len(on) <= 0.75 * len(every):  # finished words leave
+            final[every] = sym
+            every, sym, into, rank, after, before, at = (x[on] for x in (every, sym, into, rank, after, before, at))
+            on = np.arange(len(every))
+        left = at[on]
+        gone = after[on, left]
+        right, prior = after[on, gone], before[on, left]
+        sym[on, left] = into[on, left]
+        sym[on, gone] = -1
+        rank[on, gone] = _NEVER
+        after[on, left] = right
+        before[on, right] = left
+        made = m.find(sym[on, left], sym[on, right])
+        into[on, left], rank[on, left] = made, m.rank[made]
+        made = m.find(sym[on, prior], sym[on, left])
+        into[on, prior], rank[on, prior] = made, m.rank[made]
+    own = final[:, :length]
+    there = own >= 0
+    flat, ends = own[there].tolist(), np.cumsum(there.sum(1)).tolist()
+    out = [flat[a:b] for a, b in zip([0, *ends], ends)]
+    for w in np.flatnonzero((own >= len(pieces.texts)).any(1)).tolist():
+        out[w] = _as_ids(pieces, out[w], codes[w, there[w]].tolist())
+    return out
+
+
+def _merged_long(pieces: Pieces, codes: np.ndarray) -> list[int]:
+    """The same for one word, its pairs in a heap by rank and place."""
+    m = pieces.merges
+    n, pairs, rank = m.n_symbols, m.pairs, m.rank.tolist()
+    sym = m.chars[codes].tolist()
+    size = len(sym)
+    after, before = [*range(1, size + 1)], [*range(-1, size - 1)]
+    heap = [(rank[p], i, p) for i in range(size - 1) if (p := pairs.get(sym[i] * n + sym[i + 1])) is not None]
+    heapq.heapify(heap)
+    while heap:
+        _, i, p = heapq.heappop(heap)
+        j = after[i]
+        # Out of date: the left symbol is gone, or the two no longer make this piece.
+        if sym[i] < 0 or j == size or pairs.get(sym[i] * n + sym[j]) != p:
+            continue
+        sym[i], sym[j] = p, -1
+        after[i] = right = after[j]
+        if right < size:
+            before[right] = i
+        for a, b in ((before[i], i), (i, right)):
+            if a >= 0 and b < size and (q := pairs.get(sym[a] * n + sym[b])) is not None:
+                heapq.heappush(heap, (rank[q], a, q))
+    there = [i for i, s in enumerate(sym) if s >= 0]
+    return _as_ids(pieces, [sym[i] for i in there], codes[there].tolist())
+
+
 _WORD = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 
 
@@ -213,7 +373,7 @@ class Encoder:
     """Codes batches of texts; remembers words of earlier batches up to MEMORY."""
 
     def __init__(self, pieces: Pieces) -> None:
-        self.pieces, self.memory = pieces, {}
+        self.pieces, self.memory, self.numbers = pieces, {}, list(range(len(pieces.texts)))
         self.plain = [
             bytes([int(t[3:5], 16)]) if k == 6 else t.replace(SPACE, " ").encode() for t, k in zip(pieces.texts, pieces.kinds)
         ]
@@ -233,11 +393,14 @@ class Encoder:
         by_length: dict[int, list[str]] = {}
         for w in new:
             by_length.setdefault(len(w), []).append(w)
+        code = merged if self.pieces.merges else best_paths
         for length, words in by_length.items():
             step = max(1, AT_ONCE // length)
             for i in range(0, len(words), step):
                 part = words[i : i + step]
-                self.memory.update(zip(part, best_paths(self.pieces, _codes(part))))
+                coded = code(self.pieces, _codes(part))
+                # One object for each id, however many words have it.
+                self.memory.update((w, tuple(map(self.numbers.__getitem__, ids))) for w, ids in zip(part, coded))
         known = self.memory
         return [list(chain.from_iterable(map(known.__getitem__, ws))) for ws in cut]
 
@@ -262,8 +425,8 @@ def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = encoder_of(held.value)
         for batch in batches:
-            for i in range(0, batch.num_rows, 2000):
-                part = batch.slice(i, 2000)
+            for i in range(0, batch.num_rows, ROWS):
+                part = batch.slice(i, ROWS)
                 ids = encoder.encode(part.column("text").to_pylist())
                 yield pa.record_batch(
                     [

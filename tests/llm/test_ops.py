@@ -387,3 +387,16 @@ def test_op10_round_trip_and_best_paths(spark):
         spelt = len(word) - sum(len(p.texts[i]) for i in plain)  # characters given as bytes
         assert sum(p.scores[i] for i in plain) + spelt * p.unknown == pytest.approx(best[-1], rel=1e-12)
     assert pieces.encode(df.limit(0), pieces.default_model()).collect() == []
+
+
+def test_op10_merges_as_the_library():
+    sp = pytest.importorskip("sentencepiece").SentencePieceProcessor(model_file=pieces.default_model())
+    rng = random.Random(10)
+    encoder = pieces.Encoder(pieces.Pieces.load(pieces.default_model()))
+    assert encoder.encode([" information"[1:], "government"]) == [[sp.piece_to_id("▁information")], [sp.piece_to_id("▁government")]]
+    letters = ["th", "e", "in", "form", "ation", "a", "o", "ß", "漢", "😀", "0", "ing", " ", "  ", "\n", "un", "iv", "ers", "ity", ".", "\ufffd"]
+    texts = ["".join(rng.choices(letters, k=rng.randint(0, 40))) for _ in range(3000)]
+    texts += ["a", " ", "    ", "x" * 5000, "ab" * 700, "".join(rng.choices([x for x in letters if " " not in x], k=4000)), " " * 3000 + "z"]
+    assert encoder.encode(texts) == [sp.encode(t) for t in texts]
+    many = [" ".join(texts[i : i + 100]) for i in range(0, 3000, 100)]
+    assert encoder.encode(many) == [sp.encode(t) for t in many]
