@@ -8,8 +8,9 @@ An item of fewer words is one window of its own length; for such lengths (at mos
 that the benchmark has) documents offer all their grams of that length by hash, and hits are confirmed word for word.
 
 Null and empty texts have no words; items without words are ignored. Repeated documents are judged alike; rows that
-share an id are told apart by their text. Empty tables give no rows, or no hits. Other columns are not read. Positions
-take POS_BITS bits of a fingerprint, which allows 16 million words a document.
+share an id are told apart by their text, and a null id is an id like any other. Empty tables give no rows, or no hits.
+Other columns are not read. Positions take POS_BITS bits of a fingerprint; a document of more words than that (16
+million) is fingerprinted in blocks, which overlap so that each window lies within one.
 """
 
 from __future__ import annotations
@@ -36,6 +37,12 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.withColumn("th", F.xxhash64("text"))
 
 
+def _join_rows(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Inner join on doc_id, which may be null, and th; the keys of left."""
+    right = right.withColumnsRenamed({"doc_id": "hit_id", "th": "hit_th"})
+    return left.join(right, F.col("doc_id").eqNullSafe(F.col("hit_id")) & (F.col("th") == F.col("hit_th"))).drop("hit_id", "hit_th")
+
+
 def _gram(words: str, at: str, n: int) -> str:
     return f"xxhash64({n}, " + ", ".join(f"get({words}, {at} + {j})" for j in range(n)) + ")"
 
@@ -62,8 +69,17 @@ def find(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: st
     low = (1 << POS_BITS) - 1
     worded = df.withColumn("w", item_words(F.col("text")))
 
-    # Fingerprints, with the position in the low bits so that ties go to the leftmost gram.
-    grams = worded.withColumn(
+    # Fingerprints, with the position in the low bits so that ties go to the leftmost gram. Block b has the words from b
+    # on, as many as the low bits can number; most documents are one block.
+    step = low + 2 - WINDOW
+    blocks = worded.select(
+        "doc_id",
+        "th",
+        F.expr(
+            f"inline_outer(transform(sequence(0, greatest(size(w) - {WINDOW}, 0), {step}), b -> struct(b, if(size(w) <= {low + 1}, w, slice(w, b + 1, {low + 1})))))"
+        ).alias("b", "w"),
+    )
+    grams = blocks.withColumn(
         "h",
         F.expr(
             f"if(size(w) >= {WINDOW}, transform(sequence(0, size(w) - {KGRAM}), i -> ({_gram('w', 'i', KGRAM)} & ~{low}L) | i), array())"
@@ -77,8 +93,8 @@ def find(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: st
     )
     # An outer explode: of an inner one Spark derives a filter on `marks`, pushes it below the projections above and so
     # puts the whole tokenisation into the lambdas, once for each word.
-    marks = marks.select("doc_id", "th", F.explode_outer("marks").alias("mark")).filter("mark IS NOT NULL")
-    marks = marks.select("doc_id", "th", F.expr(f"mark & ~{low}L").alias("fp"), F.expr(f"int(mark & {low}L)").alias("p"))
+    marks = marks.select("doc_id", "th", "b", F.explode_outer("marks").alias("mark")).filter("mark IS NOT NULL")
+    marks = marks.select("doc_id", "th", F.expr(f"mark & ~{low}L").alias("fp"), F.expr(f"b + int(mark & {low}L)").alias("p"))
     known = write_table(
         wins.filter(F.col("n") == WINDOW)
         .withColumn("w", F.split("win", " "))
@@ -106,7 +122,7 @@ def find(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: st
         starts.groupBy("doc_id", "th").agg(F.collect_set(F.struct("p", "n")).alias("starts")), "window-starts"
     )  # at most WINDOW entries for each word of a document
     at_hit = (
-        df.join(maybe_broadcast(starts), ["doc_id", "th"])
+        _join_rows(df, maybe_broadcast(starts))
         .select("doc_id", "th", item_words(F.col("text")).alias("w"), "starts")
         .dropDuplicates(["doc_id", "th"])
         .select("doc_id", "th", "w", F.explode("starts").alias("s"))
@@ -127,7 +143,7 @@ def find(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: st
     return (
         df.select("doc_id", "th", F.size(F.array_remove(F.split("text", _BREAKS), "")).cast("long").alias("n_words"))
         .join(
-            covered.join(named, ["doc_id", "th"]).withColumnsRenamed({"doc_id": "hit_id", "th": "hit_th"}),
+            _join_rows(covered, named).withColumnsRenamed({"doc_id": "hit_id", "th": "hit_th"}),
             F.col("doc_id").eqNullSafe(F.col("hit_id")) & (F.col("th") == F.col("hit_th")),
             "left",
         )

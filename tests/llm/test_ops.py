@@ -400,3 +400,17 @@ def test_op10_merges_as_the_library():
     assert encoder.encode(texts) == [sp.encode(t) for t in texts]
     many = [" ".join(texts[i : i + 100]) for i in range(0, 3000, 100)]
     assert encoder.encode(many) == [sp.encode(t) for t in many]
+
+
+def test_op8_null_ids_and_blocks(spark, monkeypatch):
+    words = [f"w{i}" for i in range(400)]
+    items = spark.createDataFrame([(1, " ".join(words[:25])), (2, "s1 s2 s3")], "item_id long, text string")
+    docs = [(None, " ".join(words[:25])), (None, "x s1 s2 s3"), (None, "x y"), (None, " ".join(words[:25]))]
+    docs += [(i, " ".join(["z"] * i + words[5:20] + ["q"] * 7)) for i in range(80)]
+    want = [(None, 25, ["1"]), (None, 3, ["2"]), (None, 0, []), (None, 25, ["1"]), *((i, 15, ["1"]) for i in range(80))]
+    df = spark.createDataFrame(docs, DOCS)
+    for bits in (24, 5):  # blocks of 32 words
+        monkeypatch.setattr(decontaminate, "POS_BITS", bits)
+        got = [(r.doc_id, r.n_hit, list(r["items"])) for r in decontaminate.find(df, items).collect()]
+        assert sorted(got, key=str) == sorted(want, key=str)
+    assert [r.text for r in decontaminate.keep_clean(df, items).collect()] == ["x y"]
