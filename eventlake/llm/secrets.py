@@ -3,7 +3,8 @@
 The rules are parsed, joined into one nondeterministic automaton behind `any bytes`, made deterministic by subset
 construction over byte classes and minimised; its transition array runs once over the bytes of every text and says
 which rules occur in it. Exact spans then come from the rule's own pattern on just those texts: leftmost and
-non-overlapping per kind, matches that fail the rule's length being dropped.
+non-overlapping per kind, matches that fail the rule's length being dropped. A private key is one span from its BEGIN
+line through its END line.
 
 Null and empty texts have no spans. Repeated rows are scanned alike; texts of any length are scanned whole. Spans are
 in code points, end exclusive. `redact` carries all other columns along; `scan` reads none.
@@ -40,12 +41,23 @@ class Rule:
 _KEY = "(password|passwd|secret|token|api_?key)"
 _ANY_CASE = "".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in _KEY)
 _GAP = r"""["']?\x20*[:=]\x20*["']?"""
+_PEM = r"-----BEGIN\x20[A-Z\x20]*PRIVATE\x20KEY-----"
+_END = r"----END\x20\1PRIVATE\x20KEY-----"
+#: White space, also as escapes.
+_BREAK = r"(?:\s|\\[nrt])"
+#: A key through its own END line, if it comes before another BEGIN; else through its header fields and base64 text: long
+#: runs, and a last one of any length that is alone on its line.
+_PEM_KEY = (
+    r"-----BEGIN\x20([A-Z\x20]*)PRIVATE\x20KEY-----"
+    rf"(?:(?:[^-]++|-(?!----BEGIN\x20|{_END}))*+-{_END}"
+    rf"|(?:{_BREAK}*+(?:Proc-Type|DEK-Info):[^\r\n]*)*(?:{_BREAK}*+[A-Za-z0-9+/]{{16,}}={{0,2}})*(?:(?:[\x20\t]*+[\r\n]\s*+|(?:\\[nr])++)[A-Za-z0-9+/]+={{0,2}}(?![^\r\n]))?)"
+)
 #: The first three kinds are the base contract.
 RULES = (
     Rule("assign", f"{_ANY_CASE}{_GAP}([A-Za-z0-9+/_.=-]+)", 2, 6, f"{_ANY_CASE}{_GAP}[A-Za-z0-9+/_.=-]"),
     Rule("access", "AKIA[A-Z0-9]+", 0, 20, "AKIA[A-Z0-9]{4}"),
     Rule("hex", "[0-9a-f]+", 0, 24, "[0-9a-f]{24}"),
-    Rule("private_key", r"-----BEGIN\x20[A-Z\x20]*PRIVATE\x20KEY-----", 0, 0, r"-----BEGIN\x20[A-Z\x20]*PRIVATE\x20KEY-----"),
+    Rule("private_key", _PEM_KEY, 0, 0, _PEM),
     Rule("git_token", "gh[opsu]_[A-Za-z0-9]+", 0, 24, "gh[opsu]_[A-Za-z0-9]{4}"),
 )
 BASE_KINDS = ("assign", "access", "hex")

@@ -414,3 +414,27 @@ def test_op8_null_ids_and_blocks(spark, monkeypatch):
         got = [(r.doc_id, r.n_hit, list(r["items"])) for r in decontaminate.find(df, items).collect()]
         assert sorted(got, key=str) == sorted(want, key=str)
     assert [r.text for r in decontaminate.keep_clean(df, items).collect()] == ["x y"]
+
+
+def test_op5_whole_private_keys(spark):
+    rng = random.Random(12)
+    line = lambda n: "".join(rng.choices("ABCDEFGHxyzw0189+/", k=n))
+    body = "\n".join([line(64) for _ in range(12)] + [line(22) + "=="])
+    head, end = "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----"
+    fields = "Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,0A1B\n\n"
+    cases = {
+        f"a {head}\n{body}\n{end} b": "a [private_key] b",
+        f"a {head}\n{fields}{body}\n{end}\nb": "a [private_key]\nb",
+        "a " + f"{head}\n{body}\n{end}".replace("\n", "\\n") + "\\n b": "a [private_key]\\n b",
+        f"a {head}\r\n{body}".replace("==", ""): "a [private_key]",  # cut off
+        f"a {head}\n{fields}{body}\nplain words follow": "a [private_key]\nplain words follow",
+        f"{head}\n{body}\n{end} and {head}\n{body}\n{end}": "[private_key] and [private_key]",
+        f"{head} x {head}\n{body}\n{end} y": "[private_key] x [private_key] y",
+        f"the line {head} alone": "the line [private_key] alone",
+        f"{head}\n{body}\n-----END CERTIFICATE-----\n{end}.": "[private_key].",
+    }
+    df = spark.createDataFrame(list(enumerate(cases)), DOCS)
+    got = {r.doc_id: r.text for r in secrets.redact(df).collect()}
+    assert [got[i] for i in range(len(cases))] == list(cases.values())
+    hostile = (head + "-" * 50 + line(40) + " ") * 5000
+    assert len(re.findall(secrets._PEM_KEY, hostile)) == 5000
