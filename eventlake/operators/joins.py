@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -54,6 +56,17 @@ def bounded(df: DataFrame, limit: int = MAX_TERMS) -> DataFrame:
     return F.broadcast(df)
 
 
+def in_blocks(df: DataFrame, key: str, limit: int | None = None) -> list[DataFrame]:
+    """All of df in parts for broadcast, after a count: one, or by hash of key so many that they have half of limit on
+    average. Rows of one key stay together."""
+    limit = limit or MAX_TERMS
+    rows = df.count()
+    if rows <= limit:
+        return [F.broadcast(df)]
+    n = -(-rows * 2 // limit)
+    return [F.broadcast(df.filter(F.pmod(F.xxhash64(key), F.lit(n)) == i)) for i in range(n)]
+
+
 def containing(df: DataFrame, column: str, terms: DataFrame, term: str) -> DataFrame:
     """Rows whose value contains a term or is contained in one. Only distinct values meet the (bounded) terms."""
     v, t = F.col(column), F.col(term)
@@ -140,12 +153,12 @@ def enrich(df: DataFrame, key: str, cache: DataFrame, value: str) -> tuple[DataF
 
 def ladder(df: DataFrame, key: str, name: str, stored: DataFrame, stored_name: str, ident: str) -> DataFrame:
     """key, ident, how: exact name, else the last partial one (stored inside asked or asked inside stored), else a stub.
-    Distinct asked names are compared with a bounded table."""
-    s = bounded(stored.select(F.col(stored_name).alias("_s"), F.col(ident)))
+    Distinct asked names are compared with the distinct stored names, a bounded block of these at a time."""
+    s = stored.groupBy(F.col(stored_name).alias("_s")).agg(F.min(ident).alias("_lo"), F.max(ident).alias("_hi"))
     asked = df.select(F.col(name).alias("_q")).distinct()
-    j = asked.join(s, F.contains("_s", "_q") | F.contains("_q", "_s"))
-    rank = F.when(F.col("_s") == F.col("_q"), 1).otherwise(0)
-    best = j.groupBy("_q").agg(F.max_by(ident, F.struct(rank, F.when(rank == 1, -F.col(ident)).otherwise(F.col(ident)))).alias(ident), F.max(rank).alias("exact"))
+    j = reduce(DataFrame.unionByName, (asked.join(b, F.contains("_s", "_q") | F.contains("_q", "_s")) for b in in_blocks(s, "_s")))
+    same = F.col("_s") == F.col("_q")
+    best = j.groupBy("_q").agg(F.coalesce(F.min(F.when(same, F.col("_lo"))), F.max("_hi")).alias(ident), F.max(same.cast("int")).alias("exact"))
     how = F.when(F.col("exact") == 1, "exact").when(F.col("exact") == 0, "partial").otherwise("stub")
     return df.select(key, F.col(name).alias("_q")).join(best, "_q", "left").select(key, ident, how.alias("how"))
 

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .joins import bounded
+from .joins import bounded, in_blocks
 
 #: Words that stand for each other, and the weights of the fields.
 TALKS = ["talk", "lecture", "panel", "seminar", "discussion", "workshop"]
@@ -64,11 +66,13 @@ def cosine(a: str | Column, b: str | Column) -> Column:
 
 
 def cosine_top(vectors: DataFrame, ident: str, vector: str, queries: DataFrame, key: str, query_vector: str, k: int) -> DataFrame:
-    """key, ident, score, rank: exact top k of the given rows (filter them first) for a bounded table of queries."""
-    q = bounded(queries.select(key, unit(query_vector).alias("_q")))
+    """key, ident, score, rank: exact top k of the given rows (filter them first) for each query, a bounded block of queries at
+    a time."""
+    q = queries.select(key, unit(query_vector).alias("_q"))
     once = vectors.groupBy(ident).agg(F.any_value(vector).alias("_v")).select(ident, unit("_v").alias("_v"))
     dot = F.aggregate(F.zip_with("_v", "_q", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    return top_k(once.join(q).select(key, ident, dot.alias("score")), key, F.desc("score"), ident, k)
+    tops = (top_k(once.join(b).select(key, ident, dot.alias("score")), key, F.desc("score"), ident, k) for b in in_blocks(q, key))
+    return reduce(DataFrame.unionByName, tops)
 
 
 #: Phrases by what they constrain, and their weights.

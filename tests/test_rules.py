@@ -138,3 +138,21 @@ def test_python_functions(spark):
 def test_best_page_stops_at_the_first_good_one(spark):
     df = spark.createDataFrame([("s", 1, 9), ("s", 2, 18), ("s", 3, 40), ("t", 1, 7), ("u", 1, 9), ("u", 2, 9)], "s string, n int, score int")
     assert {(r.s, r.n) for r in extract.best_page(df, "s", "n", "score").collect()} == {("s", 2), ("u", 1)}
+
+
+def test_cosine_and_ladder_beyond_one_block(spark, monkeypatch):
+    from eventlake.operators import joins, ranking
+
+    names = spark.createDataFrame([(i, f"n{i % 30:02d}") for i in range(90)] + [(99, "zn07z")], "id long, name string")
+    asked = spark.createDataFrame([("n03",), ("n07",), ("an11b",), ("n",), ("qq",)], "q string")
+    vectors = spark.createDataFrame([(i, [float(i % 7) + 1, float(i % 5), 1.0]) for i in range(60)], "id long, v array<double>")
+    queries = vectors.select(vectors.id.alias("q"), vectors.v.alias("e"))
+
+    def both():
+        found = joins.ladder(asked.withColumn("k", asked.q), "k", "q", names, "name", "id").collect()
+        return sorted(map(tuple, found)), sorted((r.q, r.id) for r in ranking.cosine_top(vectors, "id", "v", queries, "q", "e", 3).collect())
+
+    whole = both()
+    assert whole[0] == [("an11b", 71, "partial"), ("n", 99, "partial"), ("n03", 3, "exact"), ("n07", 7, "exact"), ("qq", None, "stub")]
+    monkeypatch.setattr(joins, "MAX_TERMS", 16)
+    assert len(joins.in_blocks(queries, "q")) > 1 and both() == whole
