@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read
+from .common import in_batches, read
 
 BEGIN, END = "<|im_start|>", "<|im_end|>\n"
 #: Control strings of common chat templates.
@@ -122,12 +122,12 @@ def format_log(events: DataFrame) -> DataFrame:
         F.coalesce("role", F.lit("")).alias("role"),
         F.coalesce("text", F.lit("")).alias("text"),
     )
-    return (
-        clean.repartition("conv_id")
-        .sortWithinPartitions("conv_id", "message_id", "seq", "role", "text")
-        .mapInArrow(_fold, "conv_id long, nth long, message_id long, role string, text string")
-        .sortWithinPartitions("conv_id", "nth", "message_id", "role", "text")
-        .mapInArrow(_render, "conv_id long, part long, formatted string, loss array<struct<begin: long, end: long>>")
+    sorted_events = clean.repartition("conv_id").sortWithinPartitions("conv_id", "message_id", "seq", "role", "text")
+    messages = in_batches(sorted_events, _fold, "conv_id long, nth long, message_id long, role string, text string")
+    return in_batches(
+        messages.sortWithinPartitions("conv_id", "nth", "message_id", "role", "text"),
+        _render,
+        "conv_id long, part long, formatted string, loss array<struct<begin: long, end: long>>",
     )
 
 
@@ -162,7 +162,8 @@ def _read_back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def read_back(formatted: DataFrame) -> DataFrame:
     """Turns, loss text and lengths of each conversation, parsed from what format_log made."""
-    return formatted.mapInArrow(
+    return in_batches(
+        formatted,
         _read_back,
         "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long",
     )

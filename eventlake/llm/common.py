@@ -2,14 +2,21 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextvars import ContextVar
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-#: Rows that may be broadcast after a count; anything larger is joined by a shuffle.
-BROADCAST_ROWS = 200_000
+#: Bytes that may be broadcast after they have been counted; anything larger is joined by a shuffle.
+BROADCAST_BYTES = 8 << 20
+#: Bytes of an Arrow batch that goes to a Python worker; Spark's own bound is on rows alone.
+BATCH_BYTES = 4 << 20
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -21,8 +28,17 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-#: Paths that write_table has written, in order.
-WRITTEN: list[str] = []
+_RECORD: ContextVar[list[str] | None] = ContextVar("tables", default=None)
+
+
+@contextlib.contextmanager
+def recorded() -> Iterator[list[str]]:
+    """The paths of the tables written within, as a list that grows."""
+    token = _RECORD.set([])
+    try:
+        yield _RECORD.get()
+    finally:
+        _RECORD.reset(token)
 
 
 def delete_tables(spark: SparkSession, paths: list[str]) -> None:
@@ -37,13 +53,30 @@ def write_table(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    WRITTEN.append(path)
+    if _RECORD.get() is not None:
+        _RECORD.get().append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def maybe_broadcast(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """df marked for broadcast if its counted rows stay within limit. Count materialised tables only."""
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+def maybe_broadcast(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """df marked for broadcast if its bytes stay within limit. For materialised tables of numbers, strings and arrays."""
+    sizes = [F.lit(16)]
+    for name, kind in df.dtypes:
+        own = F.octet_length(name) if kind in ("string", "binary") else F.size(name) * 24 if kind.startswith("array") else F.lit(8)
+        sizes.append(F.greatest(F.coalesce(own, F.lit(0)), F.lit(0)).cast("long"))
+    held = df.agg(F.coalesce(F.sum(sum(sizes[1:], sizes[0])), F.lit(0)).alias("b")).first().b
+    return F.broadcast(df) if held <= limit else df
+
+
+def in_batches(
+    df: DataFrame, step: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType
+) -> DataFrame:
+    """df.mapInArrow(step, schema) with batches bounded by bytes too, whatever the length of the texts; a bound that the
+    session has already stays."""
+    bound, spark = "spark.sql.execution.arrow.maxBytesPerBatch", df.sparkSession
+    if bound not in spark.conf.getAll:
+        spark.conf.set(bound, str(BATCH_BYTES))
+    return df.mapInArrow(step, schema)
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .arrays import U, mix
-from .common import doc_text, read
+from .common import doc_text, in_batches, read
 
 SPACE = "▁"
 #: Stands for a literal U+2581 while words are cut: a code point that no valid text holds.
@@ -415,9 +415,11 @@ def encoder_of(model: bytes) -> Encoder:
     return Encoder(Pieces.parse(model))
 
 
-def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, ids, and decoded (the text read back from the ids) of every row. The driver reads the piece file and
-    hands it to the tasks."""
+def encode(
+    docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", read_back: bool = True
+) -> DataFrame:
+    """doc_id, ids, and decoded (the text read back from the ids; only with read_back) of every row. The driver reads
+    the piece file and hands it to the tasks."""
     with open(model_path, "rb") as f:
         model = f.read()
     held = docs.sparkSession.sparkContext.broadcast(model)  # the file's size, some hundred kB
@@ -428,16 +430,13 @@ def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
             for i in range(0, batch.num_rows, ROWS):
                 part = batch.slice(i, ROWS)
                 ids = encoder.encode(part.column("text").to_pylist())
-                yield pa.record_batch(
-                    [
-                        part.column("doc_id"),
-                        pa.array(ids, pa.list_(pa.int32())),
-                        pa.array([encoder.decode(x) for x in ids], pa.string()),
-                    ],
-                    names=["doc_id", "ids", "decoded"],
-                )
-
-    return doc_text(docs, id_col, text_col).mapInArrow(run, "doc_id long, ids array<int>, decoded string")
+                columns = [part.column("doc_id"), pa.array(ids, pa.list_(pa.int32()))]
+                if read_back:
+                    columns.append(pa.array([encoder.decode(x) for x in ids], pa.string()))
+                yield pa.record_batch(columns, names=names)
+
+    names = ["doc_id", "ids", "decoded"][: 3 if read_back else 2]
+    return in_batches(doc_text(docs, id_col, text_col), run, "doc_id long, ids array<int>" + ", decoded string" * read_back)
 
 
 def default_model() -> str:

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .arrays import column_bytes
-from .common import doc_text, read
+from .common import doc_text, in_batches, read
 
 
 @dataclass(frozen=True)
@@ -325,7 +325,7 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id
             yield pa.record_batch([batch.column("doc_id"), pa.array(spans, kind)], names=["doc_id", "spans"])
 
     schema = "doc_id long, spans array<struct<kind string, rank int, begin long, end long>>"
-    return doc_text(docs, id_col, text_col).mapInArrow(run, schema)
+    return in_batches(doc_text(docs, id_col, text_col), run, schema)
 
 
 def redact(
@@ -351,7 +351,7 @@ def redact(
                 columns[length_col] = pa.array([None if t is None else len(t) for t in texts], pa.int64())
             yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
-    return docs.mapInArrow(run, docs.schema)
+    return in_batches(docs, run, docs.schema)
 
 
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
