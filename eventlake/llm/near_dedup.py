@@ -4,10 +4,16 @@ A document's set holds its distinct SHINGLE-word shingles of `[^\\x20\\x09-\\x0D
 text: its whole sequence; no words: the empty set, linked with nothing). Each of 324 buckets keeps, of the least hash
 under its own permutation, the leading zeros (6 bits) and the 10 bits after the leading one. Six registers make a
 band key (of two documents at the threshold, one pair in ten million shares none of the 54); of documents with one key,
-all are first paired with the smallest id alone. Pairs pass a collision-corrected
-Jaccard estimate with a wide margin and are then confirmed on their full sets. Where a key's documents are still in
-several components, further rounds pair the next ranks with those of other components, until every two documents of a
-key are linked, compared or in one component: no cap, and no pairs within groups that are already one.
+all are first paired with the smallest id alone, their pivot. Pairs pass a collision-corrected Jaccard estimate with a
+wide margin and are then confirmed on their full sets.
+
+Where a key's documents are still in several components, pairs from different components are ruled out by counts before
+any is made. A pair x, y reaches the threshold only if their symmetric difference holds at most a ninth of both sizes.
+So a document goes whose shingles that some other component has are too few. For the rest, D is the symmetric
+difference from the pivot: x and y have to share at least (|D(x)| + |D(y)| - (|x| + |y|) / 9) / 2 elements of it, which
+is one or more unless both are near the pivot, and so in one component. Only pairs that share one of a document's rarest
+such elements become candidates; no pair is lost, there is no cap, and a large group of unlike variants of one text makes
+few pairs.
 
 Copies (equal word sequences) are one node throughout. Rows that share an id count as one document. A null id is
 linked with nothing, has a null component and is kept. Null text has no words. An empty table gives no rows. Other
@@ -16,7 +22,7 @@ columns are not read.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from .arrays import BASES, LOWER, U, column_bytes, mix, span_hashes, window_hashes, word_bounds, word_hashes
-from .common import doc_text, maybe_broadcast, read, write_table
+from .common import doc_text, in_batches, maybe_broadcast, read, write_table
 from .components import components
 
 SHINGLE, PERCENT = 4, 80
@@ -35,12 +41,12 @@ REGISTERS = BANDS * ROWS
 ESTIMATED, LANES = 128, 4
 #: An estimate so far below the threshold (over five standard deviations) rules a pair out.
 MARGIN = 0.2
-#: How many documents of a band key each round pairs with those of other components; the last round takes all. Ranks go
-#: by component first (its smallest id, then its second ...), so that early rounds join components with each other.
-RANKS = (1, 4, 16, 1 << 62)
+#: A pair is similar enough if 100 + PERCENT times its symmetric difference is at most 100 - PERCENT times both sizes.
+NEAR, FAR = 100 - PERCENT, 100 + PERCENT
 _RNG = np.random.default_rng(77)
 _FACTOR = _RNG.integers(1, 2**63, REGISTERS, dtype=np.uint64) * U(2) + U(1)
 _SHIFT = _RNG.integers(0, 2**63, REGISTERS, dtype=np.uint64)
+Step = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
 
 
 def shingle_sets(col: pa.Array, n: int) -> Iterator[np.ndarray]:
@@ -71,41 +77,48 @@ def registers(shingles: np.ndarray) -> np.ndarray:
     return (zeros << MANTISSA) | ((part * 2 - 1) * (1 << MANTISSA)).astype(np.uint16)
 
 
-def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        data, at = column_bytes(batch.column("text"))
-        data = LOWER[data]
-        begin, end, before = word_bounds(data, at)
-        words = word_hashes(data, begin, end)
-        full = np.flatnonzero(np.diff(before))
-        seq = np.zeros((2, batch.num_rows), U)
-        for k in range(2):
-            seq[k, full] = span_hashes(words, before[:-1][full], before[1:][full], BASES[k])
-        found = np.zeros((batch.num_rows, REGISTERS), np.uint16)
-        size = np.zeros(batch.num_rows, np.int64)
-        for i, s in enumerate(_sets(words, before, SHINGLE)):
-            size[i] = len(s)
-            if len(s):
-                found[i] = registers(s)
-        keys = np.zeros((batch.num_rows, BANDS), U)
-        for j in range(ROWS):
-            keys = mix(keys * U(BASES[0]) + found[:, j::ROWS].astype(U) + np.arange(1, BANDS + 1, dtype=np.uint64))
-
-        def lists(values: np.ndarray, width: int) -> pa.Array:
-            at = pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * width)
-            return pa.ListArray.from_arrays(at, pa.array(np.ascontiguousarray(values).view(np.int64).ravel()))
-
-        yield pa.record_batch(
-            [
-                batch.column("doc_id"),
-                pa.array(mix(seq[0]).view(np.int64)),
-                pa.array((seq[1] + np.diff(before).astype(U)).view(np.int64)),
-                pa.array(size),
-                lists(found[:, :ESTIMATED], ESTIMATED // LANES),
-                lists(keys, BANDS),
-            ],
-            names=["doc_id", "a", "b", "n", "registers", "keys"],
-        )
+def _longs(values: list[np.ndarray] | np.ndarray) -> pa.Array:
+    """Rows of 64-bit values as a list column."""
+    at = np.zeros(len(values) + 1, np.int32)
+    np.cumsum([len(v) for v in values], out=at[1:])
+    flat = np.concatenate(values) if len(values) else np.zeros(0, U)
+    return pa.ListArray.from_arrays(pa.array(at), pa.array(flat.view(np.int64)))
+
+
+def _sign(n: int) -> Step:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, at = column_bytes(batch.column("text"))
+            data = LOWER[data]
+            begin, end, before = word_bounds(data, at)
+            words = word_hashes(data, begin, end)
+            full = np.flatnonzero(np.diff(before))
+            seq = np.zeros((2, batch.num_rows), U)
+            for k in range(2):
+                seq[k, full] = span_hashes(words, before[:-1][full], before[1:][full], BASES[k])
+            found = np.zeros((batch.num_rows, REGISTERS), np.uint16)
+            size = np.zeros(batch.num_rows, np.int64)
+            for i, s in enumerate(_sets(words, before, n)):
+                size[i] = len(s)
+                if len(s):
+                    found[i] = registers(s)
+            keys = np.zeros((batch.num_rows, BANDS), U)
+            for j in range(ROWS):
+                keys = mix(keys * U(BASES[0]) + found[:, j::ROWS].astype(U) + np.arange(1, BANDS + 1, dtype=np.uint64))
+
+            yield pa.record_batch(
+                [
+                    batch.column("doc_id"),
+                    pa.array(mix(seq[0]).view(np.int64)),
+                    pa.array((seq[1] + np.diff(before).astype(U)).view(np.int64)),
+                    pa.array(size),
+                    _longs(np.ascontiguousarray(found[:, :ESTIMATED]).view(U)),
+                    _longs(keys),
+                ],
+                names=["doc_id", "a", "b", "n", "registers", "keys"],
+            )
+
+    return run
 
 
 def estimate(x: Column, y: Column, n: Column, m: Column) -> Column:
@@ -121,28 +134,59 @@ def estimate(x: Column, y: Column, n: Column, m: Column) -> Column:
     return (share - chance) / (1 - chance)
 
 
-def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs whose full sets are similar enough. Rows of one u tend to be neighbours, so its set is kept."""
+def _pairs(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[tuple[pa.RecordBatch, list]]:
+    """Each batch with the two sets of each of its rows. Rows of one u tend to be neighbours, so its set is kept."""
     last, own = None, None
     for batch in batches:
-        u, v = batch.column("u").to_pylist(), batch.column("v").to_pylist()
-        texts = batch.column("text_u").to_pylist()
-        keep = []
-        for i, other in enumerate(shingle_sets(batch.column("text_v"), SHINGLE)):
-            if last is None or last[0] != u[i] or last[1] != texts[i]:
-                last, own = (u[i], texts[i]), next(shingle_sets(pa.array([texts[i]], pa.string()), SHINGLE))
-            both = len(np.intersect1d(own, other, assume_unique=True))
-            if both and 100 * both >= PERCENT * (len(own) + len(other) - both):
-                keep.append(i)
-        yield pa.record_batch([pa.array([x[i] for i in keep], pa.int64()) for x in (u, v)], names=["u", "v"])
-
-
-def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+        texts, sets = batch.column("text_u").to_pylist(), []
+        for i, other in enumerate(shingle_sets(batch.column("text_v"), n)):
+            if last is None or last != texts[i]:
+                last, own = texts[i], next(shingle_sets(pa.array([texts[i]], pa.string()), n))
+            sets.append((own, other))
+        yield batch, sets
+
+
+def _confirm(n: int) -> Step:
+    """The pairs whose full sets are similar enough."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, sets in _pairs(batches, n):
+            both = [len(np.intersect1d(x, y, assume_unique=True)) for x, y in sets]
+            keep = [b > 0 and 100 * b >= PERCENT * (len(x) + len(y) - b) for b, (x, y) in zip(both, sets)]
+            yield batch.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
+
+    return run
+
+
+def _differ(n: int) -> Step:
+    """u, v, comp, n and d: the symmetric difference of the two sets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, sets in _pairs(batches, n):
+            own = [batch.column(c) for c in ("u", "v", "comp", "n")]
+            yield pa.record_batch([*own, _longs([np.setxor1d(x, y, assume_unique=True) for x, y in sets])], names=["u", "v", "comp", "n", "d"])
+
+    return run
+
+
+def _shingles(n: int) -> Step:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = list(shingle_sets(batch.column("text"), n))
+            yield pa.record_batch([batch.column("id"), batch.column("comp"), _longs(sets)], names=["id", "comp", "g"])
+
+    return run
+
+
+def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
     """doc_id, n_shingles, component_id and kept (its document is its component's first) of every row."""
     df = doc_text(docs, id_col, text_col)
-    signed = write_table(df.mapInArrow(_sign, "doc_id long, a long, b long, n long, registers array<long>, keys array<long>"), "signatures")
+    signed = write_table(
+        in_batches(df, _sign(shingle), "doc_id long, a long, b long, n long, registers array<long>, keys array<long>"), "signatures"
+    )
     known = signed.filter("n > 0 AND doc_id IS NOT NULL")
     copies = known.groupBy("a", "b").agg(F.min("doc_id").alias("rep"), F.count("*").alias("c")).filter("c > 1").drop("c")
+    copies = maybe_broadcast(write_table(copies, "copies"))
     rows = write_table(
         known.join(copies, ["a", "b"], "left").select("doc_id", F.coalesce("rep", "doc_id").alias("rep"), "n", "registers", "keys"), "nodes"
     )
@@ -154,40 +198,20 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     keys = nodes.select("id", "n", F.explode("keys").alias("key"))
     leaders = keys.groupBy("key").agg(F.min("id").alias("u"), F.count("*").alias("c")).filter("c > 1").drop("c")
     members = write_table(keys.join(leaders, "key"), "members")
-    pairs = members.filter("u <> id").select("u", F.col("id").alias("v")).distinct()
     candidates = write_table(members.select("id").distinct(), "candidates")
     texts = write_table(
         df.join(maybe_broadcast(candidates), df.doc_id == candidates.id).select("id", "text"), "candidate-texts"
     )
     sketches = nodes.select("id", "n", "registers").join(candidates, "id").distinct()
-    tried = None
-    for high in RANKS:
-        if tried is not None:
-            pairs = pairs.join(tried, ["u", "v"], "left_anti")
-        pairs = write_table(pairs, "pairs")
-        found = _confirmed(pairs, sketches, texts)
-        links = write_table(links.unionByName(found), "links")
+    pairs = write_table(members.filter("u <> id").select("u", F.col("id").alias("v")).distinct(), "pairs")
+    links = write_table(links.unionByName(_confirmed(pairs, sketches, texts, shingle)), "links")
+    labels = components(links)
+    placed = members.join(labels, members.id == labels.node, "left").select("key", "u", "id", "n", F.coalesce("comp", "id").alias("comp"))
+    open_ = write_table(placed.join(_mixed(placed), "key").drop("least"), "open")
+    if not open_.isEmpty():
+        pairs = write_table(_across(open_, texts, shingle), "pairs")
+        links = write_table(links.unionByName(_confirmed(pairs, sketches, texts, shingle)), "links")
         labels = components(links)
-        placed = members.select("key", "id", "n").join(labels, members.id == labels.node, "left").select(
-            "key", "id", "n", F.coalesce("comp", "id").alias("comp")
-        )
-        mixed = placed.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x <> y").select("key")
-        nth = F.row_number().over(Window.partitionBy("key", "comp").orderBy("id"))
-        rank = F.row_number().over(Window.partitionBy("key").orderBy("nth", "id"))
-        open_ = write_table(placed.join(mixed, "key").withColumn("nth", nth).withColumn("rank", rank), "open")
-        if high == RANKS[-1] or open_.isEmpty():
-            break
-        tried = pairs if tried is None else write_table(tried.unionByName(pairs), "tried")
-        following = RANKS[RANKS.index(high) + 1]
-        first = open_.filter(F.col("rank") <= following).select(
-            "key", F.col("id").alias("p"), F.col("n").alias("m"), F.col("comp").alias("cp"), F.col("rank").alias("rp")
-        )
-        pairs = (
-            open_.join(first, "key")
-            .filter(f"comp <> cp AND rank > rp AND 100 * least(n, m) >= {PERCENT} * greatest(n, m)")
-            .select(F.least("p", "id").alias("u"), F.greatest("p", "id").alias("v"))
-            .distinct()
-        )
     places = rows.select("doc_id", "rep").distinct().join(labels, F.col("rep") == labels.node, "left")
     places = places.groupBy("doc_id").agg(F.min(F.coalesce("comp", "rep")).alias("component_id"))
     return (
@@ -199,17 +223,69 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     )
 
 
-def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
     """The rows of docs, columns unchanged, whose document is the first of its component; of repeated ids one row, the
     first by text. Rows without an id stay."""
-    kept = link(docs, id_col, text_col).filter("kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("kept_id")).distinct()
+    kept = link(docs, id_col, text_col, shingle).filter("kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("kept_id")).distinct()
     own = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(id_col).alias("own_id"), F.col(text_col).alias("own"))
     nth = F.row_number().over(Window.partitionBy("own_id").orderBy("own"))
     named = own.join(kept, own.own_id == kept.kept_id, "left_semi").withColumn("nth", nth).filter("nth = 1")
     return named.select("row.*").unionByName(own.filter("own_id IS NULL").select("row.*"))
 
 
-def _confirmed(pairs: DataFrame, sketches: DataFrame, texts: DataFrame) -> DataFrame:
+def _mixed(placed: DataFrame) -> DataFrame:
+    """Keys whose documents are in several components, and their least set size."""
+    found = placed.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.min("n").alias("least"))
+    return found.filter("x <> y").select("key", "least")
+
+
+def _narrowed(rows: DataFrame) -> DataFrame:
+    """Rows of still mixed keys whose document shares enough shingles (s) with other components for the least partner."""
+    enough = f"{FAR} * s >= {PERCENT} * (n + greatest(least, ceil({PERCENT} * n / 100)))"
+    return rows.join(_mixed(rows), "key").filter(enough).drop("least")
+
+
+def _across(open_: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
+    """Pairs u, v of one key and different components that may be similar enough; none that is gets lost.
+    open_: key, u (its pivot), id, n, comp."""
+    own = open_.select("id", "comp").distinct()
+    sets = write_table(in_batches(texts.join(own, "id").select("id", "comp", "text"), _shingles(shingle), "id long, comp long, g array<long>"), "open-sets")
+    each = sets.select("id", "comp", F.explode("g").alias("g"))
+    between = each.groupBy("g").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x <> y").select("g")
+    between = maybe_broadcast(write_table(between, "between"))
+    shared = each.join(between, "g", "left_semi").groupBy("id").agg(F.count("*").alias("s"))
+    left = write_table(_narrowed(_narrowed(open_.join(shared, "id"))), "narrowed")
+
+    pairs = left.filter("u <> id").select("u", F.col("id").alias("v"), "comp", "n").distinct()
+    both = pairs.join(texts.select(F.col("id").alias("v"), F.col("text").alias("text_v")), "v").join(
+        texts.select(F.col("id").alias("u"), F.col("text").alias("text_u")), "u"
+    )
+    diffs = write_table(in_batches(both, _differ(shingle), "u long, v long, comp long, n long, d array<long>"), "differences")
+    # Two of a pivot share 2 * FAR * common >= far + far elements at least.
+    far = diffs.withColumn("far", F.expr(f"{FAR} * size(d) - {NEAR} * n"))
+    by_comp = far.groupBy("u", "comp").agg(F.min("far").alias("far"))
+    nearest = by_comp.groupBy("u").agg(F.min(F.struct("far", "comp")).alias("first"))
+    second = by_comp.join(nearest, "u").filter("comp <> first.comp").groupBy("u", "first").agg(F.min("far").alias("second"))
+    each = far.select("u", "v", "comp", "far", F.explode("d").alias("e"))
+    usable = each.groupBy("u", "e").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("times"))
+    usable = maybe_broadcast(write_table(usable.filter("x <> y").select("u", "e", "times"), "usable"))
+    rarest = (
+        each.join(usable, ["u", "e"])
+        .groupBy("u", "v", "comp", "far")
+        .agg(F.sort_array(F.collect_list(F.struct("times", "e"))).alias("es"))  # bounded by two sets
+        .join(maybe_broadcast(write_table(second, "pivots")), "u")
+        .withColumn("need", F.expr(f"greatest(1, ceil((far + if(comp = first.comp, second, first.far)) / {2 * FAR}))"))
+        .filter("size(es) >= need")
+        .select("u", "v", "comp", "far", F.expr("size(es)").alias("k"), F.expr("explode(slice(es, 1, int(size(es) - need + 1)))").alias("e"))
+    )
+    index = write_table(rarest.withColumn("e", F.col("e.e")), "rarest")
+    x = index.select("u", "e", *(F.col(c).alias(f"{c}_x") for c in ("v", "comp", "far", "k")))
+    y = index.select("u", "e", *(F.col(c).alias(f"{c}_y") for c in ("v", "comp", "far", "k")))
+    fits = f"v_x < v_y AND comp_x <> comp_y AND {2 * FAR} * least(k_x, k_y) >= far_x + far_y"
+    return x.join(y, ["u", "e"]).filter(fits).select(F.col("v_x").alias("u"), F.col("v_y").alias("v")).distinct()
+
+
+def _confirmed(pairs: DataFrame, sketches: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
     """The pairs u, v that pass the estimate and then the comparison of full sets."""
     x = sketches.select(F.col("id").alias("u"), F.col("n").alias("n"), F.col("registers").alias("x"))
     y = sketches.select(F.col("id").alias("v"), F.col("n").alias("m"), F.col("registers").alias("y"))
@@ -221,12 +297,12 @@ def _confirmed(pairs: DataFrame, sketches: DataFrame, texts: DataFrame) -> DataF
         .select("u", "v")
         .distinct()
     )
-    return (
+    both = (
         likely.join(texts.select(F.col("id").alias("v"), F.col("text").alias("text_v")), "v")
         .join(texts.select(F.col("id").alias("u"), F.col("text").alias("text_u")), "u")
         .select("u", "v", "text_u", "text_v")
-        .mapInArrow(_confirm, "u long, v long")
     )
+    return in_batches(both, _confirm(shingle), "u long, v long")
 
 
 def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
