@@ -4,16 +4,16 @@ A document's set holds its distinct SHINGLE-word shingles of `[^\\x20\\x09-\\x0D
 text: its whole sequence; no words: the empty set, linked with nothing). Each of 324 buckets keeps, of the least hash
 under its own permutation, the leading zeros (6 bits) and the 10 bits after the leading one. Six registers make a
 band key (of two documents at the threshold, one pair in ten million shares none of the 54); of documents with one key,
-all are first paired with the smallest id alone, their pivot. Pairs pass a collision-corrected Jaccard estimate with a
+all are first paired with the smallest id alone. Pairs pass a collision-corrected Jaccard estimate with a
 wide margin and are then confirmed on their full sets.
 
 Where a key's documents are still in several components, pairs from different components are ruled out by counts before
 any is made. A pair x, y reaches the threshold only if their symmetric difference holds at most a ninth of both sizes.
 So a document goes whose shingles that some other component has are too few. For the rest, D is the symmetric
-difference from the pivot: x and y have to share at least (|D(x)| + |D(y)| - (|x| + |y|) / 9) / 2 elements of it, which
-is one or more unless both are near the pivot, and so in one component. Only pairs that share one of a document's rarest
-such elements become candidates; no pair is lost, there is no cap, and a large group of unlike variants of one text makes
-few pairs.
+difference from the key's pivot, a document of its first component: those near the pivot are linked with it, and any
+other x and y have to share at least (|D(x)| + |D(y)| - (|x| + |y|) / 9) / 2 elements of D, one or more. Only pairs that
+share one of a document's rarest such elements become candidates; no pair is lost, there is no cap, and a large group
+of unlike variants of one text makes few pairs.
 
 Copies (equal word sequences) are one node throughout. Rows that share an id count as one document. A null id is
 linked with nothing, has a null component and is kept. Null text has no words. An empty table gives no rows. Other
@@ -159,12 +159,14 @@ def _confirm(n: int) -> Step:
 
 
 def _differ(n: int) -> Step:
-    """u, v, comp, n and d: the symmetric difference of the two sets."""
+    """u, v, comp, n, the size m of u's set, and d: the symmetric difference of the two sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, sets in _pairs(batches, n):
             own = [batch.column(c) for c in ("u", "v", "comp", "n")]
-            yield pa.record_batch([*own, _longs([np.setxor1d(x, y, assume_unique=True) for x, y in sets])], names=["u", "v", "comp", "n", "d"])
+            size = pa.array([len(x) for x, _ in sets], pa.int64())
+            d = _longs([np.setxor1d(x, y, assume_unique=True) for x, y in sets])
+            yield pa.record_batch([*own, size, d], names=["u", "v", "comp", "n", "m", "d"])
 
     return run
 
@@ -198,7 +200,8 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingl
     keys = nodes.select("id", "n", F.explode("keys").alias("key"))
     leaders = keys.groupBy("key").agg(F.min("id").alias("u"), F.count("*").alias("c")).filter("c > 1").drop("c")
     members = write_table(keys.join(leaders, "key"), "members")
-    candidates = write_table(members.select("id").distinct(), "candidates")
+    nearby = members.select("id").unionByName(links.select(F.explode(F.array("u", "v")).alias("id")))
+    candidates = write_table(nearby.distinct(), "candidates")
     texts = write_table(
         df.join(maybe_broadcast(candidates), df.doc_id == candidates.id).select("id", "text"), "candidate-texts"
     )
@@ -206,11 +209,12 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingl
     pairs = write_table(members.filter("u <> id").select("u", F.col("id").alias("v")).distinct(), "pairs")
     links = write_table(links.unionByName(_confirmed(pairs, sketches, texts, shingle)), "links")
     labels = components(links)
-    placed = members.join(labels, members.id == labels.node, "left").select("key", "u", "id", "n", F.coalesce("comp", "id").alias("comp"))
+    placed = members.join(labels, members.id == labels.node, "left").select("key", "id", "n", F.coalesce("comp", "id").alias("comp"))
     open_ = write_table(placed.join(_mixed(placed), "key").drop("least"), "open")
     if not open_.isEmpty():
-        pairs = write_table(_across(open_, texts, shingle), "pairs")
-        links = write_table(links.unionByName(_confirmed(pairs, sketches, texts, shingle)), "links")
+        near, pairs = _across(open_, texts, shingle)
+        pairs = write_table(pairs, "pairs")
+        links = write_table(links.unionByName(near).unionByName(_confirmed(pairs, sketches, texts, shingle)), "links")
         labels = components(links)
     places = rows.select("doc_id", "rep").distinct().join(labels, F.col("rep") == labels.node, "left")
     places = places.groupBy("doc_id").agg(F.min(F.coalesce("comp", "rep")).alias("component_id"))
@@ -234,20 +238,20 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def _mixed(placed: DataFrame) -> DataFrame:
-    """Keys whose documents are in several components, and their least set size."""
-    found = placed.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.min("n").alias("least"))
-    return found.filter("x <> y").select("key", "least")
+    """Keys whose documents are in several components, the first of these as pivot, and their least set size."""
+    found = placed.groupBy("key").agg(F.min("comp").alias("u"), F.max("comp").alias("y"), F.min("n").alias("least"))
+    return found.filter("u <> y").select("key", "u", "least")
 
 
 def _narrowed(rows: DataFrame) -> DataFrame:
     """Rows of still mixed keys whose document shares enough shingles (s) with other components for the least partner."""
     enough = f"{FAR} * s >= {PERCENT} * (n + greatest(least, ceil({PERCENT} * n / 100)))"
-    return rows.join(_mixed(rows), "key").filter(enough).drop("least")
+    return rows.drop("u").join(_mixed(rows), "key").filter(enough).drop("least")
 
 
-def _across(open_: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
-    """Pairs u, v of one key and different components that may be similar enough; none that is gets lost.
-    open_: key, u (its pivot), id, n, comp."""
+def _across(open_: DataFrame, texts: DataFrame, shingle: int) -> tuple[DataFrame, DataFrame]:
+    """Links u, v with pivots, and other pairs of one key and different components that may be similar enough; none that
+    is gets lost. open_: key, u (its pivot), id, n, comp."""
     own = open_.select("id", "comp").distinct()
     sets = write_table(in_batches(texts.join(own, "id").select("id", "comp", "text"), _shingles(shingle), "id long, comp long, g array<long>"), "open-sets")
     each = sets.select("id", "comp", F.explode("g").alias("g"))
@@ -260,7 +264,8 @@ def _across(open_: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
     both = pairs.join(texts.select(F.col("id").alias("v"), F.col("text").alias("text_v")), "v").join(
         texts.select(F.col("id").alias("u"), F.col("text").alias("text_u")), "u"
     )
-    diffs = write_table(in_batches(both, _differ(shingle), "u long, v long, comp long, n long, d array<long>"), "differences")
+    diffs = write_table(in_batches(both, _differ(shingle), "u long, v long, comp long, n long, m long, d array<long>"), "differences")
+    near = diffs.filter(f"{FAR} * size(d) <= {NEAR} * (n + m)").select("u", "v")
     # Two of a pivot share 2 * FAR * common >= far + far elements at least.
     far = diffs.withColumn("far", F.expr(f"{FAR} * size(d) - {NEAR} * n"))
     by_comp = far.groupBy("u", "comp").agg(F.min("far").alias("far"))
@@ -282,7 +287,7 @@ def _across(open_: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
     x = index.select("u", "e", *(F.col(c).alias(f"{c}_x") for c in ("v", "comp", "far", "k")))
     y = index.select("u", "e", *(F.col(c).alias(f"{c}_y") for c in ("v", "comp", "far", "k")))
     fits = f"v_x < v_y AND comp_x <> comp_y AND {2 * FAR} * least(k_x, k_y) >= far_x + far_y"
-    return x.join(y, ["u", "e"]).filter(fits).select(F.col("v_x").alias("u"), F.col("v_y").alias("v")).distinct()
+    return near, x.join(y, ["u", "e"]).filter(fits).select(F.col("v_x").alias("u"), F.col("v_y").alias("v")).distinct()
 
 
 def _confirmed(pairs: DataFrame, sketches: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
