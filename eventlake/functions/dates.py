@@ -48,13 +48,21 @@ def windows(spark: SparkSession, as_of: str) -> DataFrame:
     return spark.range(1).select(F.inline(rows))
 
 
-def window_of(first: Column, last: Column, relative: Column, days: Column, single: Column, as_of: Column) -> Column:
-    """first and last of a request: both dates, then a relative key's days ahead, then days ahead, then one date."""
-    pair = lambda a, b: F.struct(a.cast("date").alias("first"), b.cast("date").alias("last"))
-    ahead = F.when(relative == "today", 0).when(relative == "next_30_days", 30)
-    return (
-        F.when(first.isNotNull() & last.isNotNull(), pair(F.least(first, last), F.greatest(first, last)))
-        .when(ahead.isNotNull(), pair(as_of, F.date_add(as_of, ahead)))
-        .when(days > 0, pair(as_of, F.date_add(as_of, days)))
-        .when(single.isNotNull(), pair(single, single))
+def requested(asked: DataFrame, as_of: str) -> DataFrame:
+    """asked (start_date, end_date, relative_window, days_ahead, all text) with first and last: both dates, then a
+    relative window, then a positive number of days ahead, then one date alone; else nulls. Text that is no date or
+    number counts as absent."""
+    d = F.lit(as_of).cast("date")
+    start, end = (F.to_date(F.try_to_timestamp(F.substr(F.trim(c), F.lit(1), F.lit(10)), F.lit("yyyy-MM-dd"))) for c in ("start_date", "end_date"))
+    days = F.trim("days_ahead").try_cast("int")
+    named = windows(asked.sparkSession, as_of).select("key", F.struct("first", "last").alias("_named"))
+    pair = lambda a, b: F.struct(a.alias("first"), b.alias("last"))
+    found = (
+        F.when(start.isNotNull() & end.isNotNull(), pair(start, end))
+        .when(F.col("_named").isNotNull(), F.col("_named"))
+        .when(days > 0, pair(d, F.date_add(d, days)))
+        .otherwise(F.when(F.coalesce(start, end).isNotNull(), pair(F.coalesce(start, end), F.coalesce(start, end))))
     )
+    key = F.lower(F.trim("relative_window"))
+    out = asked.withColumn("_key", key).join(F.broadcast(named), F.col("_key") == F.col("key"), "left")  # six rows
+    return out.withColumn("_found", found).select(*asked.columns, "_found.first", "_found.last")

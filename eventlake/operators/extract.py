@@ -19,14 +19,23 @@ def _items(v: Column) -> Column:
 
 
 def json_ld(df: DataFrame, html: str) -> DataFrame:
-    """Events of the JSON-LD blocks: name, start, place, description (200 characters); broken blocks are skipped."""
+    """Events of the JSON-LD blocks with a name and a start: name, start (the day), place (a location's name, else its
+    address, else the text), description (200 characters, no tags); broken blocks are skipped. Types that end in Event
+    count as events."""
     blocks = F.regexp_extract_all(html, F.lit(r"(?is)<script[^>]*application/ld\+json[^>]*>(.*?)</script>"), F.lit(1))
     each = df.withColumn("_b", F.explode(blocks)).withColumn("_v", F.try_parse_json(F.trim("_b"))).filter("_v IS NOT NULL")
     each = each.withColumn("_i", F.explode(_items(F.col("_v")))).filter(F.endswith(_get("_i", "$['@type']"), F.lit("Event")))
-    place = F.coalesce(_get("_i", "$.location.name"), _get("_i", "$.location[0].name"), _get("_i", "$.location"))
+    named = [F.nullif(_get("_i", p), F.lit("")) for p in ("$.location.name", "$.location[0].name", "$.location.address", "$.location[0].address")]
+    text = F.when(F.startswith(F.schema_of_variant(F.try_variant_get("_i", "$.location", "variant")), F.lit("STRING")), _get("_i", "$.location"))
+    start = F.trim(_get("_i", "$.startDate"))
+    day = F.coalesce(F.date_format(parse_flexible(F.regexp_replace(start, r"(\.\d+)?(Z|[+-]\d{2}:?\d{2})$", "")), "yyyy-MM-dd"), F.substr(start, F.lit(1), F.lit(10)))
     return each.select(
-        *df.columns, _get("_i", "$.name").alias("name"), _get("_i", "$.startDate").alias("start"), place.alias("place"), F.substr(_get("_i", "$.description"), F.lit(1), F.lit(200)).alias("description")
-    ).drop(html)
+        *df.columns,
+        F.trim(_get("_i", "$.name")).alias("name"),
+        day.alias("start"),
+        F.coalesce(*named, text).alias("place"),
+        F.substr(strip_tags(F.coalesce(_get("_i", "$.description"), F.lit(""))), F.lit(1), F.lit(200)).alias("description"),
+    ).drop(html).filter("name <> '' AND start <> ''")
 
 
 MEDIA = "youtube\\.|vimeo\\.|soundcloud\\.|spotify\\."
@@ -68,17 +77,25 @@ def ical(df: DataFrame, key: str, text: str) -> DataFrame:
     return each.filter(title != "").select(key, title.alias("title"), first.alias("first"), F.when(last > first, last).alias("last"), at.alias("at"))
 
 
-_RSS = "channel STRUCT<item: ARRAY<STRUCT<title: STRING, pubDate: STRING, link: STRING, description: STRING>>>"
+_ITEM = "ARRAY<STRUCT<title: STRING, pubDate: STRING, date: STRING, link: STRING, guid: STRING, description: STRING>>"
+_ENTRY = "ARRAY<STRUCT<title: STRING, published: STRING, updated: STRING, id: STRING, summary: STRING, content: STRING, link: ARRAY<STRUCT<_href: STRING>>>>"
 
 
 def rss(df: DataFrame, key: str, text: str) -> DataFrame:
-    """key, title, day, url, description (500 characters) of the items with a title and a date."""
-    item = F.from_xml(F.col(text), _RSS)["channel"]["item"]
-    each = df.select(key, F.explode(item).alias("i"))
-    day = F.to_date(parse_flexible(F.regexp_replace("i.pubDate", r"\s*(GMT|[+-]\d{4})$", ""), ["d MMM yyyy HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd"]))
-    return each.select(key, F.col("i.title").alias("title"), day.alias("day"), F.col("i.link").alias("url"), F.substr(strip_tags(F.col("i.description")), F.lit(1), F.lit(500)).alias("description")).filter(
-        "title IS NOT NULL AND day IS NOT NULL"
+    """key, title, day, url, description (500 characters) of the items of RSS and the entries of Atom that have a title and
+    a date."""
+    parsed = F.from_xml(F.col(text), f"channel STRUCT<item: {_ITEM}>, entry {_ENTRY}")
+    blank = lambda c: F.nullif(F.trim(c), F.lit(""))
+    first = lambda *c: F.coalesce(*map(blank, c))
+    row = lambda title, at, url, said: F.struct(title.alias("title"), at.alias("at"), url.alias("url"), said.alias("said"))
+    items = F.transform(parsed["channel"]["item"], lambda i: row(i["title"], first(i["pubDate"], i["date"]), first(i["link"], i["guid"]), i["description"]))
+    entries = F.transform(
+        parsed["entry"], lambda e: row(e["title"], first(e["published"], e["updated"]), first(F.get(e["link"], F.lit(0))["_href"], e["id"]), first(e["summary"], e["content"]))
     )
+    each = df.select(key, F.explode(F.coalesce(items, entries)).alias("i"))
+    day = F.to_date(parse_flexible(F.regexp_replace("i.at", r"\s*(GMT|UTC|Z|[+-]\d{2}:?\d{2})$", ""), ["d MMM yyyy HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd"]))
+    said = F.substr(strip_tags(F.coalesce("i.said", F.lit(""))), F.lit(1), F.lit(500))
+    return each.select(key, F.trim("i.title").alias("title"), day.alias("day"), "i.url", said.alias("description")).filter("title <> '' AND day IS NOT NULL")
 
 
 def feeds(df: DataFrame, key: str, html: str) -> DataFrame:
@@ -233,17 +250,25 @@ def sections(df: DataFrame, key: str, text: str, marker: str) -> DataFrame:
 
 #: Patterns of listings.
 SIGNALS = [
-    "[0-9]{1,2}:[0-9]{2}",
-    "(?i)tickets?",
-    "(?i)(jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]* [0-9]{1,2}",
-    "(?i)doors",
+    r"\bupcoming events?\b",
+    r"\bupcoming exhibitions?\b",
+    r"\bexhibitions?\b",
+    r"\bevent(s)? calendar\b",
+    r"\bwhat'?s on\b",
+    r"\bshow(s)?\b",
+    r"\bget tickets?\b",
+    r"\b(?:jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]*\.?\s+\d{1,2}",
+    r"\b\d{1,2}[:.]\d{2}\s?(?:am|pm)\b",
+    r"\b(?:monday|tuesday|wednesday|thursday|friday|saturday|sunday)\b",
 ]
 
 
 def signal_score(c: Column) -> Column:
-    """Listing signals: two for each of at most five hits of a pattern, four for a year, three for tickets."""
-    hits = sum((F.least(F.regexp_count(c, F.lit(p)), F.lit(5)) * 2 for p in SIGNALS), F.lit(0))
-    return hits + F.when(F.rlike(c, F.lit("(^|[^0-9])20[0-9]{2}([^0-9]|$)")), 4).otherwise(0) + F.when(F.rlike(c, F.lit("(?i)ticket")), 3).otherwise(0)
+    """Listing signals: two for each of at most five hits of a pattern, four for three years, three for three tickets."""
+    t = F.lower(c)
+    hits = sum((F.least(F.regexp_count(t, F.lit(p)), F.lit(5)) * 2 for p in SIGNALS), F.lit(0))
+    often = lambda p, n: F.when(F.regexp_count(t, F.lit(p)) >= 3, n).otherwise(0)
+    return hits + often(r"\b20\d{2}\b", 4) + often(r"\b(?:ticket|reserve|rsvp)\b", 3)
 
 
 def best_page(df: DataFrame, site: str, order: str, score: str, stop: int = 18, accept: int = 8) -> DataFrame:

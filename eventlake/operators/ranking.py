@@ -75,23 +75,38 @@ def cosine_top(vectors: DataFrame, ident: str, vector: str, queries: DataFrame,
     return reduce(DataFrame.unionByName, tops)
 
 
-#: Phrases by what they constrain, and their weights.
+#: Phrases by what they constrain, and their weights; a further pattern of a group counts like a phrase.
 LEXICON: dict[str, tuple[int, list[str]]] = {
-    "category": (2, ["music", "concert", "jazz", "opera", "comedy", "film", "art", "museum", "dance", "theater", "book"]),
-    "location": (2, ["brooklyn", "manhattan", "queens", "bronx", "harlem", "soho", "chelsea", "midtown", "downtown"]),
-    "price": (1, ["free", "cheap", "under ", "budget", "no cover"]),
-    "time": (1, ["today", "tomorrow", "tonight", "this weekend", "next week", "after", "before", "am", "pm"]),
-    "audience": (1, ["family", "outdoor", "indoor", "date night", "beginner", "meetup"]),
-    "vague": (-2, ["anything", "something", "interesting", "free time", "surprise me"]),
-}
-
-
-def specificity(text: Column, lexicon: dict[str, tuple[int, list[str]]] = LEXICON) -> Column:
-    """How constrained a query is: group weights for any phrase, one less for at most five words."""
-    t = F.lower(F.coalesce(text, F.lit("")))
+    "category": (2, [
+        "music", "concert", "live music", "jazz", "classical", "opera", "comedy", "standup", "improv", "talk", "lecture", "panel",
+        "workshop", "film", "movie", "art", "gallery", "museum", "dance", "theater", "theatre", "book", "poetry",
+    ]),
+    "location": (2, [
+        "brooklyn", "manhattan", "queens", "bronx", "staten island", "harlem", "greenpoint", "williamsburg", "soho", "chelsea",
+        "lower east side", "upper west side", "upper east side", "midtown", "downtown",
+    ]),
+    "price": (1, ["free", "cheap", "under $", "under ", "budget", "no cover"]),
+    "time": (1, [
+        "today", "tomorrow", "tonight", "this weekend", "next weekend", "next week", "this week", "before the end of the month",
+        "after", "before", "am", "pm",
+    ]),
+    "audience": (1, ["kid-friendly", "family", "outdoor", "indoor", "date night", "beginner", "advanced", "networking", "meetup"]),
+    "vague": (-2, [
+        "what should i attend", "what should i do", "anything", "something", "interesting", "free time", "looking for ideas", "surprise me",
+    ]),
+}
+PATTERNS = {"location": r"\bin\s+[a-z]{3,}", "price": r"\$"}
+
+
+def specificity(text: Column, lexicon: dict[str, tuple[int, list[str]]] = LEXICON, patterns: dict[str, str] = PATTERNS) -> Column:
+    """How constrained a query is: group weights for any phrase or pattern, one less for at most five words."""
+    t = F.lower(F.trim(F.coalesce(text, F.lit(""))))
     score = F.lit(0)
-    for weight, phrases in lexicon.values():
-        score = score + F.when(F.rlike(t, F.lit("|".join(phrases))), weight).otherwise(0)
+    for group, (weight, phrases) in lexicon.items():
+        said = F.exists(F.array(*map(F.lit, phrases)), lambda p: F.contains(t, p))
+        if group in patterns:
+            said = said | F.rlike(t, F.lit(patterns[group]))
+        score = score + F.when(said, weight).otherwise(0)
     return score - F.when(F.regexp_count(t, F.lit("[a-z0-9$]+")) <= 5, 1).otherwise(0)
 
 

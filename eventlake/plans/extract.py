@@ -19,10 +19,20 @@ def _orders(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "orders").withColumn("day", F.date_format("o_orderdate", "yyyy-MM-dd")).withColumn("k", F.col("o_orderkey"))
 
 
-@query("""SELECT o_orderkey AS k, o_orderpriority AS name, strftime(o_orderdate, '%Y-%m-%d') AS start, CASE WHEN o_orderkey % 3 = 2 THEN 'Hall' ELSE 'Place ' || o_custkey END AS place, repeat('d', 200) AS description FROM orders WHERE o_orderkey % 4 <> 3""")
+@query("""SELECT o_orderkey AS k, o_orderpriority AS name, strftime(o_orderdate, '%Y-%m-%d') AS start, CASE WHEN o_orderkey % 9 = 4 THEN '1 Main St' WHEN o_orderkey % 9 = 7 THEN NULL WHEN o_orderkey % 3 = 2 THEN 'Hall' ELSE 'Place ' || o_custkey END AS place, 'a ' || repeat('d', 198) AS description
+ FROM orders WHERE o_orderkey % 4 <> 3 AND o_orderkey % 7 > 1""")
 def h1_json_ld(spark: SparkSession, d: str) -> DataFrame:
-    place = F.when(F.col("k") % 3 == 0, F.concat(F.lit('{"name":"Place '), _s("o_custkey"), F.lit('"}'))).when(F.col("k") % 3 == 1, F.concat(F.lit('[{"name":"Place '), _s("o_custkey"), F.lit('"}]'))).otherwise('"Hall"')
-    one = F.concat(F.lit('{"@type":"MusicEvent","name":"'), F.col("o_orderpriority"), F.lit('","startDate":"'), F.col("day"), F.lit('","description":"'), F.repeat(F.lit("d"), 300), F.lit('","location":'), place, F.lit("}"))
+    place = (
+        F.when(F.col("k") % 9 == 4, '{"name":"","address":"1 Main St"}')
+        .when(F.col("k") % 9 == 7, '{"geo":1}')
+        .when(F.col("k") % 3 == 0, F.concat(F.lit('{"name":"Place '), _s("o_custkey"), F.lit('"}')))
+        .when(F.col("k") % 3 == 1, F.concat(F.lit('[{"name":"Place '), _s("o_custkey"), F.lit('"}]')))
+        .otherwise('"Hall"')
+    )
+    # Of seven rows one has no name and one no start.
+    name = F.when(F.col("k") % 7 == 0, " ").otherwise(F.col("o_orderpriority"))
+    start = F.when(F.col("k") % 7 == 1, "").when(F.col("k") % 2 == 0, F.concat("day", F.lit("T19:30:00-05:00"))).otherwise(F.col("day"))
+    one = F.concat(F.lit('{"@type":"MusicEvent","name":"'), name, F.lit('","startDate":"'), start, F.lit('","description":"<p>a</p>'), F.repeat(F.lit("d"), 300), F.lit('","location":'), place, F.lit("}"))
     org = F.lit('{"@type":"Organization","name":"x"}')
     form = (
         F.when(F.col("k") % 4 == 0, one)
@@ -66,7 +76,10 @@ def h4_ical(spark: SparkSession, d: str) -> DataFrame:
 def h5_rss(spark: SparkSession, d: str) -> DataFrame:
     date = F.when(F.col("k") % 5 == 0, "soon").when(F.col("k") % 2 == 0, F.concat(F.lit("Sat, "), F.date_format("o_orderdate", "dd MMM yyyy"), F.lit(" 08:00:00 GMT"))).otherwise(F.concat(F.col("day"), F.lit("T08:00:00")))
     item = F.concat(F.lit("<item><title>"), F.col("o_orderpriority"), F.lit("</title><pubDate>"), date, F.lit("</pubDate><link>https://x.example/"), _s("k"), F.lit("</link><description>&lt;b&gt;a&lt;/b&gt; b</description></item>"))
-    xml = F.concat(F.lit("<rss><channel>"), item, F.lit("<item><title>none</title></item></channel></rss>"))
+    entry = F.concat(F.lit("<entry><title>"), F.col("o_orderpriority"), F.lit("</title><updated>"), date, F.lit('</updated><link href="https://x.example/'), _s("k"), F.lit('"/><summary>&lt;i&gt;a&lt;/i&gt; b</summary></entry>'))
+    xml = F.when(F.col("k") % 3 == 0, F.concat(F.lit('<feed xmlns="http://www.w3.org/2005/Atom">'), entry, F.lit("<entry><title>none</title></entry></feed>"))).otherwise(
+        F.concat(F.lit("<rss><channel>"), item, F.lit("<item><title>none</title></item></channel></rss>"))
+    )
     return x.rss(_orders(spark, d).select("k", xml.alias("xml")), "k", "xml").select("k", "title", F.date_format("day", "yyyy-MM-dd").alias("day"), "url", "description")
 
 
@@ -163,16 +176,17 @@ def h15_sections(spark: SparkSession, d: str) -> DataFrame:
     return x.sections(text.withColumnRenamed("o_custkey", "k"), "k", "text", "##").select("k", "title", "day", "sold_out")
 
 
-_SIG = " + ".join(
-    [f"least(len(regexp_extract_all(t, '{p}')), 5) * 2" for p in x.SIGNALS]
-    + ["CASE WHEN regexp_matches(t, '(^|[^0-9])20[0-9]{2}([^0-9]|$)') THEN 4 ELSE 0 END", "CASE WHEN regexp_matches(t, '(?i)ticket') THEN 3 ELSE 0 END"]
-)
-
-
-@query(f"""WITH s AS (SELECT source, doc_id, {_SIG} AS score FROM (SELECT *, text || CASE WHEN doc_id % 40 = 7 THEN ' Doors 19:00, tickets 2024, May 5' ELSE ' 18:00 Doors, ticket' END AS t FROM documents WHERE text IS NOT NULL)),
+@query(r"""WITH t AS (SELECT source, doc_id, lower(text || CASE doc_id % 40 WHEN 7 THEN ' Upcoming events: show 7:30 pm, May 5, Friday. Get tickets. What''s on: exhibitions. ticket rsvp reserve 2024 2025 2026' WHEN 9 THEN ' event calendar Jun. 12 8.00pm Sunday, 2024 shows' ELSE ' Shows on Monday, tickets 2024' END) AS t FROM documents WHERE text IS NOT NULL),
+ s AS (SELECT source, doc_id, 2 * (least(len(regexp_extract_all(t, '\bupcoming events?\b')), 5) + least(len(regexp_extract_all(t, '\bupcoming exhibitions?\b')), 5) + least(len(regexp_extract_all(t, '\bexhibitions?\b')), 5)
+  + least(len(regexp_extract_all(t, '\bevents? calendar\b')), 5) + least(len(regexp_extract_all(t, '\bwhat''?s on\b')), 5) + least(len(regexp_extract_all(t, '\bshows?\b')), 5) + least(len(regexp_extract_all(t, '\bget tickets?\b')), 5)
+  + least(len(regexp_extract_all(t, '\b(?:jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]*\.?\s+\d{1,2}')), 5) + least(len(regexp_extract_all(t, '\b\d{1,2}[:.]\d{2}\s?[ap]m\b')), 5)
+  + least(len(regexp_extract_all(t, '\b(?:mon|tues|wednes|thurs|fri|satur|sun)day\b')), 5))
+  + CASE WHEN len(regexp_extract_all(t, '\b20\d{2}\b')) >= 3 THEN 4 ELSE 0 END + CASE WHEN len(regexp_extract_all(t, '\b(?:ticket|reserve|rsvp)\b')) >= 3 THEN 3 ELSE 0 END AS score FROM t),
  r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY score >= 18 DESC, CASE WHEN score >= 18 THEN 0 ELSE score END DESC, doc_id) AS r FROM s)
  SELECT source, doc_id, CAST(score AS BIGINT) AS score FROM r WHERE r = 1 AND score >= 8""")
 def h16_best_page(spark: SparkSession, d: str) -> DataFrame:
-    t = F.concat("text", F.when(F.col("doc_id") % 40 == 7, " Doors 19:00, tickets 2024, May 5").otherwise(" 18:00 Doors, ticket"))
+    k = F.col("doc_id") % 40
+    rich = " Upcoming events: show 7:30 pm, May 5, Friday. Get tickets. What's on: exhibitions. ticket rsvp reserve 2024 2025 2026"
+    t = F.concat("text", F.when(k == 7, rich).when(k == 9, " event calendar Jun. 12 8.00pm Sunday, 2024 shows").otherwise(" Shows on Monday, tickets 2024"))
     docs = table(spark, d, "documents").filter("text IS NOT NULL").select("source", "doc_id", x.signal_score(t).cast("long").alias("score"))
     return x.best_page(docs, "source", "doc_id", "score")

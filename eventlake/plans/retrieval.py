@@ -46,16 +46,18 @@ def i3_vector_table(spark: SparkSession, d: str) -> DataFrame:
     return e.select("vec_id", F.round(r.norm(r.unit("embedding")), 6).alias("length"), F.col("digest").isNotNull().alias("kept"))
 
 
-def _any(phrases: list[str]) -> str:
-    return "regexp_matches(t, '" + "|".join(phrases) + "')"
-
-
-_SPEC = " + ".join(f"CASE WHEN {_any(p)} THEN {w} ELSE 0 END" for w, p in r.LEXICON.values())
-
-
-@query(f"""SELECT conv_id, turn, {_SPEC} - CASE WHEN len(regexp_extract_all(t, '[a-z0-9$]+')) <= 5 THEN 1 ELSE 0 END AS score FROM (SELECT conv_id, turn, lower(coalesce(text, '')) || CASE WHEN turn % 4 = 0 THEN ' free jazz in soho' ELSE '' END AS t FROM conversations WHERE role = 'user')""")
+@query(r"""SELECT conv_id, turn,
+ CASE WHEN regexp_matches(t, 'music|concert|jazz|classical|opera|comedy|standup|improv|talk|lecture|panel|workshop|film|movie|art|gallery|museum|dance|theater|theatre|book|poetry') THEN 2 ELSE 0 END
+ + CASE WHEN regexp_matches(t, 'brooklyn|manhattan|queens|bronx|staten island|harlem|greenpoint|williamsburg|soho|chelsea|lower east side|upper west side|upper east side|midtown|downtown|\bin\s+[a-z]{3,}') THEN 2 ELSE 0 END
+ + CASE WHEN regexp_matches(t, 'free|cheap|under |budget|no cover|\$') THEN 1 ELSE 0 END
+ + CASE WHEN regexp_matches(t, 'today|tomorrow|tonight|this weekend|next weekend|next week|this week|before the end of the month|after|before|am|pm') THEN 1 ELSE 0 END
+ + CASE WHEN regexp_matches(t, 'kid-friendly|family|outdoor|indoor|date night|beginner|advanced|networking|meetup') THEN 1 ELSE 0 END
+ - CASE WHEN regexp_matches(t, 'what should i attend|what should i do|anything|something|interesting|free time|looking for ideas|surprise me') THEN 2 ELSE 0 END
+ - CASE WHEN len(regexp_extract_all(t, '[a-z0-9$]+')) <= 5 THEN 1 ELSE 0 END AS score
+ FROM (SELECT conv_id, turn, CASE turn % 6 WHEN 0 THEN lower(coalesce(text, '')) || ' free jazz in soho' WHEN 2 THEN 'anything in town' WHEN 4 THEN 'poetry for $5 this week' ELSE lower(coalesce(text, '')) END AS t FROM conversations WHERE role = 'user')""")
 def i4_specificity(spark: SparkSession, d: str) -> DataFrame:
-    t = F.concat(F.coalesce("text", F.lit("")), F.when(F.col("turn") % 4 == 0, " free Jazz in Soho").otherwise(""))
+    said, k = F.coalesce("text", F.lit("")), F.col("turn") % 6
+    t = F.when(k == 0, F.concat(said, F.lit(" free Jazz in Soho"))).when(k == 2, "Anything in town").when(k == 4, " Poetry for $5 this week").otherwise(said)
     return table(spark, d, "conversations").filter("role = 'user'").select("conv_id", "turn", r.specificity(t).alias("score"))
 
 

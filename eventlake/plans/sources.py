@@ -238,6 +238,23 @@ def b13_relative_windows(spark: SparkSession, d: str) -> DataFrame:
     return n.select("key", F.date_format("first", "yyyy-MM-dd").alias("first"), F.date_format("last", "yyyy-MM-dd").alias("last"), "n")
 
 
+@query("""SELECT event_id, strftime(CASE event_id % 8 WHEN 0 THEN d WHEN 1 THEN DATE '2024-01-10' WHEN 2 THEN DATE '2024-01-15' WHEN 3 THEN DATE '2024-01-13' WHEN 4 THEN DATE '2024-01-10' WHEN 5 THEN d WHEN 6 THEN DATE '2024-01-11' END, '%Y-%m-%d') AS first,
+ strftime(CASE event_id % 8 WHEN 0 THEN DATE '2024-03-01' WHEN 1 THEN DATE '2024-01-14' WHEN 2 THEN DATE '2024-01-21' WHEN 3 THEN DATE '2024-01-14' WHEN 4 THEN CAST(DATE '2024-01-10' + CAST(user_id % 5 + 1 AS INTEGER) AS DATE) WHEN 5 THEN d WHEN 6 THEN DATE '2024-01-11' END, '%Y-%m-%d') AS last
+ FROM (SELECT *, CAST(ts AS DATE) AS d FROM events)""")
+def b13_requested_window(spark: SparkSession, d: str) -> DataFrame:
+    """Asked on Wednesday, 10 January 2024; stronger arguments stand beside weaker ones."""
+    k, day = F.col("event_id") % 8, F.date_format("ts", "yyyy-MM-dd")
+    asked = table(spark, d, "events").select(
+        "event_id",
+        F.when(k == 0, day).when(k == 5, F.concat(day, F.lit("T20:00:00"))).when(k == 6, "soon").otherwise("").alias("start_date"),
+        F.when(k == 0, "2024-03-01").when(k == 6, "2024-01-11").alias("end_date"),
+        F.when(k.isin(0, 1), "this_week").when(k == 2, " Next_Week").when(k == 3, "this_weekend").when(k == 4, "some_day").alias("relative_window"),
+        F.when(k == 4, (F.col("user_id") % 5 + 1).cast("string")).when(k.isin(0, 1), "3").when(k == 5, "-2").when(k == 6, "x").alias("days_ahead"),
+    )
+    out = dates.requested(asked, "2024-01-10")
+    return out.select("event_id", F.date_format("first", "yyyy-MM-dd").alias("first"), F.date_format("last", "yyyy-MM-dd").alias("last"))
+
+
 @query("""SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace(html, '<[^>]+>', ' ', 'g'), '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', chr(39)), '&amp;', '&'), '\\s+', ' ', 'g')) AS plain FROM pages""")
 def b14_strip_tags(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "pages").select("page_id", text.strip_tags(F.col("html")).alias("plain"))
