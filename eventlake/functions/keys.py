@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,9 +28,10 @@ def row_hash(c: Column) -> Column:
     return F.sha1(F.coalesce(c, F.lit("")).cast("binary"))
 
 
-def fingerprint(df: DataFrame, key: str, text: str, buckets: int = 64) -> DataFrame:
+def fingerprint(df: DataFrame, key: str, text: str) -> DataFrame:
     """One digest of a table, whatever its order: row digests are folded within buckets of the key's digest, then over
-    the buckets. Row lists stay within 1 / buckets of the table; raise buckets with its size."""
+    the buckets. There are as many buckets as the square root of the counted rows, so no list is longer than about that."""
+    buckets = max(1, math.isqrt(max(0, df.count() - 1)) + 1)
     rows = df.select(F.md5(F.col(key).cast("string")).alias("k"), row_hash(F.col(text)).alias("h"))
     return (
         rows.groupBy(F.pmod(F.conv(F.substr("k", F.lit(1), F.lit(6)), 16, 10).cast("long"), F.lit(buckets)).alias("b"))

@@ -110,6 +110,39 @@ def feeds(df: DataFrame, key: str, html: str) -> DataFrame:
     return ranked.groupBy(key).agg(F.min_by(F.struct("kind", "url"), F.struct((F.col("kind") != "ical").cast("int"), "nth")).alias("r")).select(key, "r.*")
 
 
+#: Marks of content systems in the order in which they are tried, and where these keep their feeds.
+SYSTEMS = {
+    "wordpress+tribe": ["tribe-bar-date", "tribe_events", "tribe_filterbar"],
+    "squarespace": ["squarespace.com"],
+    "wix": ["wix.com"],
+    "webflow": ["webflow.com"],
+    "wordpress": ["wp-content", "wp-json"],
+}
+SYSTEM_FEEDS = {
+    "wordpress+tribe": [("/events/?ical=1", "ical"), ("/events/feed/", "rss")],
+    "wordpress": [("/feed/", "rss")],
+    "squarespace": [("/events?format=ical", "ical")],
+}
+
+
+def content_system(html: Column) -> Column:
+    """The content system that made a page, or `unknown`."""
+    marked = [(F.exists(F.array(*map(F.lit, marks)), lambda m: F.contains(html, m)), name) for name, marks in SYSTEMS.items()]
+    return F.coalesce(*(F.when(hit, name) for hit, name in marked), F.lit("unknown"))
+
+
+def system_feeds(df: DataFrame, key: str, html: str, url: str) -> DataFrame:
+    """key, nth, kind, url: addresses at which a page's content system would offer feeds; none for other pages."""
+    root = F.regexp_extract(url, r"(?i)^(https?://[^/?#]*)", 1)
+    offered = {
+        name: F.array(*(F.struct(F.lit(kind).alias("kind"), F.concat(root, F.lit(path)).alias("url")) for path, kind in feeds))
+        for name, feeds in SYSTEM_FEEDS.items()
+    }
+    system = content_system(F.coalesce(html, F.lit("")))
+    found = F.coalesce(*(F.when(system == name, feeds) for name, feeds in offered.items()))
+    return df.select(key, F.posexplode(found).alias("nth", "_f")).select(key, "nth", "_f.kind", "_f.url")
+
+
 def loose_json(c: Column) -> Column:
     """A variant from free text: a fenced block first, else from the first bracket to the last."""
     fence = F.try_parse_json(F.regexp_extract(c, r"(?s)```(?:json)?\s*(.*?)```", 1))

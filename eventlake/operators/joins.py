@@ -96,11 +96,10 @@ def mentions(df: DataFrame, key: str, text: str, names: DataFrame, name: str, ma
 def relevance(tokens: DataFrame, hay: DataFrame, group: str, item: str, named: Column, domain: Column) -> DataFrame:
     """group, item, score: 60 for the name, 8 for each matched token up to 40, 15 for the domain. tokens: group, token;
     hay: group, item, words (array) and what named and domain need."""
-    words = hay.select(group, item, F.explode(F.array_distinct("words")).alias("token"))
-    matched = words.join(tokens.distinct(), [group, "token"]).groupBy(group, item).agg(F.count("*").alias("m"))
-    base = hay.select(group, item, named.cast("int").alias("named"), domain.cast("int").alias("domain"))
-    score = F.col("named") * 60 + F.least(F.coalesce("m", F.lit(0)) * 8, F.lit(40)) + F.col("domain") * 15
-    return base.join(matched, [group, item], "left").select(group, item, score.cast("int").alias("score"))
+    own = tokens.groupBy(group).agg(F.collect_set("token").alias("_tokens"))  # a group's few words; texts are not exploded
+    matched = F.size(F.array_intersect(F.coalesce("words", F.array()), F.coalesce("_tokens", F.array())))
+    score = named.cast("int") * 60 + F.least(matched * 8, F.lit(40)) + domain.cast("int") * 15
+    return hay.join(own, group, "left").select(group, item, score.cast("int").alias("score"))
 
 
 def relevant(scored: DataFrame, group: str, item: str, least: int, shared: bool) -> DataFrame:
@@ -118,6 +117,39 @@ def relevant(scored: DataFrame, group: str, item: str, least: int, shared: bool)
     return kept.unionByName(rest.withColumn("rank", rank).filter("rank <= 5").select(group, item, "score"))
 
 
+def relevant_by_feed(scored: DataFrame, group: str, item: str, shared: Column, registry: Column, same: Column) -> DataFrame:
+    """group, item, score of the items kept. A group with an item from a place registry keeps only those of the same
+    place, with score 100. Else the least score is 35 if one of its items is from a shared feed, and 20 otherwise, and
+    the rules of `relevant` hold for a group that has nothing at or above it."""
+    marked = scored.withColumns({"_s": shared, "_r": registry, "_same": F.coalesce(same, F.lit(False))})
+    figures = marked.groupBy(group).agg(
+        F.max("score").alias("_best"), F.count("*").alias("_n"), F.bool_or("_s").alias("_shared"), F.bool_or("_r").alias("_registry")
+    )
+    j = marked.join(figures, group).withColumn("_least", F.when(F.col("_shared"), 35).otherwise(20))
+    exact = j.filter("_registry AND _same").select(group, item, F.lit(100).alias("score"))
+    others = j.filter("NOT _registry")
+    kept = others.filter("if(_best >= _least, score >= _least, NOT _shared AND _n <= 2)").select(group, item, "score")
+    rank = F.row_number().over(Window.partitionBy(group).orderBy(F.desc("score"), item))
+    rest = others.filter("_best < _least AND NOT _shared AND _n > 2 AND _best >= 12")
+    return exact.unionByName(kept).unionByName(rest.withColumn("_rank", rank).filter("_rank <= 5").select(group, item, "score"))
+
+
+def artist_match(df: DataFrame, key: str, name: str, artists: str, known: DataFrame, artist: str) -> DataFrame:
+    """key, matched: the first listed artist that is known (in lower case), else the first known one, by name, that
+    occurs in the event's name: anywhere if it has more than three characters, as whole words otherwise; else null.
+    Distinct names are compared with a bounded block of the known ones at a time."""
+    k = known.select(F.lower(F.trim(artist)).alias("_a")).filter("_a <> ''").distinct()
+    listed = df.select(key, F.posexplode(artists).alias("_nth", "_said")).join(k, F.lower(F.trim("_said")) == F.col("_a"))
+    first = listed.groupBy(key).agg(F.min_by("_said", "_nth").alias("_listed"))
+    names = df.select(F.lower(name).alias("_q")).filter("_q IS NOT NULL").distinct()
+    padded = F.concat(F.lit(" "), F.regexp_replace("_q", "[^a-z0-9]+", " "), F.lit(" "))
+    hit = F.contains("_q", "_a") & ((F.length("_a") > 3) | F.contains(padded, F.concat(F.lit(" "), F.col("_a"), F.lit(" "))))
+    j = reduce(DataFrame.unionByName, (names.join(b, hit) for b in in_blocks(k, "_a")))
+    found = j.groupBy("_q").agg(F.min("_a").alias("_found"))
+    out = df.select(key, F.lower(name).alias("_q")).join(found, "_q", "left").join(first, key, "left")
+    return out.select(key, F.coalesce("_listed", "_found").alias("matched"))
+
+
 def overlaps(left: DataFrame, right: DataFrame, by: str, key: str, other: str, bucket_s: int = 21600) -> DataFrame:
     """key, other of rows of one group whose spans [start, end) overlap strictly; an all-day row of right meets what
     begins on its first day. Spans are exploded to time buckets for an equi join; a pair is taken from the bucket where

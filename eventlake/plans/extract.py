@@ -90,6 +90,17 @@ def h6_feeds(spark: SparkSession, d: str) -> DataFrame:
     return x.feeds(table(spark, d, "pages").select("page_id", html.alias("html")), "page_id", "html")
 
 
+@query("""WITH p AS (SELECT page_id, page_id % 6 AS k, regexp_extract(url, '^(https?://[^/?#]*)', 1) AS root FROM pages)
+ SELECT page_id, 'ical' AS kind, root || '/events/?ical=1' AS url FROM p WHERE k = 0 UNION ALL SELECT page_id, 'rss', root || '/events/feed/' FROM p WHERE k = 0
+ UNION ALL SELECT page_id, 'ical', root || '/events?format=ical' FROM p WHERE k = 1 UNION ALL SELECT page_id, 'rss', root || '/feed/' FROM p WHERE k = 4""")
+def h6_system_feeds(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("page_id") % 6
+    marks = ["wp-content tribe_events", "cdn.squarespace.com wp-json", "wix.com", "x.webflow.com wp-json", "/wp-json/", "plain"]
+    mark = F.get(F.array(*map(F.lit, marks)), k.cast("int"))
+    pages = table(spark, d, "pages").select("page_id", "url", F.concat(F.lit('<link href="'), mark, F.lit('">')).alias("html"))
+    return x.system_feeds(pages.withColumnRenamed("url", "base"), "page_id", "html", "base").select("page_id", "kind", "url")
+
+
 @query()
 def h7_chunks(spark: SparkSession, d: str) -> DataFrame:
     return chunks(table(spark, d, "documents"), "doc_id", "text", 2000, 200, 1000)

@@ -52,13 +52,13 @@ def d4_fuzzy_category(spark: SparkSession, d: str) -> DataFrame:
     return p.join(best, "p_name").select("p_partkey", "term", "score")
 
 
-@query("""WITH n AS (SELECT DISTINCT lower(name) AS name FROM (SELECT p_name AS name FROM part UNION ALL SELECT split_part(text, ' ', 3) FROM documents WHERE doc_id % 50 = 0) WHERE regexp_full_match(lower(name), '[a-z0-9]+( [a-z0-9]+)?')),
+@query("""WITH n AS (SELECT DISTINCT lower(name) AS name FROM (SELECT p_name AS name FROM part UNION ALL SELECT split_part(text, ' ', 3) FROM documents) WHERE regexp_full_match(lower(name), '[a-z0-9]+( [a-z0-9]+)?')),
  w AS (SELECT doc_id, list_filter(string_split(regexp_replace(lower(coalesce(text, '')), '[^a-z0-9]+', ' ', 'g'), ' '), lambda x: x <> '') AS w FROM documents),
  g AS (SELECT DISTINCT doc_id, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS name FROM w)
  SELECT doc_id, name FROM g JOIN n USING (name)""")
 def d5_mentions(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents")
-    names = table(spark, d, "part").select(F.col("p_name").alias("name")).unionByName(docs.filter("doc_id % 50 = 0").select(F.get(F.split("text", " "), F.lit(2)).alias("name")))
+    names = table(spark, d, "part").select(F.col("p_name").alias("name")).unionByName(docs.select(F.get(F.split("text", " "), F.lit(2)).alias("name")))
     names = names.filter(F.rlike(F.lower("name"), F.lit("^[a-z0-9]+( [a-z0-9]+)?$")))
     return j.mentions(docs, "doc_id", F.col("text"), names, "name", 2)
 
@@ -76,6 +76,27 @@ def d6_relevance(spark: SparkSession, d: str) -> DataFrame:
     return j.relevant(scored, "source", "doc_id", 35, shared=False)
 
 
+@query("""WITH s AS (SELECT o_custkey, o_orderkey, o_orderkey * 7 % 45 AS score, o_custkey % 4 = 0 AND o_orderpriority = '1-URGENT' AS shared, o_custkey % 5 = 0 AND o_orderstatus = 'F' AS reg, o_orderkey % 2 = 0 AS same FROM orders),
+ x AS (SELECT *, max(score) OVER p AS best, count(*) OVER p AS n, bool_or(shared) OVER p AS sh, bool_or(reg) OVER p AS re, row_number() OVER (PARTITION BY o_custkey ORDER BY score DESC, o_orderkey) AS r FROM s WINDOW p AS (PARTITION BY o_custkey))
+ SELECT o_custkey, o_orderkey, CASE WHEN re THEN 100 ELSE score END AS score FROM x
+ WHERE CASE WHEN re THEN same WHEN best >= CASE WHEN sh THEN 35 ELSE 20 END THEN score >= CASE WHEN sh THEN 35 ELSE 20 END ELSE NOT sh AND (n <= 2 OR (best >= 12 AND r <= 5)) END""")
+def d6_relevance_by_feed(spark: SparkSession, d: str) -> DataFrame:
+    o = table(spark, d, "orders").withColumn("score", F.col("o_orderkey") * 7 % 45)
+    shared = (F.col("o_custkey") % 4 == 0) & (F.col("o_orderpriority") == "1-URGENT")
+    registry = (F.col("o_custkey") % 5 == 0) & (F.col("o_orderstatus") == "F")
+    return j.relevant_by_feed(o, "o_custkey", "o_orderkey", shared, registry, F.col("o_orderkey") % 2 == 0)
+
+
+@query("""WITH k AS (SELECT lower(split_part(p_name, ' ', 2)) AS a FROM part UNION SELECT lower(p_brand) FROM part WHERE p_size < 10 UNION SELECT 'red'), c AS (SELECT a FROM k WHERE a <> ''),
+ n AS (SELECT q, min(a) AS a FROM (SELECT DISTINCT lower(p_name) AS q FROM part), c WHERE contains(q, a) AND (length(a) > 3 OR contains(' ' || regexp_replace(q, '[^a-z0-9]+', ' ', 'g') || ' ', ' ' || a || ' ')) GROUP BY 1)
+ SELECT p_partkey, CASE WHEN l.a IS NOT NULL THEN p_brand ELSE n.a END AS matched FROM part LEFT JOIN c l ON l.a = lower(p_brand) LEFT JOIN n ON n.q = lower(p_name)""")
+def d5_artist_match(spark: SparkSession, d: str) -> DataFrame:
+    p = table(spark, d, "part")
+    known = p.select(F.get(F.split("p_name", " "), F.lit(1)).alias("a")).union(p.filter("p_size < 10").select("p_brand")).union(p.limit(1).select(F.lit("Red")))
+    rows = p.select("p_partkey", "p_name", F.array(F.lit("nobody"), F.col("p_brand")).alias("artists"))
+    return j.artist_match(rows, "p_partkey", "p_name", "artists", known, "a")
+
+
 @query("""WITH l AS (SELECT event_id, user_id, ts AS s, ts + INTERVAL 2 HOURS AS e FROM events WHERE event_type = 'purchase'),
  r AS (SELECT event_id AS other, user_id, CASE WHEN event_id % 9 = 0 THEN date_trunc('day', ts) ELSE ts END AS s, CASE WHEN event_id % 9 = 0 THEN date_trunc('day', ts) + INTERVAL 1 DAY ELSE ts + INTERVAL 1 HOUR END AS e, event_id % 9 = 0 AS a FROM events WHERE event_type <> 'purchase')
  SELECT event_id, other FROM l JOIN r USING (user_id) WHERE epoch_us(l.s) // 1000000 < epoch_us(r.e) // 1000000 AND epoch_us(r.s) // 1000000 < epoch_us(l.e) // 1000000 AND (NOT a OR l.s >= r.s)""")
@@ -109,13 +130,13 @@ def d10_authoritative(spark: SparkSession, d: str) -> DataFrame:
     return s.select("s_suppkey", F.coalesce("c_name", "s_name").alias("address"), F.when(F.col("c_name").isNull(), "not_found").otherwise("verified").alias("status"))
 
 
-@query("""WITH s AS (SELECT p_name AS s, max(p_partkey) AS id, min(p_partkey) AS lo FROM part WHERE p_partkey < 40 GROUP BY 1), q AS (SELECT DISTINCT p_name AS q FROM part UNION SELECT DISTINCT split_part(p_name, ' ', 2) FROM part UNION SELECT 'zzz'),
+@query("""WITH s AS (SELECT p_name AS s, max(p_partkey) AS id, min(p_partkey) AS lo FROM part GROUP BY 1), q AS (SELECT DISTINCT p_name AS q FROM part UNION SELECT DISTINCT split_part(p_name, ' ', 2) FROM part UNION SELECT 'zzz'),
  m AS (SELECT q, CASE WHEN bool_or(q = s) THEN min(CASE WHEN q = s THEN lo END) ELSE max(id) END AS id, max(CASE WHEN q = s THEN 1 ELSE 0 END) AS exact FROM q JOIN s ON contains(q, s) OR contains(s, q) GROUP BY 1)
  SELECT q, id, CASE WHEN exact = 1 THEN 'exact' WHEN exact = 0 THEN 'partial' ELSE 'stub' END AS how FROM q LEFT JOIN m USING (q)""")
 def d11_ladder(spark: SparkSession, d: str) -> DataFrame:
     p = table(spark, d, "part")
     asked = p.select(F.col("p_name").alias("q")).union(p.select(F.get(F.split("p_name", " "), F.lit(1)))).union(p.limit(1).select(F.lit("zzz"))).distinct().withColumn("k", F.col("q"))
-    return j.ladder(asked, "k", "q", p.filter("p_partkey < 40"), "p_name", "p_partkey").select(F.col("k").alias("q"), F.col("p_partkey").alias("id"), "how")
+    return j.ladder(asked, "k", "q", p, "p_name", "p_partkey").select(F.col("k").alias("q"), F.col("p_partkey").alias("id"), "how")
 
 
 @query("""WITH o AS (SELECT o_custkey AS k, count(*) AS n FROM orders GROUP BY 1), p AS (SELECT c_custkey AS k FROM customer WHERE c_custkey % 30 = 0)

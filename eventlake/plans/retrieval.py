@@ -109,9 +109,9 @@ def j1_intake(spark: SparkSession, d: str) -> DataFrame:
     return streams.intake(e.unionByName(e.filter("event_id % 3 = 0")), "event_id", "ts").select("event_id", "user_id")
 
 
-@query("""SELECT component, seq FROM (SELECT event_type AS component, event_id AS seq, row_number() OVER (PARTITION BY event_type ORDER BY event_id DESC) AS r FROM events WHERE event_type IN ('error', 'click')) WHERE r <= 20""")
+@query("""SELECT component, seq FROM (SELECT event_type AS component, event_id AS seq, row_number() OVER (PARTITION BY event_type ORDER BY event_id DESC) AS r FROM events) WHERE r <= 20""")
 def j3_recent_failures(spark: SparkSession, d: str) -> DataFrame:
-    e = table(spark, d, "events").filter("event_type IN ('error', 'click')").select(F.col("event_type").alias("component"), F.col("event_id").alias("seq"))
+    e = table(spark, d, "events").select(F.col("event_type").alias("component"), F.col("event_id").alias("seq"))
     return f.latest(e, "component", [F.desc("seq")], 20).select("component", "seq")
 
 

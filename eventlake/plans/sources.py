@@ -52,10 +52,11 @@ def a4_json_seed(spark: SparkSession, d: str) -> DataFrame:
     return rows.join(known, "name", "left_anti").select(F.col("key").alias("city"), "name")
 
 
-@query("""SELECT p_type, p_partkey % 8 AS part, count(*) AS n, md5(string_agg(p_name || ':' || p_partkey, ',' ORDER BY p_name, p_partkey)) AS digest
+@query("""SELECT p_type, p_partkey // 1000 AS part, count(*) AS n, md5(string_agg(p_name || ':' || p_partkey, ',' ORDER BY p_name, p_partkey)) AS digest
  FROM part GROUP BY ALL""")
 def a5_nested_export(spark: SparkSession, d: str) -> DataFrame:
-    out = tables.nested_groups(table(spark, d, "part"), "p_type", F.col("p_partkey") % 8, ["p_name", "p_partkey"], ["p_name", "p_partkey"])
+    part = F.floor(F.col("p_partkey") / 1000)  # at most 1000 keys in a part
+    out = tables.nested_groups(table(spark, d, "part"), "p_type", part, ["p_name", "p_partkey"], ["p_name", "p_partkey"])
     joined = F.array_join(F.transform("rows", lambda r: F.concat_ws(":", r["p_name"], r["p_partkey"].cast("string"))), ",")
     return out.select("p_type", "part", "n", F.md5(joined).alias("digest"))
 
@@ -200,7 +201,8 @@ def b9_keys(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""WITH r AS (SELECT md5(CAST(doc_id AS VARCHAR)) AS k, sha1(coalesce(text, '')) AS h FROM documents),
- b AS (SELECT CAST('0x' || k[1:6] AS BIGINT) % 64 AS b, sha256(string_agg(h, '' ORDER BY k, h)) AS h FROM r GROUP BY 1)
+ c AS (SELECT CAST(ceil(sqrt(count(*))) AS BIGINT) AS n FROM r),
+ b AS (SELECT CAST('0x' || k[1:6] AS BIGINT) % n AS b, sha256(string_agg(h, '' ORDER BY k, h)) AS h FROM r, c GROUP BY 1)
  SELECT sha256(string_agg(h, '' ORDER BY b)) AS fingerprint FROM b""")
 def b10_fingerprint(spark: SparkSession, d: str) -> DataFrame:
     return keys.fingerprint(table(spark, d, "documents"), "doc_id", "text")
