@@ -362,6 +362,35 @@ def test_op9_components(spark):
     assert near_dedup.link(df.limit(0)).collect() == []
 
 
+@pytest.mark.parametrize("n", [4, 5])
+def test_op9_variants_of_one_text(spark, n):
+    """Many unlike variants of one text, and pairs of variants that are alike but far from all others."""
+    rng = random.Random(n)
+    base = [f"w{i}" for i in range(140)]
+    texts = []
+    for i in range(150):
+        own = list(base)
+        for p in rng.sample(range(140), rng.randint(0, 12)):
+            own[p] = f"x{p}" if rng.random() < 0.4 else f"y{rng.random()}"
+        texts.append(own)
+        if i % 3 == 0:  # a sibling, one or two words away
+            own = list(own)
+            for p in rng.sample(range(140), rng.randint(1, 2)):
+                own[p] = f"z{rng.random()}"
+            texts.append(own)
+    rng.shuffle(texts)
+    sets = [{tuple(w[k : k + n]) for k in range(len(w) - n + 1)} for w in texts]
+    comp = list(range(len(sets)))
+    for a, s in enumerate(sets):
+        for b in range(a):
+            if 100 * len(s & sets[b]) >= 80 * len(s | sets[b]):
+                low, high = sorted((comp[a], comp[b]))
+                comp = [low if c == high else c for c in comp]
+    df = clashing(spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)], DOCS))
+    got = {r.doc_id: r.component_id for r in near_dedup.link(df, shingle=n).collect()}
+    assert got == dict(enumerate(comp)) and 10 < len(set(comp)) < len(comp) - 10
+
+
 def test_op9_components_of_a_path(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 7), (200, 201), (5, 5)]
     got = dict(components.components(spark.createDataFrame(edges, "u long, v long")).collect())
