@@ -348,7 +348,7 @@ def redact(
             columns = dict(zip(batch.schema.names, batch.columns))
             columns[text_col] = pa.array(texts, pa.string())
             if length_col:
-                columns[length_col] = pa.array([None if t is None else len(t) for t in texts], pa.int64())
+                columns[length_col] = pa.array([None if t is None else len(t) for t in texts], batch.schema.field(length_col).type)
             yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
     return in_batches(docs, run, docs.schema)
