@@ -23,30 +23,29 @@ RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com
 MAX_RULES = 1000
 BUCKETS, NGRAMS, REGULARISATION = 4096, (3, 4), 2e-6
 
-#: The small labelled table: fixed values. Reserved example domains; words that mark unwanted pages, and ordinary ones.
+#: The small labelled table: fixed values. Words that mark unwanted hosts, and ordinary ones; hosts join two of a kind.
 BLOCKED = """
-casino-win casino-royal online-casino casino poker-stars poker free-poker slots-bonus slots free-bets bets bet-now betting
-jackpot-win lotto-win cheap-pills pills buy-pills viagra-shop cheap-viagra pharma-cheap diet-pills adult-x adult-video adult
-xxx-tube xxx porn-free porn sex-cams hot-sex escort-x nude-pics spam-farm spam link-farm seo-spam click-farm ads-track ads
-ad-server track-ads tracker popads adclick warez-free crack-keygen keygen torrent-crack malware-x phish-login free-money
-fast-loans payday-loans cheap-loans get-rich win-prize free-iphone replica-watch cheap-bags
+casino poker slots roulette blackjack jackpot lottery gambling betting bets pills viagra cialis pharmacy steroids adult porn
+xxx nude escort camgirls hentai spam clickbait linkfarm malware phishing trojan warez keygen torrent cracked popunder adserver
+ads banners tracking payday loans replica counterfeit bitcoin-doubler giveaway
 """.split()
 ORDINARY = """
-ththre ththth thther therha tiontion ththan theres ththnt ththtion tionsh tionble ththly ththor ththing theror therwh ththti
-therst therat thersh ththst ththhe ththon thered therer therly thertion tionan tionnd tionwh tioner ththsh ththwh ththea news
-library museum university school science weather garden recipes travel history music cinema sports health council archive
-theatre bookshop kitchen village river mountain gazette review journal forum wiki maps docs art-house blog-post city-news
-open-data home-made well-being long-read north-sea
+news library museum university school science weather garden recipes travel history music cinema health council archive
+theatre bookshop kitchen village river mountain gazette review journal forum wiki maps house blog city data home reading
+north south east west water stone bridge station market street letter paper winter summer island forest ocean theory method
+table order number person people doctor lawyer software hotel flights camera football cycling painting poetry finance
 """.split()
-PATHS = ["/en/825?page=2", "/fr/10", "/de/712.html", "/es/41", "/en/249/", "", "/de/49", "/fr/853/"]
+PATHS = ["", "/", "/index.html", "/about", "/en/1", "/de/20.html", "/fr/300?page=2", "/es/4/"]
 
 
 def training_urls(spark: SparkSession) -> DataFrame:
-    """url, label (1: block) for each word of the table under a few prefixes, endings and paths."""
+    """url, label (1: block) for each word of the table, alone and joined to others, under a few prefixes, endings and
+    paths."""
     rows = []
-    for label, names in ((1.0, BLOCKED), (0.0, ORDINARY)):
-        for i, name in enumerate(names):
-            for k, path in enumerate(PATHS):  # every name has every path, so paths alone decide nothing
+    for label, words in ((1.0, BLOCKED), (0.0, ORDINARY)):
+        for i, word in enumerate(words):
+            for k, path in enumerate(PATHS):  # every word has every path, so paths alone decide nothing
+                name = word if k < 4 else f"{word}-{words[(i + 5 * k) % len(words)]}" if k < 6 else word + words[(i + 7 * k) % len(words)]
                 prefix, end = ("", "www.", "m.", "blog.")[(i + k) % 4], ("com", "net", "org")[(i + k) % 3]
                 rows.append((f"http://{prefix}{name}.example.{end}{path}", label))
     return spark.createDataFrame(rows, "url string, label double")

@@ -259,12 +259,17 @@ def test_op6_hosts_rules_and_model(spark):
 
 
 def test_op6_held_out_accuracy(spark):
-    held = [f"http://www.{a}-{b}.example.org/en/7" for a, b in (("poker", "bets"), ("xxx", "cams"), ("cheap", "loans"))]
-    fine = [f"http://{a}.example.org/en/7" for a in ("theres", "thtion", "therndan", "library-news", "tionthe")]
+    blocked = ["poker-bets", "free-slots", "xxx-cams", "cheap-viagra", "porn-hub", "warez-crack", "pay-loans", "spam-links"]
+    ordinary = ["theres", "thtion", "therndan", "library-news", "tionthe", "opera-house", "chemistry", "gardening", "rivers", "townhall"]
+    assert not set(blocked + ordinary) & set(url_filter.BLOCKED + url_filter.ORDINARY)
+    urls = [f"http://www.{name}.example.org{path}" for path in ("", "/en/7", "/a/b.html") for name in blocked + ordinary]
     model = url_filter.fit(url_filter.training_urls(spark))
-    df = spark.createDataFrame(list(enumerate(held + fine)), "page_id long, url string")
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
     got = {r.page_id: r.verdict for r in url_filter.judge(df, [], model).collect()}
-    assert [got[i] for i in range(8)] == ["block"] * 3 + ["allow"] * 5
+    block = [got[i] == "block" for i in range(len(urls))]
+    bad = [u.split(".")[1] in blocked for u in urls]
+    assert sum(b and g for b, g in zip(bad, block)) >= 0.9 * sum(bad)
+    assert sum(g and not b for b, g in zip(bad, block)) <= 0.1 * (len(bad) - sum(bad))
 
 
 def test_op7_law_of_bytes(spark, rows):
