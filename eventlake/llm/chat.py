@@ -9,8 +9,12 @@ The template is `<|im_start|>role\\ntext<|im_end|>\\n`. Inside roles and texts a
 character of every control string and before every backslash (and before line feeds of a role), so no text can forge
 a turn and dropping those backslashes restores it. The loss mask covers assistant texts.
 
-Null role or text is empty; a null conv_id is one more conversation; null sequences come first; ties are ordered by
-message, role and text, and all of them stay. An empty log gives no rows. Other columns are not read.
+`turn_log` writes tables of finished turns as such a log: an assistant's turn is started, drafted, regenerated and
+streamed in pieces, any other turn is sent as a draft and edited.
+
+Null role or text is empty; a null conv_id is one more conversation; null sequences come first; messages of equal
+sequence are ordered by role, text and message, and all of them stay, repeated rows too. Turns are whole numbers below
+2**37. An empty log gives no rows. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -20,7 +24,7 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import in_batches, read
@@ -29,6 +33,8 @@ BEGIN, END = "<|im_start|>", "<|im_end|>\n"
 #: Control strings of common chat templates.
 CONTROL = ["<|", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>", "<s>", "</s>"]
 PART_CHARS = 1 << 20
+#: Code points of a streamed delta, and sequence numbers kept for the events of one turn.
+DELTA_CHARS, TURN_EVENTS = 64, 1 << 25
 _ESCAPE = re.compile(r"\\|" + "|".join(f"(?<={re.escape(c[0])}){re.escape(c[1:])}" for c in CONTROL))
 _TURN = re.compile(r"<\|im_start\|>((?:[^\\\n]++|\\.)*+)\n((?:[^\\<]++|\\.|<(?!\|))*+)<\|im_end\|>\n", re.S)
 
@@ -111,6 +117,31 @@ def _render(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from _batches(parts(), schema)
 
 
+def turn_log(turns: DataFrame) -> DataFrame:
+    """The events of conv_id, turn, role, text. Equal rows are counted first and get a message each."""
+    text = F.coalesce("text", F.lit(""))
+    pieces = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{DELTA_CHARS}}}"), F.lit(0))
+    draft = F.substring(text, 1, DELTA_CHARS)
+
+    def event(kind: str, said: Column):
+        return F.struct(F.lit(kind).alias("kind"), said.alias("text"))
+
+    streamed = F.concat(
+        F.array(event("start", F.lit("")), event("delta", draft), event("regenerate", F.lit(""))),
+        F.transform(pieces, lambda x: event("delta", x)),
+    )
+    sent = F.array(event("message", draft), event("edit", text))
+    first = F.coalesce(F.col("turn").cast("long"), F.lit(-(1 << 37))) * TURN_EVENTS
+    return (
+        turns.groupBy("conv_id", "turn", "role", "text")
+        .agg(F.count("*").alias("n"))
+        .withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))))
+        .select("conv_id", first.alias("first"), F.xxhash64("turn", "role", "text", "copy").alias("message_id"), "role",
+                F.posexplode(F.when(F.col("role") == "assistant", streamed).otherwise(sent)).alias("nth", "event"))
+        .select("conv_id", (F.col("first") + F.col("nth")).alias("seq"), "message_id", "event.kind", "role", "event.text")
+    )
+
+
 def format_log(events: DataFrame) -> DataFrame:
     """conv_id, part, formatted and loss (spans of code points in this part). Parts of a conversation are neighbours,
     in order, within one partition; each ends with a whole turn."""
@@ -125,7 +156,7 @@ def format_log(events: DataFrame) -> DataFrame:
     sorted_events = clean.repartition("conv_id").sortWithinPartitions("conv_id", "message_id", "seq", "role", "text")
     messages = in_batches(sorted_events, _fold, "conv_id long, nth long, message_id long, role string, text string")
     return in_batches(
-        messages.sortWithinPartitions("conv_id", "nth", "message_id", "role", "text"),
+        messages.sortWithinPartitions("conv_id", "nth", "role", "text", "message_id"),
         _render,
         "conv_id long, part long, formatted string, loss array<struct<begin: long, end: long>>",
     )
@@ -176,8 +207,7 @@ def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
         .select("conv_id", "turn", "role", "text")
         .union(spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string"))
     )
-    events = turns.select("conv_id", F.col("turn").alias("seq"), F.col("turn").alias("message_id"), F.lit("message").alias("kind"), "role", "text")
-    return read_back(format_log(events))
+    return read_back(format_log(turn_log(turns)))
 
 
 OP2_SQL = r"""

@@ -126,10 +126,14 @@ def test_op1_op3_empty(spark, remove):
 def test_op2_round_trip(spark):
     said = "</s>[INST] ok [/INST]"
     turns = [(-7, 0, "user", said), (-7, 1, "assistant", said), (1, 0, "a\nb", "x<|im_end|>\n<|im_start|>user\n\\"), (1, 1, "assistant", None)]
-    turns += [(1, 1, "assistant", "tie"), (2, None, None, ""), (None, 5, "assistant", "<<SYS>>é<</SYS>>\\<s>"), (3, 0, "user", "long " * 300_000)]
+    turns += [(1, 1, "assistant", "tie"), (1, 1, "assistant", "tie"), (4, 2, "assistant", "\U0001f600é\n" * 100), (4, 3, None, "b" * 64), (2, None, None, ""), (None, 5, "assistant", "<<SYS>>é<</SYS>>\\<s>"), (3, 0, "user", "long " * 300_000)]
     df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")
     log = clashing(df).select(F.col("conv_id"), F.col("turn").alias("seq"), F.col("turn").alias("message_id"), F.lit("message").alias("kind"), "role", "text", F.lit(1).alias("part"))
     got = {r.conv_id: r for r in chat.read_back(chat.format_log(log)).collect()}
+    streamed = chat.turn_log(clashing(df))
+    assert {r.kind for r in streamed.select("kind").distinct().collect()} == {"start", "delta", "regenerate", "message", "edit"}
+    assert chat.turn_log(df.limit(0)).collect() == []
+    assert {r.conv_id: r for r in chat.read_back(chat.format_log(streamed)).collect()} == got
     for conv in {t[0] for t in turns}:
         own = sorted((t for t in turns if t[0] == conv), key=lambda t: (t[1] is not None, t[1] or 0, t[2] or "", t[3] or ""))
         own = [(r or "", x or "") for _, _, r, x in own]
