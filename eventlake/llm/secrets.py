@@ -2,9 +2,11 @@
 
 The rules are parsed, joined into one nondeterministic automaton behind `any bytes`, made deterministic by subset
 construction over byte classes and minimised; its transition array runs once over the bytes of every text and says
-which rules occur in it. Exact spans then come from the rule's own pattern on just those texts: leftmost and
-non-overlapping per kind, matches that fail the rule's length being dropped. A private key is one span from its BEGIN
-line through its END line.
+which rules occur in it. On just those texts the automaton of the reversed rules runs once from the end and marks the
+bytes where a match of each rule begins; from a mark the rule's anchored automaton goes on to the longest match, and one
+for the part before the counted group tells where that begins. Spans are leftmost and non-overlapping per kind, matches
+that fail the rule's length being dropped. A private key is one span from its BEGIN line through its END line: the
+header is found like other matches, and an exact pattern, as END must repeat BEGIN's words, follows the key from there.
 
 Null and empty texts have no spans. Repeated rows are scanned alike; texts of any length are scanned whole. Spans are
 in code points, end exclusive. `redact` carries all other columns along; `scan` reads none.
@@ -15,7 +17,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -28,14 +30,16 @@ from .common import doc_text, in_batches, read
 
 @dataclass(frozen=True)
 class Rule:
-    """found: the search pattern; group and least: the part that must be so long; bytes: an expression for the
-    automaton that occurs wherever a match is kept."""
+    """found: the regular expression of a match, each text of which is read in one way only, so that the longest match
+    is the greedy one; head: the part of it before what is counted; least: how many bytes of the rest a kept match
+    has; bytes: an expression that occurs wherever a match is kept; rest: a pattern that a match is followed with."""
 
     kind: str
     found: str
-    group: int
+    head: str
     least: int
     bytes: str
+    rest: str = ""
 
 
 _KEY = "(password|passwd|secret|token|api_?key)"
@@ -54,11 +58,11 @@ _PEM_KEY = (
 )
 #: The first three kinds are the base contract.
 RULES = (
-    Rule("assign", f"{_ANY_CASE}{_GAP}([A-Za-z0-9+/_.=-]+)", 2, 6, f"{_ANY_CASE}{_GAP}[A-Za-z0-9+/_.=-]"),
-    Rule("access", "AKIA[A-Z0-9]+", 0, 20, "AKIA[A-Z0-9]{4}"),
-    Rule("hex", "[0-9a-f]+", 0, 24, "[0-9a-f]{24}"),
-    Rule("private_key", _PEM_KEY, 0, 0, _PEM),
-    Rule("git_token", "gh[opsu]_[A-Za-z0-9]+", 0, 24, "gh[opsu]_[A-Za-z0-9]{4}"),
+    Rule("assign", f"{_ANY_CASE}{_GAP}[A-Za-z0-9+/_.=-]+", f"{_ANY_CASE}{_GAP}", 6, f"{_ANY_CASE}{_GAP}[A-Za-z0-9+/_.=-]"),
+    Rule("access", "AKIA[A-Z0-9]+", "", 20, "AKIA[A-Z0-9]{4}"),
+    Rule("hex", "[0-9a-f]+", "", 24, "[0-9a-f]{24}"),
+    Rule("private_key", _PEM, "", 0, _PEM, _PEM_KEY),
+    Rule("git_token", "gh[opsu]_[A-Za-z0-9]+", "", 24, "gh[opsu]_[A-Za-z0-9]{4}"),
 )
 BASE_KINDS = ("assign", "access", "hex")
 
@@ -220,17 +224,72 @@ class Automaton:
         out[order] = hit
         return out
 
+    def marks(self, data: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Bits of the rules that end at each byte."""
+        coded, out = self.classes[data], np.zeros(len(data), np.int32)
+        lengths = np.diff(at)
+        order = np.argsort(-lengths, kind="stable")
+        pos, falling = at[:-1][order], -lengths[order]
+        state = np.full(len(order), self.start, np.int32)
+        t, n = 0, int(np.searchsorted(falling, 0))
+        while n > 64:
+            now = self.table[state[:n] + coded[pos[:n] + t]]
+            state[:n] = now
+            out[pos[:n] + t] = self.accept[now]
+            t += 1
+            n = int(np.searchsorted(falling[:n], -t))
+        table, accept = self.table.tolist(), self.accept.tolist()
+        for i in range(n):
+            s = int(state[i])
+            for j, c in enumerate(coded[pos[i] + t : pos[i] - falling[i]].tobytes(), int(pos[i]) + t):
+                s = table[s + c]
+                if accept[s]:
+                    out[j] = accept[s]
+        return out
+
+    def longest(self, data: bytes, at: int) -> int:
+        """Where the longest match that begins at `at` ends; -1 if there is none. For anchored automata."""
+        classes, table, accept, dead = self.lists
+        s, end = self.start, at if accept[self.start] else -1
+        for j in range(at, len(data)):
+            s = table[s + classes[data[j]]]
+            if s == dead:
+                break
+            if accept[s]:
+                end = j + 1
+        return end
 
-@lru_cache(8)
-def compile_rules(expressions: tuple[str, ...]) -> Automaton:
-    """The minimal automaton that reports at each byte which expressions end there."""
+    @cached_property
+    def lists(self) -> tuple[list[int], list[int], list[int], int]:
+        """Classes, table and accept as lists, and the state that nothing leaves."""
+        width = int(self.classes.max()) + 1
+        rows = self.table.reshape(-1, width)
+        own = np.arange(len(rows), dtype=np.int32) * width
+        dead = np.flatnonzero((rows == own[:, None]).all(axis=1) & (self.accept[::width] == 0))
+        return self.classes.tolist(), self.table.tolist(), self.accept.tolist(), int(own[dead[0]]) if len(dead) else -1
+
+
+def _reversed(tree):
+    """The tree of the same texts read from their ends."""
+    kind, *rest = tree
+    if kind in ("cat", "alt"):
+        parts = [_reversed(part) for part in rest[0]]
+        return (kind, parts[::-1] if kind == "cat" else parts)
+    return tree if kind == "set" else (kind, _reversed(rest[0]), *rest[1:])
+
+
+@lru_cache(64)
+def compile_rules(expressions: tuple[str, ...], backward: bool = False, anchored: bool = False) -> Automaton:
+    """The minimal automaton that reports at each byte which expressions end there. Backward, it reads texts from their
+    ends; anchored, matches begin with the text only."""
     nfa = _Nfa()
     root = nfa.state()
     ends = {}
     for k, text in enumerate(expressions):
         start = nfa.state()
         nfa.eps[root].append(start)
-        ends[nfa.build(_parse(text), start)] = 1 << k
+        tree = _parse(text)
+        ends[nfa.build(_reversed(tree) if backward else tree, start)] = 1 << k
     # Bytes that no set tells apart form a class.
     sets = sorted({s[0] for s in nfa.step if s}, key=sorted)
     keys = [tuple(b in s for s in sets) for b in range(256)]
@@ -259,7 +318,7 @@ def compile_rules(expressions: tuple[str, ...]) -> Automaton:
         live = [s for s in range(states.bit_length()) if states >> s & 1 and moves[s]]
         row = []
         for c in range(len(sample)):
-            after = begin
+            after = 0 if anchored else begin
             for s in live:
                 if moves[s][c]:
                     after |= reach[s]
@@ -286,27 +345,47 @@ def compile_rules(expressions: tuple[str, ...]) -> Automaton:
     return Automaton(classes, (small.ravel() * width).astype(np.int32), by_offset, int(block[0]) * width, n)
 
 
-def spans_in(text: str, bits: int, rules: tuple[Rule, ...]) -> list[tuple[int, int, int]]:
-    """(begin, rule number, end) of the kept matches, in that order."""
+def spans_in(text: bytes, marks: np.ndarray, rules: tuple[Rule, ...]) -> list[tuple[int, int, int]]:
+    """(begin, rule number, end) of the kept matches in code points, in that order; marks: the rules that begin at each
+    byte."""
     found = []
     for k, rule in enumerate(rules):
-        if bits >> k & 1:
-            found += [
-                (m.start(), k, m.end())
-                for m in re.finditer(rule.found, text)
-                if m.end(rule.group) - m.start(rule.group) >= rule.least
-            ]
-    return sorted(found)
+        starts = np.flatnonzero(marks >> k & 1)
+        if not len(starts):
+            continue
+        whole, head = (compile_rules((e,), anchored=True) for e in (rule.found, rule.head))
+        rest = re.compile(rule.rest.encode()) if rule.rest else None
+        i = 0
+        while i < len(starts):
+            begin = int(starts[i])
+            end = rest.match(text, begin).end() if rest else whole.longest(text, begin)
+            if end - head.longest(text, begin) >= rule.least:
+                found.append((begin, k, end))
+            i += 1
+            if i < len(starts) and starts[i] < end:
+                i = int(np.searchsorted(starts, end))
+    if not found:
+        return []
+    points = np.concatenate([[0], np.cumsum((np.frombuffer(text, np.uint8) & 0xC0) != 0x80)])
+    return sorted((int(points[b]), k, int(points[e])) for b, k, e in found)
 
 
 def _found(
     batch: pa.RecordBatch, text_col: str, rules: tuple[Rule, ...], automaton: Automaton
 ) -> list[list[tuple[int, int, int]]]:
     data, at = column_bytes(batch.column(text_col))
-    bits = automaton.rules_in(data, at)
-    return [
-        spans_in(data[at[i] : at[i + 1]].tobytes().decode(), int(b), rules) if b else [] for i, b in enumerate(bits)
-    ]
+    hit = np.flatnonzero(automaton.rules_in(data, at))
+    out: list[list[tuple[int, int, int]]] = [[] for _ in range(batch.num_rows)]
+    if len(hit):
+        texts = [data[at[i] : at[i + 1]] for i in hit]
+        ends = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+        whole = np.concatenate(texts)
+        # From the end: the last byte of the last text comes first.
+        backward = compile_rules(tuple(r.found for r in rules), backward=True)
+        marks = backward.marks(whole[::-1], (ends[-1] - ends)[::-1])[::-1]
+        for i, text, a, b in zip(hit.tolist(), texts, ends.tolist(), ends[1:].tolist()):
+            out[i] = spans_in(text.tobytes(), marks[a:b], rules)
+    return out
 
 
 def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
