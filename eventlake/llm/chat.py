@@ -53,9 +53,9 @@ def render(role: str, text: str) -> tuple[str, int]:
     return head + escape(text) + END, len(head)
 
 
-def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+def _rows(batches: Iterator[pa.RecordBatch], *names: str) -> Iterator[tuple]:
     for batch in batches:
-        yield from batch.to_pylist()
+        yield from zip(*(batch.column(n).to_pylist() for n in names))
 
 
 def _batches(rows: Iterator[tuple], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
@@ -76,18 +76,18 @@ def _fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def messages() -> Iterator[tuple]:
         key = None
-        for e in _rows(batches):
-            if e["kind"] == "message" or key is None or key[0] != (e["conv_id"], e["message_id"]):
+        for conv, message, seq, kind, by, text in _rows(batches, "conv_id", "message_id", "seq", "kind", "role", "text"):
+            if kind == "message" or key is None or key[0] != (conv, message):
                 if key and parts is not None:
                     yield (key[0][0], key[1], key[0][1], role, "".join(parts))
-                key, role, parts = ((e["conv_id"], e["message_id"]), e["seq"]), e["role"], []
-            if e["kind"] == "delete":
+                key, role, parts = ((conv, message), seq), by, []
+            if kind == "delete":
                 parts = None
-            elif e["kind"] == "delta":
+            elif kind == "delta":
                 parts = [] if parts is None else parts
-                parts.append(e["text"])
+                parts.append(text)
             else:
-                parts = [] if e["kind"] in ("start", "regenerate") else [e["text"]]
+                parts = [] if kind in ("start", "regenerate") else [text]
         if key and parts is not None:
             yield (key[0][0], key[1], key[0][1], role, "".join(parts))
 
@@ -100,14 +100,14 @@ def _render(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def parts() -> Iterator[tuple]:
         conv, part, turns, loss, size = None, 0, [], [], 0
-        for m in _rows(batches):
-            if turns and (m["conv_id"] != conv or size > PART_CHARS):
+        for of, role, text in _rows(batches, "conv_id", "role", "text"):
+            if turns and (of != conv or size > PART_CHARS):
                 yield (conv, part, "".join(turns), loss)
                 part, turns, loss, size = part + 1, [], [], 0
-            if m["conv_id"] != conv:
-                conv, part = m["conv_id"], 0
-            turn, begin = render(m["role"], m["text"])
-            if m["role"] == "assistant":
+            if of != conv:
+                conv, part = of, 0
+            turn, begin = render(role, text)
+            if role == "assistant":
                 loss.append({"begin": size + begin, "end": size + len(turn) - len(END)})
             turns.append(turn)
             size += len(turn)
@@ -169,19 +169,19 @@ def _read_back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def digests() -> Iterator[tuple]:
         first, conv = True, None
-        for row in _rows(batches):
-            if first or row["conv_id"] != conv:
+        for of, text, spans in _rows(batches, "conv_id", "formatted", "loss"):
+            if first or of != conv:
                 if not first:
                     yield (conv, n, turns.hexdigest(), chars, loss.hexdigest(), length)
-                first, conv, n, chars, length, turns, loss = False, row["conv_id"], 0, 0, 0, hashlib.sha256(), hashlib.sha256()
-            text, done = row["formatted"], 0
+                first, conv, n, chars, length, turns, loss = False, of, 0, 0, 0, hashlib.sha256(), hashlib.sha256()
+            done = 0
             for m in _TURN.finditer(text):
                 assert m.start() == done
                 done, n = m.end(), n + 1
                 turns.update(f"{unescape(m[1])}\n{unescape(m[2])}\n".encode())
             assert done == len(text)
             length += len(text)
-            for s in row["loss"]:
+            for s in spans:
                 said = unescape(text[s["begin"] : s["end"]])
                 chars += len(said)
                 loss.update(said.encode())
