@@ -3,11 +3,14 @@
 A run is the unit in which the two substring operators work: its texts fit a task's memory, copies of a text share a
 run, and a text with so many copies that they would outgrow one is salted over several. Runs exchange sorted cells
 and sorted keys in compressed blocks by slice of the key space, and get back one bit (or mask) per key in that order.
+Blocks travel in hops, each of which tells 2**HOP_BITS slices and as many runs apart, so that a run sends and receives
+that many blocks at most however large the corpus.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -19,6 +22,8 @@ from .arrays import U, column_bytes, mix
 from .common import doc_text, maybe_broadcast, write_table
 
 RUN_BYTES = 16 << 20
+#: Bits of the slice number, and of the run number, that one hop of an exchange settles.
+HOP_BITS = 8
 
 
 @dataclass
@@ -31,6 +36,11 @@ class Runs:
     def slice_bits(self) -> int:
         return max(0, math.ceil(math.log2(self.n_runs)))
 
+    @property
+    def exchange(self) -> "Exchange":
+        bits = self.slice_bits
+        return Exchange((0, *range(HOP_BITS, bits, HOP_BITS), bits))
+
 
 def deal(docs: DataFrame, id_col: str, text_col: str, run_bytes: int = RUN_BYTES) -> Runs:
     df = doc_text(docs, id_col, text_col).withColumn("th", F.xxhash64("text"))
@@ -146,8 +156,8 @@ class Sketch:
         """Where each slice begins among sorted cells."""
         return np.searchsorted(cells, np.arange((1 << self.slice_bits) + 1, dtype=np.uint64) << U(self.bits - self.slice_bits))
 
-    def part(self, keys: np.ndarray) -> list[tuple[int, int, bytes]]:
-        """(row, slice, block) of a run; keys: sorted, one for each text that has it."""
+    def part(self, keys: np.ndarray) -> list[tuple[int, int, list[np.ndarray]]]:
+        """(row, slice, arrays) of a run; keys: sorted, one for each text that has it."""
         out = []
         for row in range(self.depth):
             cells = self.cells(twice_at_most(keys), row)
@@ -155,26 +165,22 @@ class Sketch:
             cuts = self.cuts(cells)
             for s in np.flatnonzero(np.diff(cuts)):
                 own = cells[cuts[s] : cuts[s + 1]]
-                out.append((row, int(s), pack(narrow(np.diff(own, prepend=U(int(s) << (self.bits - self.slice_bits)))))))
+                out.append((row, int(s), [narrow(np.diff(own, prepend=U(int(s) << (self.bits - self.slice_bits))))]))
         return out
 
-    def merged(self, row: int, part: int, blocks: list[bytes], hot: int) -> list[bytes]:
-        """For each run's block: a bit for each of its distinct cells, set if the merged count is two; then a bit set
+    def merged(self, part: int, got: list[list[np.ndarray]], hot: int) -> list[list[np.ndarray]]:
+        """For each run's cells: a bit for each of its distinct cells, set if the merged count is two; then a bit set
         if more than `hot` runs have the cell."""
         base = U(part << (self.bits - self.slice_bits))
-        runs = [np.cumsum(unpack(b)[0].astype(np.uint64)) + base for b in blocks]
+        runs = [np.cumsum(g[0].astype(np.uint64)) + base for g in got]
         every = np.sort(np.concatenate(runs))
         repeated = distinct(every[1:][every[1:] == every[:-1]])
         owns = [distinct(r) for r in runs]
         every = np.sort(np.concatenate(owns))
         many = distinct(every[hot:][every[hot:] == every[: len(every) - hot]]) if len(every) > hot else every[:0]
-        out = []
-        for own in owns:
-            bits = [np.packbits(among(own, x)) for x in (repeated, many)]
-            out.append(pack(*bits))
-        return out
+        return [[np.packbits(among(own, x)) for x in (repeated, many)] for own in owns]
 
-    def known(self, keys: np.ndarray, replies: dict[tuple[int, int], bytes], which: int = 0) -> np.ndarray:
+    def known(self, keys: np.ndarray, replies: dict[tuple[int, int], list[np.ndarray]], which: int = 0) -> np.ndarray:
         """Which of the sorted keys (one for each text that has it) all rows estimate as repeated; which 1: as hot."""
         found = np.ones(len(keys), bool)
         for row in range(self.depth):
@@ -184,7 +190,7 @@ class Sketch:
             flags = np.zeros(len(order), bool)
             for s in np.flatnonzero(np.diff(cuts)):
                 n = int(cuts[s + 1] - cuts[s])
-                flags[cuts[s] : cuts[s + 1]] = np.unpackbits(unpack(replies[row, int(s)])[which], count=n)
+                flags[cuts[s] : cuts[s + 1]] = np.unpackbits(replies[row, int(s)][which], count=n)
             if row == 0:
                 change = np.ones(len(mine), bool)
                 change[1:] = mine[1:] != mine[:-1]
@@ -217,14 +223,129 @@ def run_of(table: pa.Table) -> int:
     return table.column("run")[0].as_py()
 
 
+@dataclass
+class Crate:
+    """What some runs have for some slices: for each pair of them (a cell) the lengths of its arrays, which lie one
+    cell after the other in data."""
+
+    run: np.ndarray
+    part: np.ndarray
+    sizes: list[np.ndarray]
+    data: list[np.ndarray]
+
+    @classmethod
+    def of(cls, cells: list[tuple[int, int, list[np.ndarray]]]) -> "Crate":
+        run, part, arrays = zip(*cells)
+        return cls(
+            np.array(run, np.int64),
+            np.array(part, np.int64),
+            [np.array([len(a) for a in own], np.int64) for own in zip(*arrays)],
+            [np.concatenate(own) for own in zip(*arrays)],
+        )
+
+    @classmethod
+    def unpacked(cls, block: bytes) -> "Crate":
+        run, part, *rest = unpack(block)
+        k = len(rest) // 2
+        return cls(run.astype(np.int64), part.astype(np.int64), [x.astype(np.int64) for x in rest[:k]], rest[k:])
+
+    def packed(self) -> bytes:
+        heads = [narrow(x.astype(np.uint64)) for x in (self.run, self.part, *self.sizes)]
+        return pack(*heads, *self.data)
+
+    @classmethod
+    def joined(cls, crates: list["Crate"]) -> "Crate":
+        each = zip(*([c.run, c.part, *c.sizes, *c.data] for c in crates))
+        run, part, *rest = (np.concatenate(x) for x in each)
+        return cls(run, part, rest[: len(rest) // 2], rest[len(rest) // 2 :])
+
+    def split(self, by: np.ndarray) -> Iterator[tuple[int, "Crate"]]:
+        """Cells of each value of by."""
+        order = np.argsort(by, kind="stable")
+        values, first = np.unique(by[order], return_index=True)
+        sizes = [x[order] for x in self.sizes]
+        data = []
+        for own, old, values_of in zip(sizes, self.sizes, self.data):
+            begin = (np.cumsum(old) - old)[order]
+            data.append(values_of[np.repeat(begin - (np.cumsum(own) - own), own) + np.arange(int(own.sum()))])
+        ends = [np.concatenate([[0], np.cumsum(x)]) for x in sizes]
+        for value, a, b in zip(values.tolist(), first.tolist(), [*first[1:].tolist(), len(order)]):
+            cut = [d[e[a] : e[b]] for d, e in zip(data, ends)]
+            yield value, Crate(self.run[order[a:b]], self.part[order[a:b]], [x[a:b] for x in sizes], cut)
+
+    def cells(self) -> Iterator[tuple[int, int, list[np.ndarray]]]:
+        ends = [np.cumsum(x) for x in self.sizes]
+        for i, (run, part) in enumerate(zip(self.run.tolist(), self.part.tolist())):
+            yield run, part, [d[e[i] - x[i] : e[i]] for d, e, x in zip(self.data, ends, self.sizes)]
+
+
+@dataclass(frozen=True)
+class Exchange:
+    """Every run sends something to every slice and gets an answer. Before hop h a crate is for one value of the first
+    known[h + 1] bits of the slice, from runs that share all but the last known[h] bits of their number; a hop joins
+    the crates of 2**HOP_BITS such groups of runs and splits them by the next bits. Answers go the same way back."""
+
+    known: tuple[int, ...]
+
+    @property
+    def bits(self) -> int:
+        return self.known[-1]
+
+    def sent(self, run: int, cells: list[tuple[int, int, list[np.ndarray]]]) -> pa.Table:
+        """Blocks of a run's (kind, slice, arrays)."""
+        rest = self.bits - self.known[1]
+        by: dict[tuple[int, int], list] = {}
+        for kind, part, arrays in cells:
+            by.setdefault((kind, part >> rest), []).append((run, part, arrays))
+        return block_table([(kind, head, run, Crate.of(own).packed()) for (kind, head), own in by.items()])
+
+    def answers(self, sent: DataFrame, judge: Callable[[int, int, list[list[np.ndarray]]], list[list[np.ndarray]]]) -> DataFrame:
+        """What judge(kind, slice, arrays of each run) says of each run's arrays, as blocks for the runs."""
+        known, bits = self.known, self.bits
+
+        def relay(df: DataFrame, group: int, head: int, target: Callable[[Crate], np.ndarray], row: Callable[[int, int, int], tuple[int, int]]) -> DataFrame:
+            def step(table: pa.Table) -> pa.Table:
+                kind, part, run = (table.column(c)[0].as_py() for c in ("kind", "part", "run"))
+                whole = Crate.joined([Crate.unpacked(b) for b in table.column("block").to_pylist()])
+                return block_table([(kind, *row(part, run, v), c.packed()) for v, c in whole.split(target(whole))])
+
+            return df.groupBy("kind", F.shiftright("part", head), F.shiftright("run", group)).applyInArrow(step, BLOCKS)
+
+        def judged(table: pa.Table) -> pa.Table:
+            kind, part = (table.column(c)[0].as_py() for c in ("kind", "part"))
+            crates = [list(Crate.unpacked(b).cells()) for b in table.column("block").to_pylist()]
+            said = iter(judge(kind, part, [arrays for own in crates for _, _, arrays in own]))
+            return block_table(
+                [
+                    (kind, part, first, Crate.of([(run, part, next(said)) for run, _, _ in own]).packed())
+                    for first, own in zip(table.column("run").to_pylist(), crates)
+                ]
+            )
+
+        hops = range(1, len(known) - 1)
+        for h in hops:
+            rest, own = bits - known[h + 1], known[h]
+            sent = relay(
+                sent, own, 0, lambda c, rest=rest: c.part >> rest, lambda part, run, v, own=own: (v, run >> own << own)
+            )
+        back = sent.groupBy("kind", "part").applyInArrow(judged, BLOCKS)
+        for h in reversed(hops):
+            head, own = known[h + 1] - known[h], known[h - 1]
+            back = relay(
+                back, known[h], head, lambda c, own=own: c.run >> own, lambda part, run, v, head=head, own=own: (part >> head, v << own)
+            )
+        return back
+
+
 def replies_of(table: pa.Table) -> dict[int, dict]:
-    """Blocks by kind and part; sketch rows are kinds 0 and up and come under -1 as (row, slice)."""
+    """Answers by kind and slice; sketch rows are kinds 0 and up and come under -1 as (row, slice)."""
     out: dict[int, dict] = {-1: {}}
-    for kind, part, block in zip(*(table.column(c).to_pylist() for c in ("kind", "part", "block"))):
-        if kind < EXACT:
-            out[-1][kind, part] = block
-        else:
-            out.setdefault(kind, {})[part] = block
+    for kind, block in zip(*(table.column(c).to_pylist() for c in ("kind", "block"))):
+        for _, part, arrays in Crate.unpacked(block).cells():
+            if kind < EXACT:
+                out[-1][kind, part] = arrays
+            else:
+                out.setdefault(kind, {})[part] = arrays
     return out
 
 
@@ -232,13 +353,6 @@ def replies_of(table: pa.Table) -> dict[int, dict]:
 EXACT = 100
 
 
-def sketch_replies(parts: DataFrame, sketch: Sketch, hot: int = 1 << 60) -> DataFrame:
-    """Merge the runs' sketch parts slice by slice; the blocks go back to the runs."""
-
-    def merge(table: pa.Table) -> pa.Table:
-        kind, part = (table.column(c)[0].as_py() for c in ("kind", "part"))
-        runs = table.column("run").to_pylist()
-        blocks = sketch.merged(kind, part, table.column("block").to_pylist(), hot)
-        return block_table([(kind, part, r, b) for r, b in zip(runs, blocks)])
-
-    return parts.groupBy("kind", "part").applyInArrow(merge, BLOCKS)
+def sketch_replies(parts: DataFrame, exchange: Exchange, sketch: Sketch, hot: int = 1 << 60) -> DataFrame:
+    """Merge the runs' sketch parts slice by slice; the answers go back to the runs."""
+    return exchange.answers(parts, lambda kind, part, got: sketch.merged(part, got, hot))

@@ -22,15 +22,14 @@ from .common import read
 from .runs import (
     BLOCKS,
     EXACT,
+    RUN_BYTES,
     RunTexts,
     Sketch,
     block_table,
     deal,
-    pack,
     replies_of,
     run_of,
     sketch_replies,
-    unpack,
 )
 
 WINDOW, DEPTH, CELLS_PER_KEY = 13, 2, 4
@@ -79,14 +78,14 @@ def _cuts(keys: np.ndarray, slice_bits: int) -> np.ndarray:
 
 def remove_repeats(docs: DataFrame, n: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_words, n_removed and kept (the remaining words joined by one space, UTF-8) of every row."""
-    runs = deal(docs, id_col, text_col)
-    bits = runs.slice_bits
+    runs = deal(docs, id_col, text_col, RUN_BYTES)
+    bits, exchange = runs.slice_bits, runs.exchange
     sketch = Sketch.sized(runs.n_bytes // 6, DEPTH, CELLS_PER_KEY, bits)
 
     def sketched(table: pa.Table) -> pa.Table:
         run = run_of(table)
         windows = _Windows(RunTexts.of(table), n)
-        return block_table([(row, part, run, b) for row, part, b in sketch.part(windows.one_per_text())])
+        return exchange.sent(run, sketch.part(windows.one_per_text()))
 
     def narrowed(docs: pa.Table, replies: pa.Table) -> tuple[_Windows, dict]:
         got = replies_of(replies)
@@ -99,18 +98,17 @@ def remove_repeats(docs: DataFrame, n: int = WINDOW, id_col: str = "doc_id", tex
             return block_table([])
         windows, _ = narrowed(docs, replies)
         cuts = _cuts(windows.entry_keys, bits)
-        return block_table(
+        return exchange.sent(
+            run_of(docs),
             [
-                (EXACT, s, run_of(docs), pack(windows.entry_keys[a:b], windows.entry_other[a:b], windows.entry_first[a:b]))
+                (EXACT, s, [x[a:b] for x in (windows.entry_keys, windows.entry_other, windows.entry_first)])
                 for s, (a, b) in enumerate(zip(cuts, cuts[1:]))
                 if b > a
-            ]
+            ],
         )
 
-    def grouped(table: pa.Table) -> pa.Table:
+    def grouped(kind: int, part: int, got: list[list[np.ndarray]]) -> list[list[np.ndarray]]:
         """A bit for each entry: some run has the window in a document with a smaller id."""
-        part = table.column("part")[0].as_py()
-        got = [unpack(b) for b in table.column("block").to_pylist()]
         keys, other, first = (np.concatenate([g[i] for g in got]) for i in range(3))
         first = first.view(np.int64)
         order = np.lexsort((other, keys))
@@ -121,12 +119,7 @@ def remove_repeats(docs: DataFrame, n: int = WINDOW, id_col: str = "doc_id", tex
         smaller = np.empty(len(k), bool)
         smaller[order] = least < f
         ends = np.cumsum([len(g[0]) for g in got])
-        return block_table(
-            [
-                (EXACT, part, r, pack(np.packbits(smaller[e - len(g[0]) : e])))
-                for r, g, e in zip(table.column("run").to_pylist(), got, ends)
-            ]
-        )
+        return [[np.packbits(smaller[e - len(g[0]) : e])] for g, e in zip(got, ends)]
 
     schema = pa.schema(
         [("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.binary())]
@@ -140,7 +133,7 @@ def remove_repeats(docs: DataFrame, n: int = WINDOW, id_col: str = "doc_id", tex
         cuts = _cuts(w.entry_keys, bits)
         for s, (a, b) in enumerate(zip(cuts, cuts[1:])):
             if b > a:
-                smaller[a:b] = np.unpackbits(unpack(got[EXACT][s])[0], count=int(b - a))
+                smaller[a:b] = np.unpackbits(got[EXACT][s][0], count=int(b - a))
         t = w.texts
         hit = smaller[w.group] | (t.first[w.doc] > w.entry_first[w.group])
         gone = cover(w.starts[hit], n, len(w.words))
@@ -170,9 +163,9 @@ def remove_repeats(docs: DataFrame, n: int = WINDOW, id_col: str = "doc_id", tex
         return df.groupBy("run")
 
     parts = by_run(runs.docs).applyInArrow(sketched, BLOCKS)
-    estimates = sketch_replies(parts, sketch)
+    estimates = sketch_replies(parts, exchange, sketch)
     exact = by_run(runs.docs).cogroup(by_run(estimates)).applyInArrow(entries, BLOCKS)
-    verdicts = exact.groupBy("part").applyInArrow(grouped, BLOCKS)
+    verdicts = exchange.answers(exact, grouped)
     return (
         by_run(runs.docs)
         .cogroup(by_run(estimates.unionByName(verdicts)))

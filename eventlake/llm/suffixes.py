@@ -37,11 +37,9 @@ from .runs import (
     block_table,
     deal,
     narrow,
-    pack,
     replies_of,
     run_of,
     sketch_replies,
-    unpack,
 )
 
 LENGTH, GRAM = 50, 24
@@ -292,13 +290,13 @@ def places_with_smaller(rows: np.ndarray, shared: np.ndarray, first: np.ndarray)
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans (maximal removed stretches) and kept (the remaining bytes) of every row."""
     runs = deal(docs, id_col, text_col, RUN_BYTES)
-    bits = runs.slice_bits
+    bits, exchange = runs.slice_bits, runs.exchange
     sketch = Sketch.sized(runs.n_bytes // 12, DEPTH, CELLS_PER_KEY, bits)
 
     def sketched(table: pa.Table) -> pa.Table:
         run = run_of(table)
         found = _Suffixes(RunTexts.of(table))
-        return block_table([(row, part, run, b) for row, part, b in sketch.part(found.one_per_text())])
+        return exchange.sent(run, sketch.part(found.one_per_text()))
 
     def gathered(docs: pa.Table, replies: pa.Table) -> tuple[_Suffixes, dict]:
         got = replies_of(replies)
@@ -310,25 +308,22 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         if not docs.num_rows:
             return block_table([])
         found, _ = gathered(docs, replies)
-        return block_table(
+        return exchange.sent(
+            run_of(docs),
             [
-                (EXACT, s, run_of(docs), pack(*front_code(found.rows[own]), narrow(found.first[own].view(np.uint64))))
+                (EXACT, s, [*front_code(found.rows[own]), narrow(found.first[own].view(np.uint64))])
                 for s, own in found.slices(bits)
-            ]
+            ],
         )
 
-    def merged(table: pa.Table) -> pa.Table:
-        part = table.column("part")[0].as_py()
-        got = [unpack(b) for b in table.column("block").to_pylist()]
+    def merged(kind: int, part: int, got: list[list[np.ndarray]]) -> list[list[np.ndarray]]:
         rows = [front_decode(g[0], g[1], ROW) for g in got]
         order, shared = merge_runs(rows, [g[0] for g in got])
         first = np.concatenate([g[2].astype(np.uint64).view(np.int64) for g in got])
         mask = np.empty(len(first), np.uint32)
         mask[order] = places_with_smaller(np.concatenate(rows)[order], shared, first[order])
         ends = np.cumsum([len(r) for r in rows])
-        return block_table(
-            [(EXACT, part, run, pack(mask[e - len(r) : e])) for run, r, e in zip(table.column("run").to_pylist(), rows, ends)]
-        )
+        return [[mask[e - len(r) : e]] for r, e in zip(rows, ends)]
 
     schema = pa.schema(
         [("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept", pa.binary())]
@@ -341,7 +336,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         t = found.texts
         mask = np.zeros(len(found.rows), np.uint32)
         for s, own in found.slices(bits):
-            mask[own] = unpack(got[EXACT][s])[0]
+            mask[own] = got[EXACT][s][0]
         hits = mask[found.entry]
         hits = np.where(t.first[found.doc] > found.first[found.entry], np.uint32((1 << PLACES) - 1), hits)
         edge = np.zeros(len(t.data) + 1, np.int32)
@@ -380,9 +375,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     def by_run(df: DataFrame):
         return df.groupBy("run")
 
-    estimates = sketch_replies(by_run(runs.docs).applyInArrow(sketched, BLOCKS), sketch, HOT_RUNS)
+    estimates = sketch_replies(by_run(runs.docs).applyInArrow(sketched, BLOCKS), exchange, sketch, HOT_RUNS)
     exact = by_run(runs.docs).cogroup(by_run(estimates)).applyInArrow(sorted_runs, BLOCKS)
-    verdicts = exact.groupBy("part").applyInArrow(merged, BLOCKS)
+    verdicts = exchange.answers(exact, merged)
     return (
         by_run(runs.docs)
         .cogroup(by_run(estimates.unionByName(verdicts)))

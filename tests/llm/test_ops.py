@@ -20,6 +20,7 @@ from eventlake.llm import (
     near_dedup,
     pieces,
     quality,
+    runs,
     secrets,
     sharding,
     substrings,
@@ -81,9 +82,10 @@ def windows_removed(units, ids, n):
     return out
 
 
-@pytest.mark.parametrize("hot", [256, 2])
-def test_op1_bytes(spark, rows, hot, monkeypatch):
+@pytest.mark.parametrize("hot,hop", [(256, 8), (2, 8), (256, 2), (2, 1)])
+def test_op1_bytes(spark, rows, hot, hop, monkeypatch):
     monkeypatch.setattr(suffixes, "HOT_RUNS", hot)
+    monkeypatch.setattr(runs, "HOP_BITS", hop)
     data = [(t or "").encode() for _, t in rows]
     want = []
     for (i, _), b, gone in zip(rows, data, windows_removed(data, [i for i, _ in rows], 50)):
@@ -108,7 +110,10 @@ def test_op1_loser_tree():
             assert (suffixes.front_decode(*suffixes.front_code(p), 6) == p).all()
 
 
-def test_op3_words(spark, rows):
+@pytest.mark.parametrize("hop,run_bytes", [(8, 16 << 20), (1, 16 << 20), (2, 2000)])
+def test_op3_words(spark, rows, hop, run_bytes, monkeypatch):
+    monkeypatch.setattr(runs, "HOP_BITS", hop)
+    monkeypatch.setattr(substrings, "RUN_BYTES", run_bytes)
     units = [tuple(WORD.findall(t or "")) for _, t in rows]
     want = []
     for (i, _), u, gone in zip(rows, units, windows_removed(units, [i for i, _ in rows], 13)):
