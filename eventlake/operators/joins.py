@@ -2,15 +2,11 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import url_host, url_path
-
-#: Values that a containment or fuzzy match compares pairwise; more are refused, not cut.
-MAX_TERMS = 10_000
+from ..functions.text import normalize_name, url_host, url_path
+from .matching import alike_pairs, contained_pairs
 
 
 def first_per_key(df: DataFrame, key: str, value: str, order: str, last: bool = False) -> DataFrame:
@@ -49,35 +45,17 @@ def url_cascade(df: DataFrame, key: str, url: str, known: DataFrame, value: str)
     return out.select(key, F.coalesce("page_v", "host_v").alias(value), how.alias("how"))
 
 
-def bounded(df: DataFrame, limit: int = MAX_TERMS) -> DataFrame:
-    """df for broadcast, after a count; too many rows are an error."""
-    if df.limit(limit + 1).count() > limit:
-        raise ValueError(f"more than {limit} terms")
-    return F.broadcast(df)
-
-
-def in_blocks(df: DataFrame, key: str, limit: int | None = None) -> list[DataFrame]:
-    """All of df in parts for broadcast, after a count: one, or by hash of key so many that they have half of limit on
-    average. Rows of one key stay together."""
-    limit = limit or MAX_TERMS
-    rows = df.count()
-    if rows <= limit:
-        return [F.broadcast(df)]
-    n = -(-rows * 2 // limit)
-    return [F.broadcast(df.filter(F.pmod(F.xxhash64(key), F.lit(n)) == i)) for i in range(n)]
-
-
 def containing(df: DataFrame, column: str, terms: DataFrame, term: str) -> DataFrame:
-    """Rows whose value contains a term or is contained in one. Only distinct values meet the (bounded) terms."""
-    v, t = F.col(column), F.col(term)
-    hit = df.select(column).distinct().join(bounded(terms.select(term).distinct()), F.contains(v, t) | F.contains(t, v), "left_semi")
-    return df.join(hit, column, "left_semi")
+    """Rows whose value contains a term or is contained in one, neither empty; see contained_pairs."""
+    v, t = df.select(F.col(column).alias("_v")), terms.select(F.col(term).alias("_t"))
+    hit = contained_pairs(t, "_t", v, "_v").select("_v").unionByName(contained_pairs(v, "_v", t, "_t").select("_v"))
+    return df.join(hit, F.col(column) == F.col("_v"), "left_semi")
 
 
 def best_term(df: DataFrame, column: str, terms: DataFrame, term: str, order: str, ratio: Column, least: float) -> DataFrame:
-    """column, term, score: the best term of each distinct value at or above least; of equals the first by order.
-    Distinct values are paired with a bounded set of terms."""
-    pairs = df.select(column).distinct().join(bounded(terms.select(term, order)))
+    """column, term, score: the best term of each distinct value at or above least; of equals the first by order. ratio
+    is a matching-blocks ratio; only pairs that can reach least are scored (see alike_pairs)."""
+    pairs = alike_pairs(df, column, terms, term, least).join(terms.groupBy(term).agg(F.min(order).alias(order)), term)
     scored = pairs.withColumn("score", ratio).filter(F.col("score") >= least)
     return scored.groupBy(column).agg(F.max_by(term, F.struct("score", -F.col(order))).alias(term), F.max("score").alias("score"))
 
@@ -135,18 +113,18 @@ def relevant_by_feed(scored: DataFrame, group: str, item: str, shared: Column, r
 
 
 def artist_match(df: DataFrame, key: str, name: str, artists: str, known: DataFrame, artist: str) -> DataFrame:
-    """key, matched: the first listed artist that is known (in lower case), else the first known one, by name, that
-    occurs in the event's name: anywhere if it has more than three characters, as whole words otherwise; else null.
-    Distinct names are compared with a bounded block of the known ones at a time."""
-    k = known.select(F.lower(F.trim(artist)).alias("_a")).filter("_a <> ''").distinct()
-    listed = df.select(key, F.posexplode(artists).alias("_nth", "_said")).join(k, F.lower(F.trim("_said")) == F.col("_a"))
+    """key, matched: the first listed artist that is known, as listed; else the longest known artist (of equals the
+    alphabetically first) that occurs in the event's name: anywhere if it has more than three characters, as whole words
+    otherwise; else null. All names are compared in their artist form; empty forms match nothing."""
+    form = lambda c: normalize_name(F.col(c), "artist")
+    k = known.select(form(artist).alias("_a")).filter("trim(_a) <> ''").distinct()
+    listed = df.select(key, F.posexplode(artists).alias("_nth", "_said")).join(k, form("_said") == F.col("_a"))
     first = listed.groupBy(key).agg(F.min_by("_said", "_nth").alias("_listed"))
-    names = df.select(F.lower(name).alias("_q")).filter("_q IS NOT NULL").distinct()
-    padded = F.concat(F.lit(" "), F.regexp_replace("_q", "[^a-z0-9]+", " "), F.lit(" "))
-    hit = F.contains("_q", "_a") & ((F.length("_a") > 3) | F.contains(padded, F.concat(F.lit(" "), F.col("_a"), F.lit(" "))))
-    j = reduce(DataFrame.unionByName, (names.join(b, hit) for b in in_blocks(k, "_a")))
-    found = j.groupBy("_q").agg(F.min("_a").alias("_found"))
-    out = df.select(key, F.lower(name).alias("_q")).join(found, "_q", "left").join(first, key, "left")
+    names = df.select(form(name).alias("_q")).distinct()
+    words = lambda c: F.concat(F.lit(" "), F.col(c), F.lit(" "))
+    j = contained_pairs(k, "_a", names, "_q").filter((F.length("_a") > 3) | F.contains(words("_q"), words("_a")))
+    found = j.groupBy("_q").agg(F.min_by("_a", F.struct(-F.length("_a"), "_a")).alias("_found"))
+    out = df.select(key, form(name).alias("_q")).join(found, "_q", "left").join(first, key, "left")
     return out.select(key, F.coalesce("_listed", "_found").alias("matched"))
 
 
@@ -183,16 +161,17 @@ def enrich(df: DataFrame, key: str, cache: DataFrame, value: str) -> tuple[DataF
     return df.join(cache.select(key, value), key, "left"), missing
 
 
-def ladder(df: DataFrame, key: str, name: str, stored: DataFrame, stored_name: str, ident: str) -> DataFrame:
-    """key, ident, how: exact name, else the last partial one (stored inside asked or asked inside stored), else a stub.
-    Distinct asked names are compared with the distinct stored names, a bounded block of these at a time."""
-    s = stored.groupBy(F.col(stored_name).alias("_s")).agg(F.min(ident).alias("_lo"), F.max(ident).alias("_hi"))
+def ladder(df: DataFrame, key: str, name: str, stored: DataFrame, stored_name: str, ident: str, order: str | None = None) -> DataFrame:
+    """key, ident, how: exact name, else the last partial one (stored inside asked or asked inside stored), else a stub;
+    an empty name is a stub. First and last are by order, or by ident where there is none."""
+    row = F.struct(F.col(order or ident).alias("o"), F.col(ident).alias("i"))
+    s = stored.groupBy(F.col(stored_name).alias("_s")).agg(F.min(row).alias("_lo"), F.max(row).alias("_hi"))
     asked = df.select(F.col(name).alias("_q")).distinct()
-    j = reduce(DataFrame.unionByName, (asked.join(b, F.contains("_s", "_q") | F.contains("_q", "_s")) for b in in_blocks(s, "_s")))
+    met = contained_pairs(asked, "_q", s, "_s").unionByName(contained_pairs(s, "_s", asked, "_q")).join(s, "_s")
     same = F.col("_s") == F.col("_q")
-    best = j.groupBy("_q").agg(F.coalesce(F.min(F.when(same, F.col("_lo"))), F.max("_hi")).alias(ident), F.max(same.cast("int")).alias("exact"))
-    how = F.when(F.col("exact") == 1, "exact").when(F.col("exact") == 0, "partial").otherwise("stub")
-    return df.select(key, F.col(name).alias("_q")).join(best, "_q", "left").select(key, ident, how.alias("how"))
+    best = met.groupBy("_q").agg(F.min(F.when(same, F.col("_lo"))).alias("_same"), F.max("_hi").alias("_part"))
+    how = F.when(F.col("_same").isNotNull(), "exact").when(F.col("_part").isNotNull(), "partial").otherwise("stub")
+    return df.select(key, F.col(name).alias("_q")).join(best, "_q", "left").select(key, F.coalesce("_same.i", "_part.i").alias(ident), how.alias("how"))
 
 
 def combine(primary: DataFrame, secondary: DataFrame, key: str, rank: Column, slots: int, primary_rows: int) -> DataFrame:

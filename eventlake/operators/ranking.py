@@ -4,10 +4,15 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .joins import bounded, in_blocks
+from .matching import contained_pairs
+
+#: Rows and queries of one task at most, the least number of parts of the rows, and queries multiplied at a time.
+PART_ROWS, PART_QUERIES, MIN_PARTS, STEP = 65_536, 16_384, 8, 256
 
 #: Words that stand for each other, and the weights of the fields.
 TALKS = ["talk", "lecture", "panel", "seminar", "discussion", "workshop"]
@@ -31,17 +36,26 @@ def query_tokens(queries: DataFrame, key: str, text: str) -> DataFrame:
 
 def lexical_top(rows: DataFrame, ident: str, fields: dict[str, str], tokens: DataFrame, key: str, k: int) -> DataFrame:
     """key, ident, score, rank: the k best rows of each query by weighted substring hits, ties by ident. fields: weight
-    name to column. A bounded token table meets every row once."""
-    tokens = bounded(tokens.groupBy(key).agg(F.collect_list("token").alias("tokens")))  # a query's few words
-    text = {w: F.lower(F.coalesce(c, F.lit(""))) for w, c in fields.items()}
-    base = rows.select(ident, *(c.alias(f"f_{w}") for w, c in text.items()))
-
-    def hit(t: Column) -> Column:
-        return sum((F.when(F.contains(F.col(f"f_{w}"), t), WEIGHTS[w]).otherwise(0.0) for w in fields), F.lit(0.0))
-
-    score = F.aggregate(F.transform("tokens", hit), F.lit(0.0), lambda a, b: a + b)
-    scored = base.join(tokens).select(key, ident, score.alias("score"))
-    return top_k(scored, key, F.desc("score"), ident, max(1, k))
+    name to column. tokens: key, token, of letters a-z and digits as query_tokens makes them.
+
+    A token lies within one word of a field, so each distinct word is matched once and the rows follow by their words;
+    rows without a hit are only read for queries that hit fewer than k.
+    """
+    k = max(1, k)
+    cut = lambda c: F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit("[a-z0-9]+"), F.lit(0)))
+    each = F.array(*(F.struct(F.lit(w).alias("f"), cut(c).alias("ws")) for w, c in fields.items()))
+    posted = rows.select(ident, F.explode(each).alias("p")).select(ident, "p.f", F.explode("p.ws").alias("word"))
+    met = contained_pairs(tokens, "token", posted, "word")
+    asked = tokens.select(key, "token").distinct().join(met, "token").select(key, "token", "word")
+    weight = reduce(lambda a, w: a.when(F.col("f") == w, WEIGHTS[w]), list(fields)[1:], F.when(F.col("f") == next(iter(fields)), WEIGHTS[next(iter(fields))]))
+    hits = posted.join(asked, "word").select(key, ident, "token", "f").distinct().groupBy(key, ident).agg(F.sum(weight).alias("score"))
+    best = top_k(hits, key, F.desc("score"), ident, k)
+    # At most k - 1 of the first 2k - 1 rows are hits of a query that needs more.
+    few = tokens.select(key).distinct().join(best.groupBy(key).agg(F.count("*").alias("n")), key, "left").filter(F.coalesce("n", F.lit(0)) < k).select(key)
+    spare = rows.select(ident).orderBy(ident).limit(2 * k).agg(F.collect_list(ident).alias("ids"))
+    rest = few.withColumn("one", F.lit(1)).join(spare.withColumn("one", F.lit(1)), "one").select(key, F.explode("ids").alias(ident))
+    rest = rest.join(best.select(key, ident), [key, ident], "left_anti").withColumn("score", F.lit(0.0))
+    return top_k(best.drop("rank").unionByName(rest), key, F.desc("score"), ident, k)
 
 
 def top_k(scored: DataFrame, key: str, order: Column, ident: str, k: int) -> DataFrame:
@@ -66,13 +80,41 @@ def cosine(a: str | Column, b: str | Column) -> Column:
 
 
 def cosine_top(vectors: DataFrame, ident: str, vector: str, queries: DataFrame, key: str, query_vector: str, k: int) -> DataFrame:
-    """key, ident, score, rank: exact top k of the given rows (filter them first) for each query, a bounded block of queries at
-    a time."""
-    q = queries.select(key, unit(query_vector).alias("_q"))
-    once = vectors.groupBy(ident).agg(F.any_value(vector).alias("_v")).select(ident, unit("_v").alias("_v"))
-    dot = F.aggregate(F.zip_with("_v", "_q", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    tops = (top_k(once.join(b).select(key, ident, dot.alias("score")), key, F.desc("score"), ident, k) for b in in_blocks(q, key))
-    return reduce(DataFrame.unionByName, tops)
+    """key, ident, score, rank: exact top k of the given rows (filter them first) for each query.
+
+    Rows and queries meet in a grid of tasks with a bounded part of each; a task multiplies them as matrices and keeps
+    the k best of each query, so no pair is ever a row. Scores are rounded to 12 digits, so that ties are ties in whatever
+    order a product is summed. Vectors meet those of their own length; null ones take no part.
+    """
+    once = vectors.filter(F.col(vector).isNotNull()).groupBy(ident).agg(F.any_value(vector).alias("v"))
+    once, asked = once.select(ident, unit("v").alias("v")), queries.filter(F.col(query_vector).isNotNull()).select(key, unit(query_vector).alias("v"))
+    a, b = (max(1, -(-d.count() // n)) for d, n in ((once, PART_ROWS), (asked, PART_QUERIES)))
+    a = max(a, MIN_PARTS)
+    part = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = once.select(F.size("v").alias("dim"), ident, "v", part(ident, a).alias("a")).select("*", each(b).alias("b"))
+    right = asked.select(F.size("v").alias("dim"), key, "v", part(key, b).alias("b")).select("*", each(a).alias("a"))
+
+    def cell(rows: pa.Table, asked: pa.Table) -> pa.Table:
+        ids, q = rows.column(ident), asked.column(key)
+        if not len(ids) or not len(q):
+            return pa.table({key: q.slice(0, 0), ident: ids.slice(0, 0), "score": pa.array([], pa.float64())})
+        dim = rows.column("dim")[0].as_py()
+        x, y = (t.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, dim) for t in (rows, asked))
+        order = np.argsort(ids.to_pylist(), kind="stable")  # so that ties go to the smaller ident
+        x, ids, nth, found, scores = x[order], ids.take(pa.array(order)), [], [], []
+        for at in range(0, len(y), STEP):
+            got = np.round(y[at : at + STEP] @ x.T, 12)
+            for i, row in enumerate(got):
+                top = np.argsort(-row, kind="stable")[:k]
+                nth.append(np.full(len(top), at + i)), found.append(top), scores.append(row[top])
+        nth, found = pa.array(np.concatenate(nth)), pa.array(np.concatenate(found))
+        return pa.table({key: q.take(nth), ident: ids.take(found), "score": np.concatenate(scores)})
+
+    types = {c: d.schema[c].dataType.simpleString() for c, d in ((key, asked), (ident, once))}
+    keys = ["dim", "a", "b"]
+    hits = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(cell, f"`{key}` {types[key]}, `{ident}` {types[ident]}, score double")
+    return top_k(hits, key, F.desc("score"), ident, k)
 
 
 #: Phrases by what they constrain, and their weights; a further pattern of a group counts like a phrase.

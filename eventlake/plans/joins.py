@@ -87,13 +87,18 @@ def d6_relevance_by_feed(spark: SparkSession, d: str) -> DataFrame:
     return j.relevant_by_feed(o, "o_custkey", "o_orderkey", shared, registry, F.col("o_orderkey") % 2 == 0)
 
 
-@query("""WITH k AS (SELECT lower(split_part(p_name, ' ', 2)) AS a FROM part UNION SELECT lower(p_brand) FROM part WHERE p_size < 10 UNION SELECT 'red'), c AS (SELECT a FROM k WHERE a <> ''),
- n AS (SELECT q, min(a) AS a FROM (SELECT DISTINCT lower(p_name) AS q FROM part), c WHERE contains(q, a) AND (length(a) > 3 OR contains(' ' || regexp_replace(q, '[^a-z0-9]+', ' ', 'g') || ' ', ' ' || a || ' ')) GROUP BY 1)
- SELECT p_partkey, CASE WHEN l.a IS NOT NULL THEN p_brand ELSE n.a END AS matched FROM part LEFT JOIN c l ON l.a = lower(p_brand) LEFT JOIN n ON n.q = lower(p_name)""")
+_ARTIST = r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(trim(lower({0})), '\s+(live|tour|concert|presents?)$', ''), '^the\s+', ''), '[^a-z0-9_\s]', '', 'g'), '\s+', ' ', 'g')"
+
+
+@query(f"""WITH k AS (SELECT split_part(p_name, ' ', 2) AS a FROM part UNION SELECT p_name FROM part WHERE p_size % 7 = 0 UNION SELECT p_brand FROM part WHERE p_size < 10 UNION SELECT 'The Red!'),
+ c AS (SELECT DISTINCT {_ARTIST.format('a')} AS a FROM k WHERE trim({_ARTIST.format('a')}) <> ''), q AS (SELECT DISTINCT {_ARTIST.format("p_name || ' Live'")} AS q FROM part),
+ n AS (SELECT q, a, row_number() OVER (PARTITION BY q ORDER BY length(a) DESC, a) AS r FROM q, c WHERE contains(q, a) AND (length(a) > 3 OR contains(' ' || q || ' ', ' ' || a || ' ')))
+ SELECT p_partkey, CASE WHEN l.a IS NOT NULL THEN p_brand ELSE n.a END AS matched FROM part LEFT JOIN c l ON l.a = {_ARTIST.format('p_brand')} LEFT JOIN n ON n.r = 1 AND n.q = {_ARTIST.format("p_name || ' Live'")}""")
 def d5_artist_match(spark: SparkSession, d: str) -> DataFrame:
     p = table(spark, d, "part")
-    known = p.select(F.get(F.split("p_name", " "), F.lit(1)).alias("a")).union(p.filter("p_size < 10").select("p_brand")).union(p.limit(1).select(F.lit("Red")))
-    rows = p.select("p_partkey", "p_name", F.array(F.lit("nobody"), F.col("p_brand")).alias("artists"))
+    known = p.select(F.get(F.split("p_name", " "), F.lit(1)).alias("a")).union(p.filter("p_size % 7 = 0").select("p_name"))
+    known = known.union(p.filter("p_size < 10").select("p_brand")).union(p.limit(1).select(F.lit("The Red!")))
+    rows = p.select("p_partkey", F.concat("p_name", F.lit(" Live")).alias("p_name"), F.array(F.lit("nobody"), F.col("p_brand")).alias("artists"))
     return j.artist_match(rows, "p_partkey", "p_name", "artists", known, "a")
 
 
