@@ -11,7 +11,9 @@ from ..functions import keys, udfs
 from ..functions.text import category
 from ..operators import filters as f
 from ..operators import ranking as r
-from ..streaming import streams
+from ..session import shared_folder
+from ..sources import vectors
+from ..streaming import merging, streams
 from .registry import query, table
 
 
@@ -46,6 +48,22 @@ def i3_vector_table(spark: SparkSession, d: str) -> DataFrame:
     return e.select("vec_id", F.round(r.norm(r.unit("embedding")), 6).alias("length"), F.col("digest").isNotNull().alias("kept"))
 
 
+@query("""WITH a AS (SELECT doc_id, coalesce(text, '') AS t FROM documents WHERE doc_id % 4 <> 0), b AS (SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN coalesce(text, '') || ' v2' ELSE coalesce(text, '') END AS t FROM documents WHERE doc_id % 5 <> 0)
+ SELECT b.doc_id, sha1(b.t) AS digest, CASE WHEN a.t = b.t THEN 'kept' WHEN b.t IN (SELECT t FROM a) THEN 'reused' ELSE 'made' END AS how, 1.0::DOUBLE AS length, (SELECT count(*) FROM b) AS n,
+ (SELECT count(*) FROM b JOIN a ON a.doc_id = b.doc_id AND a.t = b.t) AS kept, 2 AS version FROM b LEFT JOIN a ON a.doc_id = b.doc_id""")
+def i3_vector_lifecycle(spark: SparkSession, d: str) -> DataFrame:
+    """A first build, a second after texts changed, came and went, and a third that has nothing to do."""
+    docs, path = table(spark, d, "documents").select("doc_id", "text"), shared_folder(spark, "vectors")
+    text = F.coalesce("text", F.lit(""))
+    vectors.build_vectors(docs.filter("doc_id % 4 <> 0"), "doc_id", text, path, hashing_model, 8)
+    changed = docs.filter("doc_id % 5 <> 0").withColumn("text", F.when(F.col("doc_id") % 7 == 0, F.concat(text, F.lit(" v2"))).otherwise(text))
+    for _ in range(2):
+        version = vectors.build_vectors(changed, "doc_id", F.col("text"), path, hashing_model, 8)
+    noted = vectors.manifest(spark, path).filter(F.col("version") == version).select("version", "n", "kept")
+    out = vectors.current(spark, path).select(F.col("key").alias("doc_id"), "digest", "how", F.round(r.norm("vector"), 6).alias("length"))
+    return out.join(F.broadcast(noted))  # one row
+
+
 @query(r"""SELECT conv_id, turn,
  CASE WHEN regexp_matches(t, 'music|concert|jazz|classical|opera|comedy|standup|improv|talk|lecture|panel|workshop|film|movie|art|gallery|museum|dance|theater|theatre|book|poetry') THEN 2 ELSE 0 END
  + CASE WHEN regexp_matches(t, 'brooklyn|manhattan|queens|bronx|staten island|harlem|greenpoint|williamsburg|soho|chelsea|lower east side|upper west side|upper east side|midtown|downtown|\bin\s+[a-z]{3,}') THEN 2 ELSE 0 END
@@ -109,6 +127,30 @@ def j1_intake(spark: SparkSession, d: str) -> DataFrame:
     return streams.intake(e.unionByName(e.filter("event_id % 3 = 0")), "event_id", "ts").select("event_id", "user_id")
 
 
+@query("""SELECT event_id, user_id, event_id * 4 // (SELECT max(event_id) + 1 FROM events) AS batch FROM events""")
+def j1_merge(spark: SparkSession, d: str) -> DataFrame:
+    """Four batches by id, each with repeats of its own rows and of the one before, merged and read back."""
+    e, path = table(spark, d, "events").select("event_id", "user_id"), shared_folder(spark, "merged")
+    most = e.agg(F.max("event_id")).first()[0] or 0
+    part = F.floor(F.col("event_id") * 4 / (most + 1))
+    merge = merging.merge_batches(path, "event_id")
+    for n in range(4):
+        merge(e.filter(part == n).unionByName(e.filter(part.isin(n - 1, n) & (F.col("event_id") % 3 == 0))), n)
+    return merging.merged(spark, path, "event_id long, user_id long").select("event_id", "user_id", F.col("batch").cast("long").alias("batch"))
+
+
+@query("""WITH l AS (SELECT user_id, max(ts) AS t FROM events GROUP BY 1) SELECT CAST(user_id AS VARCHAR) AS user_id, strftime(t, '%Y-%m-%d %H:%M:%S') AS last_at, strftime(t + INTERVAL 1 DAY, '%Y-%m-%d %H:%M:%S') AS stale_at FROM l WHERE t + INTERVAL 1 DAY < (SELECT max(ts) FROM events)""")
+def j4_stale(spark: SparkSession, d: str) -> DataFrame:
+    """The events as a stream, run to its end: users not seen in the last day."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    path, schema = shared_folder(spark, "stale"), table(spark, d, "events").schema
+    events = spark.readStream.schema(schema).parquet(f"{d}/events.parquet*")  # a pattern may name one file, a path may not
+    told = streams.stale_entities(events, "user_id", "ts", 1, "0 seconds")
+    told.writeStream.option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).format("parquet").start(f"{path}/rows").awaitTermination()
+    when = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c)
+    return spark.read.schema(told.schema).parquet(f"{path}/rows").select("user_id", when("last_at"), when("stale_at"))
+
+
 @query("""SELECT component, seq FROM (SELECT event_type AS component, event_id AS seq, row_number() OVER (PARTITION BY event_type ORDER BY event_id DESC) AS r FROM events) WHERE r <= 20""")
 def j3_recent_failures(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "events").select(F.col("event_type").alias("component"), F.col("event_id").alias("seq"))

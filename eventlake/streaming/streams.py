@@ -1,8 +1,8 @@
-"""Structured Streaming: event intake, metric counters, recent failures, last-seen times."""
+"""Structured Streaming: event intake, metric counters, recent failures, last-seen times, stale entities."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -17,26 +17,6 @@ def intake(stream: DataFrame, key: str, at: str, delay: str = "1 hour") -> DataF
     return timed.withWatermark(at, delay).dropDuplicatesWithinWatermark([key]) if timed.isStreaming else timed.dropDuplicates([key])
 
 
-def merge_batches(path: str, key: str) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch function that adds rows of unknown keys to a Parquet table. Each batch writes its own folder, so a
-    replay replaces what it wrote before; the key test leaves that folder out."""
-
-    def merge(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        target = f"{path}/batch={number}"
-        rows = batch.dropDuplicates([key])
-        try:
-            stored = spark.read.parquet(path)
-        except Exception as error:
-            if "PATH_NOT_FOUND" not in str(error) and "UNABLE_TO_INFER_SCHEMA" not in str(error):
-                raise
-        else:
-            rows = rows.join(stored.filter(F.col("batch") != number).select(key), key, "left_anti")
-        rows.write.mode("overwrite").parquet(target)
-
-    return merge
-
-
 def counters(stream: DataFrame, at: str, metric: str, value: str, span: str, slide: str | None = None, delay: str = "1 hour") -> DataFrame:
     """Sums and counts of each metric in tumbling or sliding windows."""
     timed = stream.withColumn(at, F.col(at).cast("timestamp")).withWatermark(at, delay)
@@ -75,3 +55,60 @@ def recent(stream: DataFrame, n: int) -> DataFrame:
     return stream.select("component", "seq", "detail").groupBy("component").transformWithStateInPandas(
         statefulProcessor=Recent(n), outputStructType="component string, seq long, detail string", outputMode="Update", timeMode="None"
     )
+
+
+class Stale(StatefulProcessor):
+    """The last time of each entity, and an event-time timer a span later. A row that comes late moves neither; a later
+    one moves both, so each silence is told once, when the watermark passes its end."""
+
+    def __init__(self, span_ms: int) -> None:
+        self.span = span_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.last = handle.getValueState("last", StructType([StructField("at", LongType())]))
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:  # noqa: N802
+        newest = max(int(frame["at_us"].max()) for frame in rows)
+        before, silent = self.last.get()[0] if self.last.exists() else None, []
+        if before is None or newest > before:
+            if before is not None:
+                if self.due(before) <= timer_values.getCurrentWatermarkInMs():
+                    silent = [before]  # its timer would fire after these rows
+                self.handle.deleteTimer(self.due(before))
+            self.last.update((newest,))
+            self.handle.registerTimer(self.due(newest))
+        yield self.told(key[0], silent)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        yield self.told(key[0], [self.last.get()[0]])
+
+    @staticmethod
+    def told(entity: str, last_us: list[int]) -> pd.DataFrame:
+        return pd.DataFrame({"entity": pd.Series([entity] * len(last_us), dtype="object"), "last_us": pd.Series(last_us, dtype="int64")})
+
+    def due(self, at_us: int) -> int:
+        return -(-at_us // 1000) + self.span
+
+    def close(self) -> None:
+        pass
+
+
+def stale_entities(stream: DataFrame, entity: str, at: str, days: int, delay: str = "1 hour") -> DataFrame:
+    """entity, last_at, stale_at of every entity that was not seen for days, told once the watermark (the latest time less
+    delay) passes stale_at; a row each time it falls silent. Rows without entity or time are left out. Needs the RocksDB
+    state store.
+
+    Only the latest time of an entity in each Arrow batch goes into the shuffle, so a busy entity is a few rows."""
+
+    def latest(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            yield f.groupby("entity", as_index=False)["at"].max()
+
+    rows = stream.select(F.col(entity).cast("string").alias("entity"), F.col(at).cast("timestamp").alias("at")).filter("entity IS NOT NULL AND at IS NOT NULL")
+    newest = rows.mapInPandas(latest, "entity string, at timestamp").withWatermark("at", delay)
+    told = newest.withColumn("at_us", F.unix_micros("at")).groupBy("entity").transformWithStateInPandas(
+        statefulProcessor=Stale(days * 86_400_000), outputStructType="entity string, last_us long", outputMode="Append", timeMode="EventTime"
+    )
+    last = F.timestamp_micros("last_us")
+    return told.select(F.col("entity").alias(entity), last.alias("last_at"), (last + F.make_dt_interval(F.lit(days))).alias("stale_at"))
