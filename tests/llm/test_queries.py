@@ -20,7 +20,7 @@ SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 def test_query_equals_sql(spark, name):
     ship_package(spark)
     con = duckdb.connect()
-    for t in ("documents", "pages", "benchmark", "labels", "conversations"):
+    for t in ("documents", "pages", "benchmark", "labels", "conversations", "embeddings"):
         con.sql(f"CREATE VIEW {t} AS FROM '{SF}/{t}.parquet'")
     got, want = catalog.queries()[name](spark, SF), con.sql(catalog.oracle_sql()[name])
     assert sorted(got.columns) == sorted(want.columns)
