@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import difflib
 import html
-from collections.abc import Callable, Iterator
+import itertools
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType
@@ -57,29 +59,38 @@ def embed(
     return named.select(key, "digest").join(vectors, "digest").select(key, "digest", "vector")
 
 
-def chunk_text(text: str, size: int, overlap: int, most: int) -> list[str]:
-    """Overlapping pieces of at most size characters, cut at a paragraph, line, sentence or space in their last half; at
-    most `most` of them (the feature's own cap)."""
-    out, at = [], 0
-    while at < len(text) and len(out) < most:
+def chunk_spans(text: str, size: int, overlap: int) -> Iterator[tuple[int, int]]:
+    """Begin and end of overlapping pieces of at most size characters, cut at a paragraph, line, sentence or space in
+    their last half; together they cover the text."""
+    at = 0
+    while at < len(text):
         end = min(len(text), at + size)
         if end < len(text):
             cuts = [text.rfind(b, at + size // 2, end) for b in ("\n\n", "\n", ". ", " ")]
             end = next((c + 1 for c in cuts if c > 0), end)
-        out.append(text[at:end])
+        yield at, end
         if end == len(text):
             break
         at = max(at + 1, end - overlap)
-    return out
 
 
-def chunks(df: DataFrame, key: str, text: str, size: int, overlap: int, most: int) -> DataFrame:
-    """key, nth, chunk."""
+def chunk_text(text: str, size: int, overlap: int, most: int | None = None) -> list[str]:
+    """The pieces of chunk_spans; the first `most` where a caller wants no more."""
+    return [text[a:b] for a, b in itertools.islice(chunk_spans(text, size, overlap), most)]
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            rows = [(k, i, c) for k, t in zip(f["k"], f["t"]) for i, c in enumerate(chunk_text(t or "", size, overlap, most))]
-            yield pd.DataFrame(rows, columns=["k", "nth", "chunk"])
 
-    made = df.select(F.col(key).alias("k"), F.col(text).alias("t")).mapInPandas(run, "k long, nth int, chunk string")
-    return made.withColumnRenamed("k", key)
+def chunks(df: DataFrame, key: str, text: str, size: int, overlap: int, keep: Sequence[str] = (), rows: int = 2000) -> DataFrame:
+    """key, keep, nth, start, chunk: all pieces of every text, by characters from 0. Null and empty texts have none.
+    Tasks hand out rows at a time, however long a text is."""
+    names = [key, *keep]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            schema = pa.schema([*(batch.schema.field(c) for c in names), ("nth", pa.int32()), ("start", pa.int32()), ("chunk", pa.string())])
+            given = zip(*(batch.column(c).to_pylist() for c in [*names, text]))
+            made = ((*head, i, a, t[a:b]) for *head, t in given for i, (a, b) in enumerate(chunk_spans(t, size, overlap)))
+            while part := list(itertools.islice(made, rows)):
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*part), schema)], schema=schema)
+
+    kinds = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in names)
+    return df.filter(F.length(text) > 0).select(*names, text).mapInArrow(run, f"{kinds}, nth int, start int, chunk string")

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.dates import parse_flexible
 from ..functions.text import strip_tags, url_host
+from ..functions.udfs import chunks
 
 
 def _get(item: str | Column, path: str, kind: str = "string") -> Column:
@@ -309,3 +312,42 @@ def best_page(df: DataFrame, site: str, order: str, score: str, stop: int = 18,
     lead = F.struct((F.col(score) >= stop).cast("int"), F.when(F.col(score) >= stop, 0).otherwise(F.col(score)), -F.col(order))
     best = df.groupBy(site).agg(F.max_by(F.struct(order, score), lead).alias("r")).select(site, "r.*")
     return best.filter(F.col(score) >= accept)
+
+
+#: What stands before a listing, and what a piece of a listing says; in lower and upper case.
+LISTING_STARTS = [
+    r"(?i)(upcoming events|event calendar|events calendar|what's on)",
+    r"(?i)(january|february|march|april|may|june|july|august|september|october|november|december)\s+202[4-6]",
+    r"(?i)sort by",
+    r"(?i)items \d+-\d+ of",
+]
+LISTING_SIGNS = [
+    r"(?i)\b(?:jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]*\b",
+    r"(?i)\b20\d{2}-\d{2}-\d{2}\b",
+    r"(?i)\b\d{1,2}:\d{2}\s*(?:am|pm)\b",
+    r"(?i)\b(rsvp|ticket|register|event|workshop|talk|lecture|reading)\b",
+]
+
+
+def listing_start(text: Column, before: int = 200, least: int = 1000) -> Column:
+    """Where to begin reading, from 0: `before` characters ahead of the first match of a start pattern, each later pattern
+    counting if it matches behind what was found so far; 0 if that is not beyond least."""
+    best = F.lit(0)
+    for pattern in LISTING_STARTS:
+        at = F.regexp_instr(text, F.lit(pattern)) - 1
+        best = F.when(at > best, F.greatest(F.lit(0), at - before)).otherwise(best)
+    return F.when(best > least, best).otherwise(F.lit(0))
+
+
+def listing_chunks(df: DataFrame, key: str, text: str, size: int, overlap: int, most: int) -> DataFrame:
+    """key, nth, start (in the whole text), chunk, listing, chosen: all pieces of every text from where its listing
+    starts. Chosen are the first `most` pieces that look like a listing, or of all pieces where none does. Null and empty
+    texts have no pieces."""
+    whole = df.select(F.col(key).alias("_k"), F.col(text).alias("_t")).filter(F.length("_t") > 0).withColumn("_from", listing_start(F.col("_t")))
+    cut = whole.select(F.col("_k").alias(key), F.col("_from"), F.expr("substring(_t, _from + 1)").alias("_t"))
+    said = reduce(lambda a, b: a | b, (F.rlike("chunk", F.lit(p)) for p in LISTING_SIGNS))
+    made = chunks(cut, key, "_t", size, overlap, ["_from"]).select(key, "nth", (F.col("_from") + F.col("start")).alias("start"), "chunk", said.alias("listing"))
+    one = Window.partitionBy(key)  # the pieces of one text
+    ranked = made.withColumns({"_any": F.max("listing").over(one), "_nth": F.row_number().over(one.orderBy(F.desc("listing"), "nth"))})
+    chosen = (F.col("_nth") <= most) & (F.col("listing") | ~F.col("_any"))
+    return ranked.select(key, "nth", "start", "chunk", "listing", chosen.alias("chosen"))

@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import html_text
-from ..functions.udfs import chunks
 from ..operators import extract as x
 from .registry import query, table
 
@@ -103,7 +102,7 @@ def h6_system_feeds(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def h7_chunks(spark: SparkSession, d: str) -> DataFrame:
-    return chunks(table(spark, d, "documents"), "doc_id", "text", 2000, 200, 1000)
+    return x.listing_chunks(table(spark, d, "documents"), "doc_id", "text", 2000, 200, 40)
 
 
 @query("""SELECT o_orderkey AS k, o_custkey AS v FROM orders WHERE o_orderkey % 4 <> 3""")

@@ -180,7 +180,7 @@ def k2_embed(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def k3_chunker(spark: SparkSession, d: str) -> DataFrame:
-    return udfs.chunks(table(spark, d, "documents"), "doc_id", "text", 1200, 100, 10_000).groupBy("doc_id").agg(F.count("*").alias("n"))
+    return udfs.chunks(table(spark, d, "documents"), "doc_id", "text", 1200, 100).groupBy("doc_id").agg(F.count("*").alias("n"))
 
 
 @query("""SELECT page_id, 'a & b < ' || page_id || ' é' AS plain FROM pages""")
