@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import dates, keys, text
+from ..session import shared_folder
 from ..sources import tables
 from .registry import query, table
 
@@ -24,6 +25,18 @@ def a1_typed_scan(spark: SparkSession, d: str) -> DataFrame:
     return tables.typed(cells, {"o_orderkey": "bigint", "o_custkey": "int0", "o_totalprice": "double", "o_orderpriority": "string"})
 
 
+@query("""SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE o_custkey END AS o_custkey, CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE o_orderpriority END AS o_orderpriority,
+ o_orderkey % 7 = 0 OR o_orderkey % 11 = 0 AS uneven FROM orders""")
+def a1_scan_lines(spark: SparkSession, d: str) -> DataFrame:
+    """Lines with too few and too many cells, written, scanned as text and typed."""
+    path, k = shared_folder(spark, "lines"), F.col("o_orderkey")
+    full = F.concat_ws(",", k.cast("string"), F.col("o_custkey").cast("string"), "o_orderpriority")
+    line = F.when(k % 7 == 0, k.cast("string")).when(k % 11 == 0, F.concat(full, F.lit(",more"))).otherwise(full)
+    table(spark, d, "orders").select(line.alias("value")).write.text(path)
+    cells = tables.scan_strings(spark, path, ["o_orderkey", "o_custkey", "o_orderpriority"])
+    return tables.typed(cells, {"o_orderkey": "bigint", "o_custkey": "bigint", "o_orderpriority": "string", "_line": "string"}).select("o_orderkey", "o_custkey", "o_orderpriority", F.col("_line").isNotNull().alias("uneven"))
+
+
 @query("""SELECT event_id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS at FROM events
  WHERE event_id % 10 <> 0 AND ts >= TIMESTAMP '2024-01-05 00:00:00' AND ts < TIMESTAMP '2024-01-12 00:00:00'""")
 def a2_csv_events(spark: SparkSession, d: str) -> DataFrame:
@@ -63,9 +76,17 @@ def a5_nested_export(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""SELECT event_id, dayname(ts) AS day, strftime(ts, '%Y-%m-%d') AS date, strftime(ts, '%H:%M') AS time FROM events""")
 def a6_report_columns(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "events").select(
-        "event_id", F.date_format("ts", "EEEE").alias("day"), F.date_format("ts", "yyyy-MM-dd").alias("date"), F.date_format("ts", "HH:mm").alias("time")
-    )
+    return table(spark, d, "events").select("event_id", *(c.alias(n) for n, c in tables.report_columns("ts").items()))
+
+
+@query("""SELECT CAST(event_id AS VARCHAR) AS event_id, event_type || ', "' || event_id || '"' AS name, dayname(ts) AS day, strftime(ts, '%Y-%m-%d') AS date, strftime(ts, '%H:%M') AS time FROM events""")
+def a6_report_file(spark: SparkSession, d: str) -> DataFrame:
+    """A report written as CSV twice and read back; names have quotes and commas."""
+    path, named = shared_folder(spark, "report"), F.concat("event_type", F.lit(', "'), F.col("event_id").cast("string"), F.lit('"'))
+    rows = table(spark, d, "events").select("event_id", named.alias("name"), *(c.alias(n) for n, c in tables.report_columns("ts").items()))
+    for part in (rows.filter("event_id % 2 = 0"), rows):
+        tables.write_report(part, path)
+    return tables.read_report(spark, path)
 
 
 @query("""SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders WHERE o_orderstatus <> 'O'
@@ -76,6 +97,27 @@ def a7_replace_slice(spark: SparkSession, d: str) -> DataFrame:
     return tables.replace_slice(stored, incoming, "o_orderstatus", "O")
 
 
+@query("""SELECT o_orderkey, o_orderstatus, CASE WHEN o_orderstatus = 'O' THEN o_totalprice + 1 ELSE o_totalprice END AS o_totalprice FROM orders WHERE o_orderstatus = 'F' OR (o_orderstatus = 'O' AND o_orderkey % 2 = 0)""")
+def a7_stored_slices(spark: SparkSession, d: str) -> DataFrame:
+    """A stored table of orders by status: one slice replaced twice, another emptied, and read back."""
+    path, stored = shared_folder(spark, "slices"), table(spark, d, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice")
+    tables.overwrite_slices(stored, path, "o_orderstatus")
+    incoming = stored.filter("o_orderkey % 2 = 0 AND o_orderstatus <> 'P'").withColumn("o_totalprice", F.col("o_totalprice") + 1)
+    for status in ("O", "P", "O"):
+        tables.overwrite_slice(incoming, path, "o_orderstatus", status)
+    return spark.read.schema(stored.schema).parquet(path)
+
+
+@query("""SELECT o_orderkey, CAST(o_orderdate AS DATE) AS day FROM orders WHERE o_orderdate < TIMESTAMP '1998-01-01'""")
+def a8_stored_archive(spark: SparkSession, d: str) -> DataFrame:
+    """Past orders appended in parts that overlap, one of them twice, and read back."""
+    path = shared_folder(spark, "archive")
+    past = table(spark, d, "orders").filter("o_orderdate < timestamp_ntz'1998-01-01'").select("o_orderkey", F.to_date("o_orderdate").alias("day"))
+    for part in ("o_orderkey % 3 = 0", "o_orderkey % 2 = 0", "o_orderkey % 2 = 0", "true"):
+        tables.append_archive(past.filter(part).unionByName(past.filter(part)), path, ["o_orderkey", "day"])
+    return spark.read.schema(past.schema).parquet(path)
+
+
 @query("""SELECT o_orderkey, CAST(o_orderdate AS DATE) AS day FROM orders WHERE o_orderdate < TIMESTAMP '1998-01-01' AND o_orderkey % 3 <> 0""")
 def a8_archive(spark: SparkSession, d: str) -> DataFrame:
     past = table(spark, d, "orders").filter("o_orderdate < timestamp_ntz'1998-01-01'").select("o_orderkey", F.to_date("o_orderdate").alias("day"))
