@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 import numpy as np
@@ -42,13 +43,7 @@ def lexical_top(rows: DataFrame, ident: str, fields: dict[str, str], tokens: Dat
     rows without a hit are only read for queries that hit fewer than k.
     """
     k = max(1, k)
-    cut = lambda c: F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit("[a-z0-9]+"), F.lit(0)))
-    each = F.array(*(F.struct(F.lit(w).alias("f"), cut(c).alias("ws")) for w, c in fields.items()))
-    posted = rows.select(ident, F.explode(each).alias("p")).select(ident, "p.f", F.explode("p.ws").alias("word"))
-    met = contained_pairs(tokens, "token", posted, "word")
-    asked = tokens.select(key, "token").distinct().join(met, "token").select(key, "token", "word")
-    weight = reduce(lambda a, w: a.when(F.col("f") == w, WEIGHTS[w]), list(fields)[1:], F.when(F.col("f") == next(iter(fields)), WEIGHTS[next(iter(fields))]))
-    hits = posted.join(asked, "word").select(key, ident, "token", "f").distinct().groupBy(key, ident).agg(F.sum(weight).alias("score"))
+    hits = lexical_hits(rows, ident, fields, tokens, key)
     best = top_k(hits, key, F.desc("score"), ident, k)
     # At most k - 1 of the first 2k - 1 rows are hits of a query that needs more.
     few = tokens.select(key).distinct().join(best.groupBy(key).agg(F.count("*").alias("n")), key, "left").filter(F.coalesce("n", F.lit(0)) < k).select(key)
@@ -58,6 +53,21 @@ def lexical_top(rows: DataFrame, ident: str, fields: dict[str, str], tokens: Dat
     return top_k(best.drop("rank").unionByName(rest), key, F.desc("score"), ident, k)
 
 
+def lexical_hits(rows: DataFrame, ident: str, fields: dict[str, str], tokens: DataFrame, key: str, carried: list[str] | None = None, allowed: Column | None = None) -> DataFrame:
+    """key, ident, score of the rows that a query's tokens hit. allowed may test columns of tokens and those carried from
+    rows; it does so before hits are shuffled."""
+    carried = carried or []
+    cut = lambda c: F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit("[a-z0-9]+"), F.lit(0)))
+    each = F.array(*(F.struct(F.lit(w).alias("f"), cut(c).alias("ws")) for w, c in fields.items()))
+    posted = rows.select(ident, *carried, F.explode(each).alias("p")).select(ident, *carried, "p.f", F.explode("p.ws").alias("word"))
+    met = contained_pairs(tokens, "token", posted, "word")
+    asked = tokens.distinct().join(met, "token")
+    weight = reduce(lambda a, w: a.when(F.col("f") == w, WEIGHTS[w]), list(fields)[1:], F.when(F.col("f") == next(iter(fields)), WEIGHTS[next(iter(fields))]))
+    hits = posted.join(asked, "word")
+    hits = hits if allowed is None else hits.filter(allowed)
+    return hits.select(key, ident, "token", "f").distinct().groupBy(key, ident).agg(F.sum(weight).alias("score"))
+
+
 def top_k(scored: DataFrame, key: str, order: Column, ident: str, k: int) -> DataFrame:
     """Rank within key. Tasks keep k rows for each key before the shuffle."""
     w = Window.partitionBy(key).orderBy(order, ident)
@@ -79,21 +89,31 @@ def cosine(a: str | Column, b: str | Column) -> Column:
     return dot / (norm(a) * norm(b))
 
 
-def cosine_top(vectors: DataFrame, ident: str, vector: str, queries: DataFrame, key: str, query_vector: str, k: int) -> DataFrame:
-    """key, ident, score, rank: exact top k of the given rows (filter them first) for each query.
+#: Whether each query (second table) may have each row (first table), as a matrix of queries by rows.
+Mask = Callable[[pa.Table, pa.Table], np.ndarray]
+
+
+def cosine_top(
+    vectors: DataFrame, ident: str, vector: str, queries: DataFrame, key: str, query_vector: str, k: int,
+    carried: tuple[list[str], list[str]] = ((), ()), mask: Mask | None = None,
+) -> DataFrame:
+    """key, ident, score, rank: exact top k of the given rows (filter them first) for each query. mask tells from columns
+    carried from rows and from queries which of them may meet.
 
     Rows and queries meet in a grid of tasks with a bounded part of each; a task multiplies them as matrices and keeps
     the k best of each query, so no pair is ever a row. Scores are rounded to 12 digits, so that ties are ties in whatever
     order a product is summed. Vectors meet those of their own length; null ones take no part.
     """
-    once = vectors.filter(F.col(vector).isNotNull()).groupBy(ident).agg(F.any_value(vector).alias("v"))
-    once, asked = once.select(ident, unit("v").alias("v")), queries.filter(F.col(query_vector).isNotNull()).select(key, unit(query_vector).alias("v"))
+    more, asks = map(list, carried)
+    once = vectors.filter(F.col(vector).isNotNull()).groupBy(ident).agg(F.any_value(F.struct(F.col(vector).alias("v"), *more)).alias("r"))
+    once = once.select(ident, "r.*").withColumn("v", unit("v"))
+    asked = queries.filter(F.col(query_vector).isNotNull()).select(key, *asks, unit(query_vector).alias("v"))
     a, b = (max(1, -(-d.count() // n)) for d, n in ((once, PART_ROWS), (asked, PART_QUERIES)))
     a = max(a, MIN_PARTS)
     part = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = once.select(F.size("v").alias("dim"), ident, "v", part(ident, a).alias("a")).select("*", each(b).alias("b"))
-    right = asked.select(F.size("v").alias("dim"), key, "v", part(key, b).alias("b")).select("*", each(a).alias("a"))
+    left = once.select(F.size("v").alias("dim"), ident, *more, "v", part(ident, a).alias("a")).select("*", each(b).alias("b"))
+    right = asked.select(F.size("v").alias("dim"), key, *asks, "v", part(key, b).alias("b")).select("*", each(a).alias("a"))
 
     def cell(rows: pa.Table, asked: pa.Table) -> pa.Table:
         ids, q = rows.column(ident), asked.column(key)
@@ -103,10 +123,14 @@ def cosine_top(vectors: DataFrame, ident: str, vector: str, queries: DataFrame,
         x, y = (t.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, dim) for t in (rows, asked))
         order = np.argsort(ids.to_pylist(), kind="stable")  # so that ties go to the smaller ident
         x, ids, nth, found, scores = x[order], ids.take(pa.array(order)), [], [], []
+        rows = rows.take(pa.array(order)) if mask else rows
         for at in range(0, len(y), STEP):
             got = np.round(y[at : at + STEP] @ x.T, 12)
+            if mask:
+                got[~mask(rows, asked.slice(at, STEP))] = -np.inf
             for i, row in enumerate(got):
                 top = np.argsort(-row, kind="stable")[:k]
+                top = top[row[top] > -np.inf]
                 nth.append(np.full(len(top), at + i)), found.append(top), scores.append(row[top])
         nth, found = pa.array(np.concatenate(nth)), pa.array(np.concatenate(found))
         return pa.table({key: q.take(nth), ident: ids.take(found), "score": np.concatenate(scores)})

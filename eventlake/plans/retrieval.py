@@ -11,6 +11,7 @@ from ..functions import keys, udfs
 from ..functions.text import category
 from ..operators import filters as f
 from ..operators import ranking as r
+from ..operators import search
 from ..session import shared_folder
 from ..sources import vectors
 from ..streaming import merging, streams
@@ -115,6 +116,112 @@ def i7_search_request(spark: SparkSession, d: str) -> DataFrame:
     return out.filter(f.within(F.col("minutes"), 60, keep_unknown=False)).select("o_orderkey", "minutes", (F.col("o_custkey") % 2 == 0).alias("flagged"))
 
 
+#: SQL of a request's tokens, as `tok` (q, token), from `req` (q, t).
+_TOKENS = """word AS (SELECT q, unnest(regexp_extract_all(lower(t), '[a-z0-9]+')) AS w FROM req),
+ form AS (SELECT DISTINCT q, unnest([w, CASE WHEN ends_with(w, 'ies') AND length(w) > 4 THEN left(w, length(w) - 3) || 'y' END, CASE WHEN ends_with(w, 's') AND length(w) > 4 THEN left(w, length(w) - 1) END]) AS token FROM word WHERE length(w) > 2),
+ tok AS (SELECT q, token FROM form WHERE token IS NOT NULL UNION SELECT q, unnest(['talk', 'lecture', 'panel', 'seminar', 'discussion', 'workshop', 'presentation']) FROM form WHERE token IN ('talk', 'lecture', 'panel', 'seminar', 'discussion', 'workshop'))"""
+
+
+#: SQL of their specificity, as `spec` (q, s).
+_SPEC = """spec AS (SELECT q, CASE WHEN regexp_matches(lower(t), 'jazz|music|concert|classical|opera|comedy|standup|improv|talk|lecture|panel|workshop|film|movie|art|gallery|museum|dance|theater|theatre|book|poetry') THEN 2 ELSE 0 END
+  + CASE WHEN regexp_matches(lower(t), 'brooklyn|manhattan|queens|bronx|staten island|harlem|greenpoint|williamsburg|soho|chelsea|lower east side|upper west side|upper east side|midtown|downtown|\\bin\\s+[a-z]{3,}') THEN 2 ELSE 0 END
+  + CASE WHEN regexp_matches(lower(t), 'free|cheap|under |budget|no cover|\\$') THEN 1 ELSE 0 END
+  + CASE WHEN regexp_matches(lower(t), 'today|tomorrow|tonight|this weekend|next weekend|next week|this week|before the end of the month|after|before|am|pm') THEN 1 ELSE 0 END
+  + CASE WHEN regexp_matches(lower(t), 'kid-friendly|family|outdoor|indoor|date night|beginner|advanced|networking|meetup') THEN 1 ELSE 0 END
+  - CASE WHEN regexp_matches(lower(t), 'what should i attend|what should i do|anything|something|interesting|free time|looking for ideas|surprise me') THEN 2 ELSE 0 END
+  - CASE WHEN len(regexp_extract_all(lower(t), '[a-z0-9$]+')) <= 5 THEN 1 ELSE 0 END AS s FROM req)"""
+
+
+@query(f"""WITH req AS (SELECT conv_id * 1000 + turn AS q, CASE turn % 6 WHEN 0 THEN text || ' free jazz in soho' WHEN 2 THEN 'anything in small rings' WHEN 4 THEN text || ' red gizmos, promo bolts' ELSE text END AS t,
+  CASE conv_id % 4 WHEN 1 THEN DATE '2024-01-20' WHEN 2 THEN DATE '2024-03-01' WHEN 3 THEN CASE WHEN conv_id % 12 = 3 THEN DATE '2030-01-01' ELSE DATE '2024-02-01' END END AS d1,
+  CASE conv_id % 4 WHEN 1 THEN DATE '2024-01-10' WHEN 2 THEN DATE '2024-06-30' WHEN 3 THEN CASE WHEN conv_id % 12 = 3 THEN DATE '2030-01-31' ELSE DATE '2024-02-29' END END AS d2,
+  CASE conv_id % 5 WHEN 1 THEN ['economy', 'promo'] WHEN 2 THEN ['small'] WHEN 3 THEN CASE WHEN conv_id % 3 = 0 THEN ['none such'] END END AS cats, embedding AS e
+  FROM conversations LEFT JOIN embeddings ON vec_id = conv_id * 7 WHERE role = 'user'),
+ {_TOKENS},
+ row AS (SELECT p_partkey AS k, lower(p_name) AS a, lower(p_type) AS b, lower(p_type) AS cat, CASE WHEN p_partkey % 11 <> 0 THEN DATE '2024-01-01' + CAST(p_partkey % 90 AS INTEGER) END AS day, embedding AS e FROM part LEFT JOIN embeddings ON vec_id = p_partkey),
+ {_SPEC},
+ ok AS MATERIALIZED (SELECT q, k, a, b, row.e AS re, req.e AS qe, (d1 IS NULL OR coalesce(day BETWEEN least(d1, d2) AND greatest(d1, d2), false)) AS dated, row.e IS NOT NULL AND (day IS NULL OR day >= DATE '2024-01-25') AS usable FROM req JOIN row ON cats IS NULL OR list_contains(cats, cat)),
+ n AS (SELECT q, count(k) AS filtered, count(k) FILTER (dated) AS dated, count(k) FILTER (dated AND usable) AS vectors FROM req LEFT JOIN ok USING (q) GROUP BY q),
+ st AS (SELECT q, CASE WHEN filtered = 0 THEN 'filtered_empty' WHEN dated = 0 THEN 'date_empty' WHEN s < 2 THEN 'lexical' WHEN e IS NULL THEN 'lexical_without_vector' WHEN vectors = 0 THEN 'lexical_without_overlap' ELSE 'vector' END AS mode, filtered, dated, vectors FROM n JOIN spec USING (q) JOIN req USING (q)),
+ sv AS (SELECT q, k, row_number() OVER (PARTITION BY q ORDER BY round(list_cosine_similarity(CAST(re AS DOUBLE[]), CAST(qe AS DOUBLE[])), 9) DESC, k) AS rank FROM ok JOIN st USING (q) WHERE mode = 'vector' AND ok.dated AND usable),
+ hit AS (SELECT q, k, sum(3.0 * contains(a, token)::INT + 2.5 * contains(b, token)::INT) AS score FROM ok JOIN tok USING (q) GROUP BY q, k),
+ sl AS (SELECT q, k, row_number() OVER (PARTITION BY q ORDER BY coalesce(score, 0) DESC, k) AS rank FROM ok JOIN st USING (q) LEFT JOIN hit USING (q, k) WHERE starts_with(mode, 'lexical') AND ok.dated)
+ SELECT q, mode, filtered, dated, vectors, k, rank FROM st LEFT JOIN (SELECT * FROM sv WHERE rank <= 12 UNION ALL SELECT * FROM sl WHERE rank <= 30) USING (q)""")
+def i6_query_table(spark: SparkSession, d: str) -> DataFrame:
+    """All user turns as queries with windows and categories of their own; one row for queries without a row."""
+    e = table(spark, d, "embeddings")
+    c, turn, text = F.col("conv_id"), F.col("turn") % 6, F.col("text")
+    said = F.when(turn == 0, F.concat(text, F.lit(" free Jazz in Soho"))).when(turn == 2, "Anything in small rings").when(turn == 4, F.concat(text, F.lit(" Red gizmos, promo bolts"))).otherwise(text)
+    day = lambda a, b, far, near: F.when(c % 4 == 1, a).when(c % 4 == 2, b).when(c % 12 == 3, far).when(c % 4 == 3, near).cast("date")
+    names = lambda *x: F.array(*map(F.lit, x))
+    cats = F.when(c % 5 == 1, names("economy", "promo")).when(c % 5 == 2, names("small")).when((c % 5 == 3) & (c % 3 == 0), names("none such"))
+    asked = table(spark, d, "conversations").filter("role = 'user'").join(e.select((F.col("vec_id")).alias("v"), F.col("embedding").alias("e")), F.col("v") == c * 7, "left")
+    first, last = day("2024-01-20", "2024-03-01", "2030-01-01", "2024-02-01"), day("2024-01-10", "2024-06-30", "2030-01-31", "2024-02-29")
+    asked = asked.select((c * 1000 + F.col("turn")).alias("q"), said.alias("t"), first.alias("first"), last.alias("last"), cats.alias("categories"), "e")
+    key = F.col("p_partkey")
+    rows = _parts(spark, d).join(e, key == F.col("vec_id"), "left").withColumn("cat", category(F.col("p_type")))
+    rows = rows.withColumn("day", F.when(key % 11 != 0, F.date_add(F.lit("2024-01-01").cast("date"), (key % 90).cast("int"))))
+    found, stages = search.retrieve_each(rows, "p_partkey", {"name": "p_name", "type": "p_type"}, "embedding", "day", "cat", asked, "q", "t", "e", "2024-01-25", 12, 30)
+    return stages.join(found, "q", "left").select("q", "mode", "filtered", "dated", "vectors", F.col("p_partkey").alias("k"), F.col("rank").cast("long").alias("rank"))
+
+
+def _search(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    e = table(spark, d, "embeddings")
+    c, names = F.col("conv_id"), lambda *x: F.array(*map(F.lit, x))
+    asked = table(spark, d, "conversations").filter("role = 'user'").groupBy("conv_id").agg(F.min_by("text", "turn").alias("text"))
+    asked = asked.join(e.select(F.col("vec_id").alias("v"), F.col("embedding").alias("e")), F.col("v") == c * 3, "left")
+    late = F.when(c % 2 == 0, "1997-06-01").cast("date")
+    asked = asked.select(
+        c.alias("q"), F.concat("text", F.when(c % 2 == 0, " opera in Queens, urgent").otherwise(" automobiles 0001")).alias("t"), "e",
+        late.alias("first"), F.date_add(late, 200).alias("last"), F.when(c % 3 == 1, names("automobile", "building")).alias("exact"),
+        F.when(c % 3 == 0, names("buildin", "househol")).when(c % 12 == 1, names("machines", "autmobile")).alias("terms"),
+        (c % 23).cast("int").alias("shown"), F.when(c % 7 != 0, 20 + c % 50).alias("limit"), (c % 2 == 0).alias("unknown"),
+    )
+    o = table(spark, d, "orders").join(table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    rows = o.select("o_orderkey", "c_name", "c_mktsegment", "o_orderpriority", F.to_date("o_orderdate").alias("day"), category(F.col("c_mktsegment")).alias("cat"))
+    rows = rows.join(e.select("vec_id", "embedding"), F.col("vec_id") == F.col("o_orderkey"), "left")
+    flags = table(spark, d, "customer").select(F.col("c_name").alias("place"), (F.col("c_acctbal") < 0).alias("flagged"))
+    cost = table(spark, d, "supplier").select(F.col("s_suppkey"), F.col("s_suppkey").alias("minutes"))
+    travel = table(spark, d, "customer").join(cost, F.col("s_suppkey") == F.col("c_custkey") % 150).select(F.col("c_name").alias("place"), "minutes")
+    fields = {"name": "c_name", "type": "c_mktsegment", "text": "o_orderpriority"}
+    return search.search(rows, "o_orderkey", fields, "embedding", "day", "cat", "c_name", asked, "q", "t", "e", "1996-01-01", flags, travel)
+
+
+#: SQL of the requests of `_search`. A term admits the categories at a ratio of 72 and more (difflib gives buildin 93, househol 94, autmobile 95).
+_SEARCH = f"""WITH req AS (SELECT conv_id AS q, text || CASE WHEN conv_id % 2 = 0 THEN ' opera in queens, urgent' ELSE ' automobiles 0001' END AS t, embedding AS e, CASE WHEN conv_id % 2 = 0 THEN DATE '1997-06-01' END AS d1,
+  CASE conv_id % 12 WHEN 1 THEN ['automobile'] ELSE CASE conv_id % 3 WHEN 0 THEN ['building', 'household'] WHEN 1 THEN ['automobile', 'building'] END END AS cats,
+  CASE WHEN conv_id % 23 = 0 THEN 10 ELSE conv_id % 23 END AS most, CASE WHEN conv_id % 7 <> 0 THEN 20 + conv_id % 50 END AS lim, conv_id % 2 = 0 AS unknown
+  FROM (SELECT conv_id, arg_min(text, turn) AS text FROM conversations WHERE role = 'user' GROUP BY 1) LEFT JOIN embeddings ON vec_id = conv_id * 3),
+ {_TOKENS},
+ row AS (SELECT o_orderkey AS k, lower(c_name) AS a, lower(c_mktsegment) AS b, lower(o_orderpriority) AS c, CAST(o_orderdate AS DATE) AS day, embedding AS e, c_acctbal < 0 AS flagged, s_suppkey AS minutes
+  FROM orders JOIN customer ON o_custkey = c_custkey LEFT JOIN embeddings ON vec_id = o_orderkey LEFT JOIN supplier ON s_suppkey = c_custkey % 150),
+ {_SPEC},
+ ok AS MATERIALIZED (SELECT q, k, a, b, c, flagged, minutes, row.e AS re, req.e AS qe, d1 IS NULL OR day BETWEEN d1 AND d1 + 200 AS dated, row.e IS NOT NULL AND day >= DATE '1996-01-01' AS usable FROM req JOIN row ON cats IS NULL OR list_contains(cats, b)),
+ n AS (SELECT q, count(k) AS filtered, count(k) FILTER (dated) AS dated, count(k) FILTER (dated AND usable) AS vectors FROM req LEFT JOIN ok USING (q) GROUP BY q),
+ st AS (SELECT q, CASE WHEN filtered = 0 THEN 'filtered_empty' WHEN dated = 0 THEN 'date_empty' WHEN s < 2 THEN 'lexical' WHEN e IS NULL THEN 'lexical_without_vector' WHEN vectors = 0 THEN 'lexical_without_overlap' ELSE 'vector' END AS mode, filtered, dated, most, lim, unknown FROM n JOIN spec USING (q) JOIN req USING (q)),
+ sv AS (SELECT q, k, flagged, minutes, row_number() OVER (PARTITION BY q ORDER BY round(list_cosine_similarity(CAST(re AS DOUBLE[]), CAST(qe AS DOUBLE[])), 9) DESC, k) AS rank FROM ok JOIN st USING (q) WHERE mode = 'vector' AND ok.dated AND usable),
+ met AS (SELECT q, 3.0 * contains(x, token)::INT AS pa, 2.5 * contains(x, token)::INT AS pb, 1.5 * contains(x, token)::INT AS pc, x FROM tok, (SELECT DISTINCT unnest([a, b, c]) AS x FROM row) WHERE contains(x, token)),
+ sc AS (SELECT q, x, sum(pa) AS pa, sum(pb) AS pb, sum(pc) AS pc FROM met GROUP BY q, x),
+ sl AS (SELECT ok.q, k, flagged, minutes, row_number() OVER (PARTITION BY ok.q ORDER BY coalesce(m.pa, 0) + coalesce(m2.pb, 0) + coalesce(m3.pc, 0) DESC, k) AS rank FROM ok JOIN st ON st.q = ok.q
+  LEFT JOIN sc m ON m.q = ok.q AND m.x = a LEFT JOIN sc m2 ON m2.q = ok.q AND m2.x = b LEFT JOIN sc m3 ON m3.q = ok.q AND m3.x = c WHERE starts_with(mode, 'lexical') AND ok.dated),
+ best AS (SELECT * FROM sv WHERE rank <= 10 UNION ALL SELECT * FROM sl WHERE rank <= 25),
+ shown AS (SELECT q, k, rank, mode, flagged, CASE WHEN lim IS NOT NULL THEN minutes END AS minutes, lim IS NULL OR coalesce(minutes <= lim, unknown) AS inside FROM best JOIN st USING (q) WHERE rank <= most)
+"""
+
+
+@query(_SEARCH + "SELECT q, k, rank, mode, flagged, minutes FROM shown WHERE inside")
+def i7_search_table(spark: SparkSession, d: str) -> DataFrame:
+    """The first user turn of each conversation as a search request: its matches."""
+    return _search(spark, d)[0].select("q", F.col("o_orderkey").alias("k"), F.col("rank").cast("long").alias("rank"), "mode", "flagged", "minutes")
+
+
+@query(_SEARCH + """SELECT q, mode, filtered, dated, coalesce(r, 0) AS retrieved, coalesce(s, 0) AS shown, coalesce(m, 0) AS matches FROM st LEFT JOIN (SELECT q, count(*) AS r FROM best GROUP BY 1) USING (q)
+ LEFT JOIN (SELECT q, count(*) AS s, count(*) FILTER (inside) AS m FROM shown GROUP BY 1) USING (q)""")
+def i7_search_funnel(spark: SparkSession, d: str) -> DataFrame:
+    """What is left of the rows after each part of the requests."""
+    return _search(spark, d)[1]
+
+
 @query("""SELECT event_type, strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS hour, round(sum(value), 4) AS total, count(*) AS n FROM events GROUP BY ALL""")
 def j2_counters(spark: SparkSession, d: str) -> DataFrame:
     out = streams.counters(table(spark, d, "events"), "ts", "event_type", "value", "1 hour")
