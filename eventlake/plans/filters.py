@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import category, html_text
 from ..operators import filters as f
+from ..operators import rules
 from .registry import query, table
 
 _DAY = "CASE WHEN o_orderkey % 9 = 0 THEN NULL ELSE CAST(o_orderdate AS DATE) END"
@@ -92,10 +93,10 @@ def c11_blocked_domains(spark: SparkSession, d: str) -> DataFrame:
  FROM supplier JOIN nation ON s_nationkey = n_nationkey""")
 def c12_strategy(spark: SparkSession, d: str) -> DataFrame:
     j = table(spark, d, "supplier").join(table(spark, d, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
-    rules = spark.createDataFrame([(1, True), (2, True), (3, True)], "n_nationkey int, skip boolean")  # a rule table of three rows
+    listed = spark.createDataFrame([(1, True), (2, True), (3, True)], "n_nationkey int, skip boolean")  # a rule table of three rows
     ticket, site = F.col("s_suppkey") % 5 == 0, F.col("n_nationkey") % 2 == 0
     choice = F.when(F.col("skip"), "skip").when(ticket & site, "both").when(ticket, "ticketing_only").when(site, "scrape_only").otherwise("skip")
-    return j.join(F.broadcast(rules), "n_nationkey", "left").select("s_suppkey", choice.alias("strategy"))
+    return j.join(F.broadcast(listed), "n_nationkey", "left").select("s_suppkey", choice.alias("strategy"))
 
 
 @query("""SELECT queue, count(*) AS n FROM (SELECT CASE WHEN o_orderstatus = 'F' THEN 'done' WHEN o_orderkey % 4 = 0 THEN 'no_site' WHEN o_custkey % 3 = 2 THEN 'gave_up' WHEN o_orderstatus = 'P' THEN 'retry' ELSE 'new' END AS queue FROM orders) GROUP BY 1""")
@@ -105,6 +106,46 @@ def c13_work_queues(spark: SparkSession, d: str) -> DataFrame:
     return f.funnel(table(spark, d, "orders"), chain).withColumnRenamed("label", "queue")
 
 
+_STRATEGY_ROWS = """SELECT s_suppkey AS k, CASE s_suppkey % 6 WHEN 0 THEN 'Carnegie Hall Annex' WHEN 1 THEN 'City Library ' || s_suppkey WHEN 2 THEN 'MSG' ELSE s_name END AS name,
+ CASE s_nationkey % 4 WHEN 0 THEN 'museums' WHEN 1 THEN 'jazz clubs' WHEN 2 THEN '' ELSE 'comedy' END AS category, s_suppkey % 5 <> 0 AS site, CASE s_suppkey % 7 WHEN 0 THEN 'ticketing' WHEN 1 THEN 'scrape' ELSE '' END AS preferred, s_nationkey % 3 = 0 AS ticketed FROM supplier"""
+
+
+@query(f"""SELECT k, CASE WHEN preferred = 'ticketing' THEN CASE WHEN ticketed THEN 'ticketing_only' ELSE 'skip' END WHEN preferred = 'scrape' THEN CASE WHEN site THEN 'scrape_only' ELSE 'skip' END
+ WHEN NOT site AND NOT ticketed THEN 'skip' WHEN NOT known AND (category = 'museums' OR contains(name, 'Library')) THEN CASE WHEN site THEN 'scrape_only' ELSE 'skip' END
+ WHEN ticketed AND site THEN 'both' WHEN ticketed THEN 'ticketing_only' ELSE 'scrape_only' END AS strategy FROM (SELECT *, name IN ('Carnegie Hall Annex', 'MSG') AS known FROM ({_STRATEGY_ROWS}))""")
+def c12_source_strategy(spark: SparkSession, d: str) -> DataFrame:
+    s, k, n = table(spark, d, "supplier"), F.col("s_suppkey"), F.col("s_nationkey")
+    rows = s.select(
+        k.alias("k"), F.when(k % 6 == 0, "Carnegie Hall Annex").when(k % 6 == 1, F.concat(F.lit("City Library "), k.cast("string"))).when(k % 6 == 2, "MSG").otherwise(F.col("s_name")).alias("name"),
+        F.when(n % 4 == 0, " Museums").when(n % 4 == 1, "Jazz clubs").when(n % 4 == 3, "comedy").alias("category"), F.when(k % 5 != 0, "https://x.example").alias("site"),
+        F.when(k % 7 == 0, "ticketing").when(k % 7 == 1, "scrape").alias("preferred"), F.when(n % 3 == 0, "T9").when(n % 3 == 1, "Not_found").alias("ticket_id"),
+    )
+    return rows.select("k", rules.choose(rules.STRATEGY)["result"].alias("strategy"))
+
+
+@query("""WITH p AS (SELECT ['', 'verified', 'reachable_no_events_page', 'search_failed', 'ambiguous', 'closed', 'dead_site', 'unreachable', 'odd'][o_orderkey % 9 + 1] AS st, o_orderkey % 4 <> 0 AS site, o_orderkey % 5 = 0 AS known, o_orderkey % 5 < 2 AS asked, o_orderkey % 3 = 0 AS ev,
+  o_custkey % 5 AS att, coalesce(nullif(o_orderkey % 7, 6), 0) = 0 AS zero, o_custkey % 10 = 0 AS agg, o_custkey % 6 = 0 AS api, o_orderpriority = '1-URGENT' AS jazz, o_custkey % 8 = 0 AS placed, o_custkey % 3 = 0 AS homeless, o_custkey % 7 = 0 AS vague FROM orders),
+ q AS (SELECT unnest([{'selector': 'validate', 'queue': CASE WHEN known THEN 'ticketed' WHEN site AND agg THEN 'validate' WHEN st = 'verified' THEN CASE WHEN site AND (NOT ev OR zero) THEN 'validate' ELSE st END
+   WHEN st = 'reachable_no_events_page' THEN CASE WHEN site AND NOT ev THEN 'validate' ELSE st END WHEN st = 'search_failed' THEN CASE WHEN att < 3 THEN 'validate' ELSE st END WHEN st IN ('', 'odd') THEN 'validate' ELSE st END},
+  {'selector': 'api', 'queue': CASE WHEN api THEN 'has_api' WHEN NOT site OR st <> 'verified' THEN 'not_ready' WHEN NOT jazz THEN 'other_category' ELSE 'scan' END},
+  {'selector': 'ticketing', 'queue': CASE WHEN asked THEN 'checked' WHEN jazz THEN 'scan' ELSE 'not_ticketed' END},
+  {'selector': 'listing', 'queue': CASE WHEN ev THEN 'has_listing' WHEN known THEN 'ticketed' WHEN st <> 'verified' OR NOT site THEN 'not_ready' ELSE 'scan' END},
+  {'selector': 'fetch', 'queue': CASE WHEN st IN ('verified', 'reachable_no_events_page') THEN 'fetch' ELSE 'leave' END},
+  {'selector': 'coordinates', 'queue': CASE WHEN NOT ev THEN 'no_listing' WHEN placed THEN 'placed' WHEN homeless THEN 'no_address' WHEN vague THEN 'bad_address' ELSE 'fill' END}], recursive := true) FROM p)
+ SELECT selector, queue, count(*) AS n FROM q GROUP BY ALL""")
+def c13_selectors(spark: SparkSession, d: str) -> DataFrame:
+    """All six selectors over the orders as places, in one pass."""
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    status = F.array(*map(F.lit, ["", "Verified ", "reachable_no_events_page", "search_failed", "ambiguous", "closed", "dead_site", "unreachable", "odd"]))
+    rows = table(spark, d, "orders").select(
+        F.get(status, (k % 9).cast("int")).alias("status"), F.when(k % 4 != 0, "https://x.example").alias("site"), (c % 10 == 0).alias("aggregator"), F.when(k % 3 == 0, "u").otherwise(" ").alias("events_url"),
+        (c % 5).alias("attempts"), F.when(k % 7 != 6, k % 7).alias("event_count"), F.when(k % 5 == 0, "T1").when(k % 5 == 1, "not_found").alias("ticket_id"), F.when(c % 6 == 0, "a").alias("api"),
+        F.when(F.col("o_orderpriority") == "1-URGENT", "Old Jazz Clubs").otherwise("parks").alias("category"), F.when(c % 2 == 0, 40.5).alias("latitude"), F.when(c % 8 < 2, 0.0).alias("longitude"),
+        F.when(c % 3 != 0, "1 Main St").alias("address"), (c % 7 == 0).alias("vague"),
+    )
+    return rules.queue_counts(rows, rules.work_queues(3, "jazz"))
+
+
 @query("""SELECT user_id, max(ts) > TIMESTAMP '2024-01-28 00:00:00' AS fresh FROM events WHERE event_type = 'click' GROUP BY user_id""")
 def c14_freshness(spark: SparkSession, d: str) -> DataFrame:
     seen = f.last_seen(table(spark, d, "events").filter("event_type = 'click'"), "user_id", "ts")
