@@ -237,6 +237,75 @@ def listing_candidates(urls: DataFrame, site: str, url: str, n: int = 12) -> Dat
     return same.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= n)
 
 
+#: Paths of listings that a site may have; words of such paths; first and second segments of item and listing pages.
+LISTING_PATHS = [
+    "/events", "/events.html", "/calendar", "/calendar.html", "/calendar/exhibitions", "/pages/calendar", "/shows", "/shows.html", "/exhibitions",
+    "/exhibitions/upcoming", "/upcoming-exhibitions", "/upcoming", "/happenings", "/whatson", "/whats-on", "/program", "/programs", "/public-programs",
+    "/public-programming", "/programming",
+]
+LISTING_WORDS = [
+    "event", "events", "calendar", "shows", "show", "exhibition", "exhibitions", "upcoming", "upcoming-exhibitions", "shows.html", "calendar.html",
+    "events.html", "happenings", "program", "programming", "public-program", "public-programs", "public_program", "public_programs", "whats-on",
+    "whats_on", "tickets",
+]
+ITEM_PARENTS = ["exhibitions", "exhibition", "events", "shows", "show", "performances", "performance", "talks", "talk", "calendar", "whats-on", "whatson", "happenings"]
+SUBLISTINGS = ["upcoming", "current", "past", "history", "archive", "all", "film", "films", "programs", "series", "special", "exhibitions", "shows", "performances"]
+STATIC_FILES = r"\.(css|js|png|jpg|jpeg|gif|svg|pdf|woff|woff2)$"
+#: What each of several groups of words adds to the rank of a listing page; less comes first.
+LISTING_RANKS = [
+    (-4, ["/events"]), (-3, ["/program", "/programs", "public-program"]), (-2, ["/calendar", "/shows", "/happenings"]),
+    (-1, ["/exhibitions", "exhibition", "/upcoming", "upcoming"]), (-1, ["calendarid=", "calendar="]), (4, ["/history", "/archive", "/past", "/previous"]),
+]
+
+
+def listing_pages(links: DataFrame, site: str, url: str, order: str, n: int = 12, guaranteed: int = 3) -> DataFrame:
+    """site, url, score, rank: the pages of each site that most likely list events. rank is the place among all its candidates.
+
+    links has absolute addresses found on the site's pages; order tells which came first. Candidates are these, the usual
+    paths and the site itself, if they are of the site (or one domain is above the other), no static file, no page of one
+    item, and bear a listing's word. The n best stay, and the guaranteed best usual paths however many links precede them.
+    A site is known by its own address; a null site or address takes no part, repeats count once.
+    """
+    base = F.rtrim(F.col("_home"), F.lit("/"))
+    sites = links.select(site).filter(F.col(site).isNotNull()).distinct().withColumn("_home", _plain_url(F.col(site)))
+    usual = F.array(*(F.concat(base, F.lit(p)) for p in LISTING_PATHS))
+    found = links.filter(F.col(url).isNotNull()).groupBy(site, _plain_url(F.col(url)).alias("_u")).agg(F.min(order).cast("long").alias("_at"))
+    found = found.filter("_u IS NOT NULL").join(sites, site).select(site, "_home", "_u", F.lit(0).alias("_kind"), "_at")
+    made = sites.select(site, "_home", F.posexplode(F.concat(usual, F.array("_home"))).alias("_at", "_u"))
+    made = made.select(site, "_home", "_u", F.when(F.col("_at") < len(LISTING_PATHS), 1).otherwise(2).alias("_kind"), F.col("_at").cast("long").alias("_at"))
+    each = found.unionByName(made).groupBy(site, "_home", "_u").agg(
+        F.min(F.struct("_kind", "_at")).alias("_first"), F.bool_or(F.col("_kind") == 0).alias("_linked"), F.bool_or(F.col("_kind") == 1).alias("_usual")
+    )
+    u = F.col("_u")
+    path = F.lower(F.regexp_extract(u, r"^https?://[^/?#]*([^?#]*)", 1))
+    asked = F.lower(F.regexp_extract(u, r"\?([^#]*)", 1))
+    each = each.withColumns({"_p": path, "_q": asked, "_s": F.filter(F.split(path, "/"), lambda x: x != "")}).withColumn("_pq", F.when(asked != "", F.concat("_p", F.lit("?"), "_q")).otherwise(F.col("_p")))
+    some = lambda ws: F.exists(F.array(*map(F.lit, ws)), lambda w: F.contains(F.col("_pq"), w))
+    host, own = url_host(u), url_host(F.col("_home"))
+    same = (host == own) | F.endswith(host, F.concat(F.lit("."), own)) | F.endswith(own, F.concat(F.lit("."), host))
+    segment = lambda i: F.coalesce(F.get("_s", F.lit(i)), F.lit(""))
+    item = F.rlike("_p", F.lit(r"/\d{4,}$")) | (segment(0).isin(ITEM_PARENTS) & (F.size("_s") >= 2) & ~segment(1).isin(SUBLISTINGS)) | (F.size("_s") > 4) | (F.length("_p") > 80)
+    never = F.rlike("_p", F.lit(STATIC_FILES)) | F.rlike("_p", F.lit(r"/20\d{2}/\d{1,2}/\d{1,2}/"))
+    home = F.rtrim(u, F.lit("/")) == base
+    kept = each.filter(same & ~never & (F.col("_usual") | ~item) & (some(LISTING_WORDS) | F.col("_usual") | home))
+    score = F.when(F.col("_linked"), -3).otherwise(0) + F.when(F.col("_usual"), 3).otherwise(0) + F.when(F.col("_q") != "", 2).otherwise(0)
+    for weight, words in LISTING_RANKS:
+        score = score + F.when(some(words), weight).otherwise(0)
+    by = [F.col("score"), F.size("_s"), F.col("_first"), F.col("_u")]
+    ranked = kept.withColumn("score", score).withColumn("rank", F.row_number().over(Window.partitionBy(site).orderBy(*by)))
+    ranked = ranked.withColumn("_nth", F.row_number().over(Window.partitionBy(site, "_usual").orderBy(*by)))
+    return ranked.filter((F.col("rank") <= n) | (F.col("_usual") & (F.col("_nth") <= guaranteed))).select(site, F.col("_u").alias(url), "score", "rank")
+
+
+def _plain_url(u: Column) -> Column:
+    """With scheme, scheme and host in lower case, without fragment or parameters of the last segment."""
+    t = F.trim(u)
+    t = F.when(F.rlike(t, F.lit("(?i)^https?://")), t).otherwise(F.concat(F.lit("https://"), t))
+    head = F.lower(F.regexp_extract(t, r"(?i)^(https?://[^/?#]*)", 1))
+    path, asked = F.regexp_extract(t, r"(?i)^https?://[^/?#]*([^?#]*)", 1), F.regexp_extract(t, r"^[^#?]*(\?[^#]+)", 1)
+    return F.when(F.length(F.trim(u)) > 0, F.concat(head, path, asked))
+
+
 def canonical(df: DataFrame, as_of: str, base: Column, method: str, ahead: int = 365) -> DataFrame:
     """Extracted rows (name, date, time, url, category) as events: past and too distant days go, links become absolute,
     the first category stays, method and confidence are set."""

@@ -162,6 +162,34 @@ def h12_listing_candidates(spark: SparkSession, d: str) -> DataFrame:
     return c.groupBy("site").agg(F.min_by(F.regexp_extract("url", "(/[^/]*)$", 1), "rank").alias("best"), F.count("*").alias("n"))
 
 
+#: SQL of the links of `h12_listing_pages`: those in the pages, and four more on some of them.
+_LINKS = r"""lk AS (SELECT 'http://' || host AS site, CASE WHEN starts_with(u, '/') THEN 'http://' || host || u ELSE u END AS url, page_id * 100000 + i AS pos FROM (SELECT host, page_id, unnest(l) AS u, generate_subscripts(l, 1) AS i FROM
+ (SELECT page_id, regexp_extract(url, '^https?://([^/?#]*)', 1) AS host, list_concat(regexp_extract_all(html, 'href="(/[^"]*)"', 1), CASE WHEN page_id % 2 = 0 THEN ['/shows/upcoming?month=5#top', '/events/' || page_id || '-night', '/calendar/archive', 'HTTPS://Cdn.Example.com/events.css'] ELSE ['/public-program', '/event/2024/5/6/x', '/happenings/12345', '/Events'] END) AS l FROM pages)))"""
+
+
+@query(rf"""WITH {_LINKS},
+ usual AS (SELECT * FROM (SELECT unnest({x.LISTING_PATHS}) AS p, unnest(range(20)) AS pos)),
+ c0 AS (SELECT site, url, regexp_replace(url, '#.*$', '') AS u, pos, 0 AS kind FROM lk UNION ALL SELECT site, site, site || p, pos, 1 FROM usual, (SELECT DISTINCT site FROM lk) UNION ALL SELECT DISTINCT site, site, site, 20, 2 FROM lk),
+ c AS (SELECT site, u, min((kind, pos)) AS o, bool_or(kind = 0) AS linked, bool_or(kind = 1) AS usual FROM c0 GROUP BY 1, 2),
+ p AS (SELECT *, lower(regexp_extract(u, '^[A-Za-z]+://[^/?]*([^?]*)', 1)) AS path, lower(regexp_extract(u, '[?](.*)$', 1)) AS q FROM c WHERE starts_with(u, site)),
+ s AS (SELECT *, list_filter(string_split(path, '/'), lambda x: x <> '') AS seg, path || CASE WHEN q <> '' THEN '?' || q ELSE '' END AS pq FROM p),
+ k AS (SELECT *, CASE WHEN linked THEN -3 ELSE 0 END + CASE WHEN usual THEN 3 ELSE 0 END + CASE WHEN q <> '' THEN 2 ELSE 0 END - CASE WHEN contains(pq, '/events') THEN 4 ELSE 0 END - CASE WHEN regexp_matches(pq, '/program|public-program') THEN 3 ELSE 0 END
+  - CASE WHEN regexp_matches(pq, '/calendar|/shows|/happenings') THEN 2 ELSE 0 END - CASE WHEN regexp_matches(pq, 'exhibition|upcoming') THEN 1 ELSE 0 END - CASE WHEN regexp_matches(pq, 'calendarid=|calendar=') THEN 1 ELSE 0 END + CASE WHEN regexp_matches(pq, '/history|/archive|/past|/previous') THEN 4 ELSE 0 END AS score
+  FROM s WHERE NOT regexp_matches(path, '[.](css|js|png|jpg|jpeg|gif|svg|pdf|woff|woff2)$|/20[0-9]{{2}}/[0-9]{{1,2}}/[0-9]{{1,2}}/')
+  AND (usual OR NOT (regexp_matches(path, '/[0-9]{{4,}}$') OR (len(seg) >= 2 AND regexp_full_match(seg[1], 'exhibitions?|events|shows?|performances?|talks?|calendar|whats-?on|happenings') AND NOT regexp_full_match(seg[2], 'upcoming|current|past|history|archive|all|films?|programs|series|special|exhibitions|shows|performances')) OR len(seg) > 4 OR length(path) > 80))
+  AND (usual OR u = site OR regexp_matches(pq, 'event|calendar|show|exhibition|upcoming|happenings|program|whats[-_]on|tickets'))),
+ r AS (SELECT *, row_number() OVER (PARTITION BY site ORDER BY score, len(seg), o, u) AS rank, row_number() OVER (PARTITION BY site, usual ORDER BY score, len(seg), o, u) AS nth FROM k)
+ SELECT site, u AS url, CAST(score AS INTEGER) AS score, rank FROM r WHERE rank <= 12 OR (usual AND nth <= 3)""")
+def h12_listing_pages(spark: SparkSession, d: str) -> DataFrame:
+    p, host, k = table(spark, d, "pages"), F.regexp_extract("url", "^https?://([^/?#]*)", 1), F.col("page_id")
+    more = F.when(k % 2 == 0, F.array(F.lit("/shows/upcoming?month=5#top"), F.concat(F.lit("/events/"), k.cast("string"), F.lit("-night")), F.lit("/calendar/archive"), F.lit("HTTPS://Cdn.Example.com/events.css")))
+    more = more.otherwise(F.array(*map(F.lit, ("/public-program", "/event/2024/5/6/x", "/happenings/12345", "/Events"))))
+    own = F.regexp_extract_all("html", F.lit('href="(/[^"]*)"'), F.lit(1))
+    each = p.select(F.concat(F.lit("http://"), host).alias("site"), k, F.posexplode(F.concat(own, more)).alias("i", "u"))
+    links = each.select("site", F.when(F.startswith("u", F.lit("/")), F.concat("site", "u")).otherwise(F.col("u")).alias("url"), (k * 100000 + F.col("i") + 1).alias("at"))
+    return x.listing_pages(links, "site", "url", "at").withColumn("rank", F.col("rank").cast("long"))
+
+
 @query("""SELECT o_orderkey AS k, strftime(o_orderdate, '%Y-%m-%d') AS day, CASE WHEN o_orderkey % 2 = 0 THEN '09:05' END AS time, 'https://x.example/e/' || o_orderkey AS url, 'music' AS category, CAST(CASE WHEN o_orderkey % 2 = 0 THEN 0.9 ELSE 0.7 END AS DOUBLE) AS confidence
  FROM orders WHERE o_orderdate BETWEEN TIMESTAMP '1998-01-01' AND TIMESTAMP '1999-01-01'""")
 def h13_canonical(spark: SparkSession, d: str) -> DataFrame:
