@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from ..functions.text import url_host
+from .extract import content_system
 
 
 def in_window(day: Column, first: Column, last: Column, undated: bool = False) -> Column:
@@ -130,7 +131,7 @@ def split_by(df: DataFrame, flag: Column) -> tuple[DataFrame, DataFrame]:
 
 
 #: Marks of page states.
-CHALLENGE, PARKED, CMS = ["just a moment", "checking your browser", "cf-browser-verification"], ["domain is for sale", "parked free", "buy this domain"], {"wordpress": "wp-content", "squarespace": "squarespace.com", "wix": "wixstatic.com"}
+CHALLENGE, PARKED = ["just a moment", "checking your browser", "cf-browser-verification"], ["domain is for sale", "parked free", "buy this domain"]
 
 
 def page_state(html: Column, visible: Column) -> Column:
@@ -139,9 +140,8 @@ def page_state(html: Column, visible: Column) -> Column:
     one = lambda ws: F.rlike(h, F.lit("|".join(map(re.escape, ws))))
     out = F.when(one(CHALLENGE), "challenge").when(one(PARKED), "parked")
     out = out.when((F.length(h) > 5000) & (F.length(visible) / F.length(h) < 0.05), "script_calendar")
-    for name, mark in CMS.items():
-        out = out.when(F.contains(h, F.lit(mark)), name)
-    return out.otherwise("plain")
+    system = content_system(h)
+    return out.when(system != "unknown", system).otherwise("plain")
 
 
 def funnel(df: DataFrame, label: Column) -> DataFrame:

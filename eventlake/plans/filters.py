@@ -165,3 +165,12 @@ def c16_page_state(spark: SparkSession, d: str) -> DataFrame:
     extra = F.when(k == 0, "<p>Just a moment...</p>").when(k == 1, F.concat(F.lit("<script>"), F.repeat(F.lit("x"), 5000 + 30 * F.length("html")), F.lit("</script>"))).when(k == 2, "<a href='/wp-content/x'>").otherwise("")
     p = table(spark, d, "pages").select("page_id", F.concat("html", extra).alias("html")).withColumn("visible", html_text(F.col("html")))
     return p.select("page_id", f.page_state(F.col("html"), F.col("visible")).alias("state"))
+
+
+@query("""SELECT page_id, CASE page_id % 8 WHEN 0 THEN 'wordpress+tribe' WHEN 1 THEN 'squarespace' WHEN 2 THEN 'wix' WHEN 3 THEN 'webflow' WHEN 4 THEN 'wordpress' WHEN 5 THEN 'parked' WHEN 6 THEN 'challenge' ELSE 'plain' END AS state FROM pages""")
+def c16_page_systems(spark: SparkSession, d: str) -> DataFrame:
+    """Marks of all content systems in the pages, one of them beside a second system's, one on a parked page."""
+    marks = ["<i class='Tribe_Events'></i><i data='wp-content'>", "SquareSpace.com", "www.wix.com", "webflow.com", "/wp-json/", "wix.com Parked FREE", "Checking your browser"]
+    mark = F.get(F.array(*map(F.lit, marks)), (F.col("page_id") % 8).cast("int"))
+    p = table(spark, d, "pages").select("page_id", F.concat("html", F.coalesce(mark, F.lit(""))).alias("html"))
+    return p.select("page_id", f.page_state(F.col("html"), html_text(F.col("html"))).alias("state"))
