@@ -8,7 +8,11 @@ fewest errors on the labelled documents that pass the base rule.
 
 Null and empty texts have no words and fail the base rule. Repeated rows score alike. With no trusted rows all scores
 are 0; as without bad labels, the threshold then is minus infinity: the base rule alone decides. Other columns are not
-read. Labels are used up to LABELLED rows, taken in hash order; the bound is what makes them safe to broadcast.
+read.
+
+All labels count. They travel as two bit masks for each 64 neighbouring ids, broadcast up to LABEL_BYTES and shuffled
+beyond, and are joined before the features are made, so that features never move. The threshold is found in slices of
+the sorted scores, of which the driver sees one row each.
 """
 
 from __future__ import annotations
@@ -16,13 +20,14 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import doc_text, double_array, read, words, write_table
+from .common import doc_text, double_array, maybe_broadcast, read, words, write_table
 
 LEAST_BUCKETS = 1 << 12
-LABELLED = 20_000
+#: Bytes of label masks that may be broadcast: some 100 million labels of neighbouring ids.
+LABEL_BYTES = 64 << 20
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS = 50
 
@@ -90,32 +95,79 @@ class QualityModel:
         return table.withColumn("score", total / F.greatest(F.size("grams"), F.lit(1)))
 
 
-def best_cut(scored: list[tuple[float, bool]]) -> float:
-    """The cut with fewest labelled errors; among equals the one in the middle of the widest gap. One class: no cut."""
-    scored = sorted(scored)
-    errors = sum(not good for _, good in scored)
-    if errors in (0, len(scored)):
+def label_masks(labels: DataFrame) -> DataFrame:
+    """key, labelled, bad: for the ids from 64 * key on a bit each. labels: doc_id, good; an id with a bad label is bad."""
+    bit = F.expr("shiftleft(1L, int(doc_id & 63))")
+    return (
+        labels.select(F.col("doc_id").cast("long").alias("doc_id"), "good")
+        .filter("good IS NOT NULL AND doc_id IS NOT NULL")
+        .groupBy(F.expr("shiftright(doc_id, 6)").alias("key"))
+        .agg(F.bit_or(bit).alias("labelled"), F.bit_or(F.when(F.col("good"), 0).otherwise(bit)).alias("bad"))
+    )
+
+
+def with_labels(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """docs (doc_id and more) with good: null where there is no label."""
+    masks = maybe_broadcast(write_table(label_masks(labels), "quality-labels"), LABEL_BYTES)
+    has = lambda c: F.expr(f"getbit({c}, int(doc_id & 63)) = 1")
+    found = docs.withColumn("key", F.expr("shiftright(doc_id, 6)")).join(masks, "key", "left")
+    return found.withColumn("good", F.when(has("labelled"), ~has("bad"))).drop("key", "labelled", "bad")
+
+
+@dataclass
+class Slice:
+    """Labelled documents with neighbouring scores: the ends, how many are good and bad, and the best cut inside as
+    (errors more than below the slice, gap below zero, cut)."""
+
+    low: float
+    high: float
+    good: int
+    bad: int
+    inner: tuple[int, float, float] | None = None
+
+
+def best_cut_of(slices: list[Slice]) -> float:
+    """best_cut() of slices in order."""
+    errors = sum(s.bad for s in slices)
+    if errors in (0, errors + sum(s.good for s in slices)):
         return -math.inf
     best = (errors, 0.0, -math.inf)
-    for (s, good), (after, _) in zip(scored, scored[1:]):
-        errors += 1 if good else -1
-        if after > s:
-            best = min(best, (errors, s - after, (s + after) / 2))
+    for i, s in enumerate(slices):
+        if s.inner:
+            best = min(best, (errors + s.inner[0], *s.inner[1:]))
+        errors += s.good - s.bad
+        if i + 1 < len(slices) and slices[i + 1].low > s.high:
+            after = slices[i + 1].low
+            best = min(best, (errors, s.high - after, (s.high + after) / 2))
     return best[2]
 
 
-def fit(table: DataFrame, labels: DataFrame, buckets: int) -> QualityModel:
-    """Count the corpus, then set the threshold from the labelled documents. table: features(); labels: doc_id, good."""
-    labels = (
-        labels.filter(F.col("good").isNotNull() & F.col("doc_id").isNotNull())
-        .groupBy("doc_id")
-        .agg(F.min("good").alias("good"))
-        .orderBy(F.xxhash64("doc_id"))
-        .limit(LABELLED)
-    )
-    grams = table.join(F.broadcast(labels), "doc_id", "left").select(
-        F.coalesce(F.col("good"), F.lit(False)).alias("good"), F.explode("grams").alias("bucket")
+def best_cut(scored: list[tuple[float, bool]]) -> float:
+    """The cut with fewest labelled errors; among equals the one in the middle of the widest gap. One class: no cut."""
+    return best_cut_of([Slice(s, s, int(good), int(not good)) for s, good in sorted(scored)])
+
+
+def threshold(scored: DataFrame) -> float:
+    """best_cut() of all rows of scored (score, good), whatever their number."""
+    counts = scored.groupBy("score").agg(F.count_if("good").alias("good"), F.count_if(~F.col("good")).alias("bad"))
+    sliced = write_table(counts, "quality-scores").repartitionByRange("score").withColumn("slice", F.spark_partition_id())
+    upto = Window.partitionBy("slice").orderBy("score")
+    cuts = sliced.withColumn("more", F.sum(F.col("good") - F.col("bad")).over(upto)).withColumn("after", F.lead("score").over(upto))
+    inner = F.struct("more", (F.col("score") - F.col("after")).alias("gap"), ((F.col("score") + F.col("after")) / 2).alias("cut"))
+    rows = cuts.groupBy("slice").agg(
+        F.min("score").alias("low"),
+        F.max("score").alias("high"),
+        F.sum("good").alias("good"),
+        F.sum("bad").alias("bad"),
+        F.min(F.when(F.col("after").isNotNull(), inner)).alias("inner"),
     )
+    slices = [Slice(r.low, r.high, r.good, r.bad, tuple(r.inner) if r.inner else None) for r in rows.collect()]
+    return best_cut_of(sorted(slices, key=lambda s: s.low))  # one for each partition
+
+
+def fit(table: DataFrame, buckets: int) -> QualityModel:
+    """Count the corpus, then set the threshold from the labelled documents. table: features() with good."""
+    grams = table.select(F.coalesce(F.col("good"), F.lit(False)).alias("good"), F.explode("grams").alias("bucket"))
     counts = [(0, 0)] * buckets
     for r in grams.groupBy("bucket").agg(F.count("*").alias("raw"), F.count_if("good").alias("target")).collect():
         counts[r.bucket] = (r.raw, r.target)  # at most that many rows
@@ -123,16 +175,16 @@ def fit(table: DataFrame, labels: DataFrame, buckets: int) -> QualityModel:
     if target == buckets:
         return QualityModel([0.0] * buckets)
     model = QualityModel([math.log((t + 1) / target) - math.log((r + 1) / raw) for r, t in counts])
-    scored = model.scored(table.filter(~F.col("base_failed")).join(F.broadcast(labels), "doc_id")).select("score", "good")
-    model.threshold = best_cut([(r.score, r.good) for r in scored.collect()])  # at most LABELLED documents
+    model.threshold = threshold(model.scored(table.filter("NOT base_failed AND good IS NOT NULL")).select("score", "good"))
     return model
 
 
 def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, base features, base_failed, score and kept of every row. labels: doc_id, good (boolean)."""
     buckets = bucket_count(docs, text_col)
-    table = write_table(features(doc_text(docs, id_col, text_col), buckets), "quality-features")
-    model = fit(table, labels, buckets)
+    rows = with_labels(doc_text(docs, id_col, text_col), labels)
+    table = write_table(features(rows, buckets, "good"), "quality-features")
+    model = fit(table, buckets)
     return model.scored(table).select(
         "doc_id",
         "n_words",
@@ -147,15 +199,15 @@ def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs, columns unchanged, that the rules keep. Rows travel with their features, so nothing is joined."""
+    """The rows of docs, columns unchanged, that the rules keep. Rows travel with their features, so nothing more is joined."""
     rows = docs.select(
         F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"),
         F.col(id_col).cast("long").alias("doc_id"),
         F.coalesce(F.col(text_col), F.lit("")).alias("text"),
     )
     buckets = bucket_count(docs, text_col)
-    table = write_table(features(rows, buckets, "row"), "quality-rows")
-    model = fit(table, labels, buckets)
+    table = write_table(features(with_labels(rows, labels), buckets, "row", "good"), "quality-rows")
+    model = fit(table, buckets)
     return model.scored(table).filter(~F.col("base_failed") & (F.col("score") >= F.lit(model.threshold))).select("row.*")
 
 
