@@ -267,3 +267,25 @@ def test_op13_keys_in_parts(spark, monkeypatch):
     monkeypatch.setattr(phrases, "MOST_KEYS", 150)
     got = {(x.lang, x["rank"], x.phrase, x.a, x.l, x.r, x.n, x.score) for x in phrases.collocations(docs(spark, rows), 5, 300).collect()}
     assert got == brute_collocations(rows, 5, 300, 5) and len(got) > 150
+
+
+def test_op13_frequent_words_of_one_code(spark):
+    """Two words of one code, both, one or none of them frequent, in one text and in others, keep their own counts."""
+    ship_package(spark)
+    many = [f"w{i}" for i in range(400_000)]
+    codes = phrases._Words(pa.array([" ".join(many)]), pa.array(["en"])).codes()[:-1]
+    order = np.argsort(codes, kind="stable")
+    twins = [[many[i] for i in order[t : t + 2]] for t in np.flatnonzero(np.diff(codes[order]) == 0)[:3]]
+    r = random.Random(31)
+    texts = []
+    for (one, two), (n, m) in zip(twins, ((30, 20), (40, 3), (6, 5)), strict=True):
+        texts += [f"a {w} rings {w} here, the {w} bell" for w, times in ((one, n), (two, m)) for _ in range(times)]
+    r.shuffle(texts)
+    rows = [(i, "\n".join(texts[i : i + 4]), "en") for i in range(0, len(texts), 4)]
+    counted, _ = phrases.frequent_phrases(docs(spark, rows).repartition(3), 9)
+    got = {x.phrase: x.n for x in counted.collect()}
+    (a, b), (c, d), (e, f) = twins
+    assert (got[a], got[b], got[c]) == (90, 60, 120) and got[d] == 9 and (got[e], got[f]) == (18, 15)
+    assert got[f"{b} rings {b} here"] == 20 and f"the {d} bell" not in got and f"a {e}" not in got
+    key = lambda x: (x.lang, x["rank"], x.phrase, x.a, x.l, x.r, x.n, x.score)
+    assert {key(x) for x in phrases.collocations(docs(spark, rows), 9, 500).collect()} == brute_collocations(rows, 9, 500, 5)
