@@ -95,14 +95,14 @@ Mask = Callable[[pa.Table, pa.Table], np.ndarray]
 
 def cosine_top(
     vectors: DataFrame, ident: str, vector: str, queries: DataFrame, key: str, query_vector: str, k: int,
-    carried: tuple[list[str], list[str]] = ((), ()), mask: Mask | None = None,
+    carried: tuple[list[str], list[str]] = ((), ()), mask: Mask | None = None, digits: int = 12,
 ) -> DataFrame:
     """key, ident, score, rank: exact top k of the given rows (filter them first) for each query. mask tells from columns
     carried from rows and from queries which of them may meet.
 
     Rows and queries meet in a grid of tasks with a bounded part of each; a task multiplies them as matrices and keeps
-    the k best of each query, so no pair is ever a row. Scores are rounded to 12 digits, so that ties are ties in whatever
-    order a product is summed. Vectors meet those of their own length; null ones take no part.
+    the k best of each query, so no pair is ever a row. Scores are rounded to digits and ranked as rounded, so that ties
+    are ties in whatever order a product is summed. Vectors meet those of their own length; null ones take no part.
     """
     more, asks = map(list, carried)
     once = vectors.filter(F.col(vector).isNotNull()).groupBy(ident).agg(F.any_value(F.struct(F.col(vector).alias("v"), *more)).alias("r"))
@@ -125,7 +125,7 @@ def cosine_top(
         x, ids, nth, found, scores = x[order], ids.take(pa.array(order)), [], [], []
         rows = rows.take(pa.array(order)) if mask else rows
         for at in range(0, len(y), STEP):
-            got = np.round(y[at : at + STEP] @ x.T, 12)
+            got = np.round(y[at : at + STEP] @ x.T, digits)
             if mask:
                 got[~mask(rows, asked.slice(at, STEP))] = -np.inf
             for i, row in enumerate(got):
@@ -183,10 +183,10 @@ def rule_score(place: Column, saturday: Column, undated: Column) -> Column:
 
 
 def retrieve(
-    rows: DataFrame, ident: str, fields: dict[str, str], vector: str, queries: DataFrame, key: str, text: str, query_vector: str, k: int
+    rows: DataFrame, ident: str, fields: dict[str, str], vector: str, queries: DataFrame, key: str, text: str, query_vector: str, k: int, digits: int = 12
 ) -> DataFrame:
     """key, ident, rank, mode: specific queries (score of 2 and up) with a vector by cosine, the others lexically."""
     q = queries.withColumn("_specific", (specificity(F.col(text)) >= 2) & F.col(query_vector).isNotNull())
-    by_vector = cosine_top(rows.filter(F.col(vector).isNotNull()), ident, vector, q.filter("_specific"), key, query_vector, k)
+    by_vector = cosine_top(rows.filter(F.col(vector).isNotNull()), ident, vector, q.filter("_specific"), key, query_vector, k, digits=digits)
     by_words = lexical_top(rows, ident, fields, query_tokens(q.filter("NOT _specific"), key, text), key, k)
     return by_vector.select(key, ident, "rank", F.lit("vector").alias("mode")).unionByName(by_words.select(key, ident, "rank", F.lit("lexical").alias("mode")))

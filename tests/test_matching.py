@@ -8,8 +8,10 @@ import random
 import re
 from contextlib import redirect_stdout
 
+import duckdb
 from pyspark.sql import functions as F
 
+from eventlake import plans
 from eventlake.functions.udfs import match_ratio
 from eventlake.operators import joins, matching, ranking
 from eventlake.session import ship_package
@@ -112,3 +114,18 @@ def test_cosine_grid_ignores_nulls_and_other_lengths(spark):
     got = sorted((r.q, r["rank"], r.id) for r in ranking.cosine_top(v, "id", "v", q, "q", "e", 2).collect())
     assert got == [(10, 1, 1), (10, 2, 5), (12, 1, 4)]
     assert not re.search("NestedLoop|Cartesian", plan(ranking.cosine_top(v, "id", "v", q, "q", "e", 2)))
+
+
+def test_cosine_ranks_scores_as_rounded(spark, tmp_path):
+    """Scores that differ beyond the digits of the SQL are ties, which go to the smaller id."""
+    ship_package(spark)
+    near = [0.3 + 1e-7 * i for i in range(30)]
+    rows = [(100, [1.0, 0.0], 0)] + [(i + 1, [x, (1 - x * x) ** 0.5], 0) for i, x in enumerate(near)] + [(50, [-1.0, 0.0], 3)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = {tuple(r) for r in plans.queries()["i2_cosine"](spark, str(tmp_path)).collect()}
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW embeddings AS FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    assert got == set(con.sql(plans.oracle_sql()["i2_cosine"]).fetchall()) and len(got) == 10
+    v, q = (spark.createDataFrame(r, f"{c} long, e array<double>") for r, c in (([(1, [1.0, 1e-4]), (2, [1.0, 0.0])], "id"), ([(9, [1.0, 0.0])], "q")))
+    first = lambda digits: ranking.cosine_top(v, "id", "e", q, "q", "e", 1, digits=digits).first().id
+    assert (first(12), first(6)) == (2, 1)
