@@ -53,22 +53,18 @@ def lexical_top(rows: DataFrame, ident: str, fields: dict[str, str], tokens: Dat
     return top_k(best.drop("rank").unionByName(rest), key, F.desc("score"), ident, k)
 
 
-def lexical_hits(rows: DataFrame, ident: str, fields: dict[str, str], tokens: DataFrame, key: str, carried: list[str] | None = None, allowed: Column | None = None) -> DataFrame:
-    """key, ident, score of the rows that a query's tokens hit. allowed may test columns of tokens and those carried from
-    rows; it does so before hits are shuffled."""
-    carried = carried or []
+def lexical_hits(rows: DataFrame, ident: str, fields: dict[str, str], tokens: DataFrame, key: str) -> DataFrame:
+    """key, ident, score of the rows that a query's tokens hit."""
     cut = lambda c: F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit("[a-z0-9]+"), F.lit(0)))
     each = F.array(*(F.struct(F.lit(w).alias("f"), cut(c).alias("ws")) for w, c in fields.items()))
-    posted = rows.select(ident, *carried, F.explode(each).alias("p")).select(ident, *carried, "p.f", F.explode("p.ws").alias("word"))
+    posted = rows.select(ident, F.explode(each).alias("p")).select(ident, "p.f", F.explode("p.ws").alias("word"))
     met = contained_pairs(tokens, "token", posted, "word")
     asked = tokens.distinct().join(met, "token")
     weight = reduce(lambda a, w: a.when(F.col("f") == w, WEIGHTS[w]), list(fields)[1:], F.when(F.col("f") == next(iter(fields)), WEIGHTS[next(iter(fields))]))
-    hits = posted.join(asked, "word")
-    hits = hits if allowed is None else hits.filter(allowed)
-    return hits.select(key, ident, "token", "f").distinct().groupBy(key, ident).agg(F.sum(weight).alias("score"))
+    return posted.join(asked, "word").select(key, ident, "token", "f").distinct().groupBy(key, ident).agg(F.sum(weight).alias("score"))
 
 
-def top_k(scored: DataFrame, key: str, order: Column, ident: str, k: int) -> DataFrame:
+def top_k(scored: DataFrame, key: str | list[str], order: Column, ident: str, k: int) -> DataFrame:
     """Rank within key. Tasks keep k rows for each key before the shuffle."""
     w = Window.partitionBy(key).orderBy(order, ident)
     return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)

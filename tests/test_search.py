@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import random
 
 import pytest
 
@@ -85,3 +86,29 @@ def test_listing_quota(spark):
     assert got[site][:12] == linked[:12] and len(got[site]) == 15
     assert got[site][12:] == ["/events", "/events.html", "/program"]
     assert len(got["https://empty.example"]) == 12 and None not in got
+
+
+def test_equal_requests_are_answered_once(spark, monkeypatch):
+    """Hits grow with distinct sets of tokens and filters, not with requests times rows."""
+    kept = {}
+    monkeypatch.setattr(search, "written", lambda df, name, write=search.written: kept.setdefault(name, write(df, name)))
+    rows = [(i, f"red ring {i:04}", "small", None, None, "a", None, None) for i in range(400)]
+    got, stages, _ = retrieve(spark, rows, [(q, f"red w{q}ww", None, None, None, None, 0) for q in range(200)])
+    assert got == {(q, n + 1): n for q in range(200) for n in range(25)} and {s[0] for s in stages.values()} == {"lexical"}
+    assert kept["hits"].count() == 25 and kept["scored"].count() == 1
+
+
+def test_words_equal_brute_force(spark):
+    r = random.Random(3)
+    word = lambda: "".join(r.choice("abc1") for _ in range(r.randint(2, 4)))
+    rows = [(i, f"{word()} {word()}-{word()}", None if i % 7 == 0 else word().upper(), None, DAY + dt.timedelta(i % 9) if i % 5 else None, r.choice(["a", "b", None]), None, None) for i in range(300)]
+    asks = [(q, " ".join(word() for _ in range(r.randint(1, 5))), None, DAY + dt.timedelta(q % 3) if q % 2 else None, DAY + dt.timedelta(q % 7), r.choice([None, ["a"], ["b", ""], ["a", "b"]]), 0) for q in range(60)]
+    got, stages, _ = retrieve(spark, rows, asks)
+    want = {}
+    for q, text, _, first, last, cats, _ in asks:
+        assert stages[q][0].startswith(("lexical", "date"))
+        tokens = {t for w in text.split() if len(w) > 2 for t in (w,)}
+        inside = [x for x in rows if (first is None or x[4] and min(first, last) <= x[4] <= max(first, last)) and (cats is None or (x[5] or "") in cats)]
+        score = lambda x: sum(3.0 * (t in x[1]) + 2.5 * (t in (x[2] or "").lower()) for t in tokens)
+        want |= {(q, n + 1): x[0] for n, x in enumerate(sorted(inside, key=lambda x: (-score(x), x[0]))[:25])}
+    assert got == want
