@@ -4,7 +4,8 @@ A run is the unit in which the two substring operators work: its texts fit a tas
 run, and a text with so many copies that they would outgrow one is salted over several. Runs exchange sorted cells
 and sorted keys in compressed blocks by slice of the key space, and get back one bit (or mask) per key in that order.
 Blocks travel in hops, each of which tells 2**HOP_BITS slices and as many runs apart, so that a run sends and receives
-that many blocks at most however large the corpus.
+that many blocks at most however large the corpus. A hop writes all blocks to disk once more; an operator may have one
+task judge several slices, one after the other, and take more blocks where that saves a hop.
 """
 
 from __future__ import annotations
@@ -31,6 +32,8 @@ class Runs:
     docs: DataFrame  # run, doc_id, text; partitioned by run
     n_runs: int
     n_bytes: int
+    together: int = 0  # at most so many bits of the slice number are left to the task that judges
+    wider: int = 0  # a single hop may settle so many bits more
 
     @property
     def slice_bits(self) -> int:
@@ -39,10 +42,12 @@ class Runs:
     @property
     def exchange(self) -> "Exchange":
         bits = self.slice_bits
-        return Exchange((0, *range(HOP_BITS, bits, HOP_BITS), bits))
+        heads = bits - min(self.together, max(0, bits - HOP_BITS))
+        hops = () if heads <= HOP_BITS + self.wider else range(HOP_BITS, heads, HOP_BITS)
+        return Exchange((0, *hops, heads), bits)
 
 
-def deal(docs: DataFrame, id_col: str, text_col: str, run_bytes: int = RUN_BYTES) -> Runs:
+def deal(docs: DataFrame, id_col: str, text_col: str, run_bytes: int = RUN_BYTES, together: int = 0, wider: int = 0) -> Runs:
     df = doc_text(docs, id_col, text_col).withColumn("th", F.xxhash64("text"))
     sizes = write_table(
         df.groupBy("th").agg(F.sum(F.octet_length("text").cast("long")).alias("bytes")), "text-sizes"
@@ -59,7 +64,7 @@ def deal(docs: DataFrame, id_col: str, text_col: str, run_bytes: int = RUN_BYTES
         "doc_id",
         "text",
     )
-    return Runs(dealt.repartition(n, "run"), n, total)
+    return Runs(dealt.repartition(n, "run"), n, total, together, wider)
 
 
 @dataclass
@@ -283,13 +288,11 @@ class Crate:
 class Exchange:
     """Every run sends something to every slice and gets an answer. Before hop h a crate is for one value of the first
     known[h + 1] bits of the slice, from runs that share all but the last known[h] bits of their number; a hop joins
-    the crates of 2**HOP_BITS such groups of runs and splits them by the next bits. Answers go the same way back."""
+    the crates of 2**HOP_BITS such groups of runs and splits them by the next bits. Answers go the same way back. The
+    slices that share the bits known in the end are judged by one task. bits: of the whole slice number."""
 
     known: tuple[int, ...]
-
-    @property
-    def bits(self) -> int:
-        return self.known[-1]
+    bits: int
 
     def sent(self, run: int, cells: list[tuple[int, int, list[np.ndarray]]]) -> pa.Table:
         """Blocks of a run's (kind, slice, arrays)."""
@@ -312,14 +315,18 @@ class Exchange:
             return df.groupBy("kind", F.shiftright("part", head), F.shiftright("run", group)).applyInArrow(step, BLOCKS)
 
         def judged(table: pa.Table) -> pa.Table:
-            kind, part = (table.column(c)[0].as_py() for c in ("kind", "part"))
+            kind, head = (table.column(c)[0].as_py() for c in ("kind", "part"))
             crates = [list(Crate.unpacked(b).cells()) for b in table.column("block").to_pylist()]
-            said = iter(judge(kind, part, [arrays for own in crates for _, _, arrays in own]))
+            of: dict[int, list[tuple[int, int]]] = {}
+            for i, own in enumerate(crates):
+                for j, (_, part, _) in enumerate(own):
+                    of.setdefault(part, []).append((i, j))
+            for part, cells in of.items():  # each cell's arrays make way for the answer
+                said = judge(kind, part, [crates[i][j][2] for i, j in cells])
+                for (i, j), arrays in zip(cells, said):
+                    crates[i][j] = (crates[i][j][0], part, arrays)
             return block_table(
-                [
-                    (kind, part, first, Crate.of([(run, part, next(said)) for run, _, _ in own]).packed())
-                    for first, own in zip(table.column("run").to_pylist(), crates)
-                ]
+                [(kind, head, first, Crate.of(own).packed()) for first, own in zip(table.column("run").to_pylist(), crates)]
             )
 
         hops = range(1, len(known) - 1)

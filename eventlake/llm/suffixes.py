@@ -50,6 +50,8 @@ ROW = LENGTH + BEFORE + 2
 DEPTH, CELLS_PER_KEY, HOT_RUNS = 1, 16, 256
 #: Half the usual: the byte masks of a run take several times its size.
 RUN_BYTES = 8 << 20
+#: One hop for up to 8,192 runs: a task judges up to eight slices, and a run sends up to 1,024 blocks.
+TOGETHER, WIDER = 3, 2
 _LOW = U((1 << 18) - 1)
 
 
@@ -289,7 +291,7 @@ def places_with_smaller(rows: np.ndarray, shared: np.ndarray, first: np.ndarray)
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans (maximal removed stretches) and kept (the remaining bytes) of every row."""
-    runs = deal(docs, id_col, text_col, RUN_BYTES)
+    runs = deal(docs, id_col, text_col, RUN_BYTES, TOGETHER, WIDER)
     bits, exchange = runs.slice_bits, runs.exchange
     sketch = Sketch.sized(runs.n_bytes // 12, DEPTH, CELLS_PER_KEY, bits)
 

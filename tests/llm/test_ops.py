@@ -96,6 +96,26 @@ def test_op1_bytes(spark, rows, hot, hop, monkeypatch):
     assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
 
 
+@pytest.mark.parametrize("together,wider,known", [(1, 0, (0, 1, 2)), (3, 0, (0, 1)), (0, 2, (0, 3)), (0, 0, (0, 1, 2, 3))])
+def test_op1_slices_judged_together(spark, rows, together, wider, known, monkeypatch):
+    monkeypatch.setattr(runs, "HOP_BITS", 1)
+    monkeypatch.setattr(suffixes, "TOGETHER", together)
+    monkeypatch.setattr(suffixes, "WIDER", wider)
+    df = spark.createDataFrame(rows, DOCS)
+    assert runs.deal(df, "doc_id", "text", 1 << 20, together, wider).exchange.known == known
+    data = [(t or "").encode() for _, t in rows]
+    want = [(i, sha(bytes(c for c, g in zip(b, gone) if not g))) for (i, _), b, gone in zip(rows, data, windows_removed(data, [i for i, _ in rows], 50))]
+    got = suffixes.remove_repeats(df).select("doc_id", F.sha2("kept", 256)).collect()
+    assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
+
+
+def test_op1_takes_one_hop_at_six_gigabytes():
+    """Each further hop writes every block to disk once more."""
+    way = lambda n: runs.Runs(None, n, 0, suffixes.TOGETHER, suffixes.WIDER).exchange
+    assert [len(way(n).known) for n in (8, 256, 1300, 8192, 8193)] == [2, 2, 2, 2, 3]
+    assert way(1300).known == (0, 8) and way(1300).bits == 11 and way(8192).known == (0, 10)
+
+
 def test_op1_loser_tree():
     import numpy as np
 
