@@ -47,7 +47,9 @@ PLACES = LENGTH - GRAM + 1
 BEFORE = PLACES - 1
 #: A sorted row: LENGTH bytes of suffix, BEFORE bytes before it (nearest first), both lengths plus one.
 ROW = LENGTH + BEFORE + 2
-DEPTH, CELLS_PER_KEY, HOT_RUNS = 1, 16, 256
+DEPTH, CELLS_PER_KEY = 1, 16
+#: A hot anchor's strings are up to PLACES rows instead of one, so only what very many runs hold is worth it.
+HOT_RUNS = 2048
 #: Half the usual: the byte masks of a run take several times its size.
 RUN_BYTES = 8 << 20
 #: One hop for up to 8,192 runs: a task judges up to eight slices, and a run sends up to 1,024 blocks.
